@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoloom.llm import bpe, mixing
+from repoloom.llm import bpe, mixing, secrets
 from repoloom.session import table
 
 
@@ -24,5 +24,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(table(spark, sf_dir, "chunks"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted(table(spark, sf_dir, "chunks"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLES: dict[str, str] = {}
