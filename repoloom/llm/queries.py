@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoloom.llm import bpe, mixing, secrets
+from repoloom.llm import bpe, mixing, secrets, splitting
 from repoloom.session import table
 
 
@@ -24,6 +24,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.found(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_configs"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_configs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(table(spark, sf_dir, "chunks"))
 
@@ -32,5 +40,10 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
+ORACLES: dict[str, str] = {
+    "p2_found": """
+        SELECT DISTINCT c.chunk_id FROM chunks c
+        JOIN chunk_configs g ON g.config_id = coalesce(c.config_id, 1)
+        WHERE length(c.text) > g.max_chars""",
+}
