@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoloom.llm import bpe, mixing, pairs, secrets, splitting
+from repoloom.llm import bpe, mixing, pairs, provenance, secrets, splitting
 from repoloom.session import table
 
 
@@ -36,6 +36,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.found(table(spark, sf_dir, "question_runs"), table(spark, sf_dir, "golden_items"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.found(table(spark, sf_dir, "files"))
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.labels(table(spark, sf_dir, "files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(table(spark, sf_dir, "chunks"))
 
@@ -44,7 +52,7 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLES: dict[str, str] = {
     "p2_found": """
         SELECT DISTINCT c.chunk_id FROM chunks c
