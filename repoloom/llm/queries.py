@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoloom.llm import bpe, mixing, pairs, provenance, secrets, splitting
+from repoloom.llm import bpe, mixing, pairs, provenance, secrets, splitting, syntax
 from repoloom.session import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.found(table(spark, sf_dir, "files"))
+
+
+def p6_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.errors(table(spark, sf_dir, "files"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(table(spark, sf_dir, "files"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,7 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_errors": p6_errors, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLES: dict[str, str] = {
     "p2_found": """
         SELECT DISTINCT c.chunk_id FROM chunks c
