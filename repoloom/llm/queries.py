@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoloom.llm import bpe, mixing, pairs, provenance, secrets, splitting, syntax
+from repoloom.llm import bpe, mixing, pairs, pii, provenance, secrets, splitting, syntax
 from repoloom.session import table
 
 
@@ -64,7 +64,15 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_errors": p6_errors, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_errors": p6_errors, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
 ORACLES: dict[str, str] = {
     "p2_found": """
         SELECT DISTINCT c.chunk_id FROM chunks c
