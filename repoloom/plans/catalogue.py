@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from repoloom.plans import nested
+from repoloom.plans import chunking, graph, nested, retrieval, text
 
-FLAGSHIP = "p1_found"
-_MODULES = (nested,)
+FLAGSHIP = "hybrid_topk"
+_MODULES = (retrieval, nested, text, chunking, graph)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
