@@ -127,51 +127,77 @@ def dependencies_of(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
 
 
 def build(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a project from the fact table of :mod:`repoloom.parsers` (see its FACT_SCHEMA).
+    """Nodes and edges of a project from the fact table of :mod:`repoloom.parsers`.
 
     Structure is written before calls, files in the order of their paths, facts in the order in which they were found;
-    that order decides which of several writes stays. Names resolve inside the file first, then through imports of
-    modules of the project (by stem, the last file of a stem wins), else to a bare node of the caller's file.
+    that order decides which of several writes stays. A callee is looked for in this order: a definition of the file,
+    a nested function, a method of that bare name, an import from a module of the project (found by its stem; of
+    several files the last), and is a bare node of the caller's file otherwise. Method calls are never resolved
+    through imports. One equi-join per step; nothing is collected.
     """
-    f = facts.where("error is null")
-    file = F.col("path")
-    own = f.select("path", "seq", "fact", "name", "qualified", "class_name", "module", "alias", "line", "bases", "kind", "caller", "is_nested")
-    defs = own.where(F.col("fact").isin("function", "class", "method") & ~F.coalesce(F.col("is_nested"), F.lit(False)) | F.col("fact").isin("class", "method"))
-    kind = F.when(F.col("fact") == "class", "class").otherwise("function")
-    def_id = F.concat_ws(":", kind, file, F.col("qualified"))
-    order = F.struct("path", "seq")
-    files = own.select("path").distinct().select(F.concat_ws(":", F.lit("file"), file).alias("node_id"), F.lit("file").alias("kind"), file.alias("name"), file.alias("file_path"), F.lit(None).cast("int").alias("line"), F.struct(file.alias("path"), F.lit(-1).alias("seq")).alias("seq"))
-    modules = own.where("fact = 'import'").withColumn("target", F.when(F.col("kind") == "from_import", F.concat_ws(".", "module", F.col("name"))).otherwise(F.col("module")))
-    module_nodes = modules.select(F.concat_ws(":", F.lit("module"), "target").alias("node_id"), F.lit("module").alias("kind"), F.col("target").alias("name"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line"), order.alias("seq"))
-    definition_nodes = defs.select(def_id.alias("node_id"), kind.alias("kind"), F.col("name"), file.alias("file_path"), "line", order.alias("seq"))
-    base = own.where("fact = 'class'").select("path", "qualified", "line", "seq", F.explode("bases").alias("base"))
-    base_name = F.element_at(F.split("base", r"\."), -1)
-    base_nodes = base.select(F.concat_ws(":", F.lit("class"), file, base_name).alias("node_id"), F.lit("class").alias("kind"), base_name.alias("name"), file.alias("file_path"), F.lit(None).cast("int").alias("line"), order.alias("seq"))
-    nodes = files.unionByName(module_nodes).unionByName(definition_nodes).unionByName(base_nodes)
-
-    def edge(df: DataFrame, src: Column, dst: Column, name: str, last: int) -> DataFrame:
-        return df.select(src.alias("src"), dst.alias("dst"), F.lit(name).alias("relation"), "line", file.alias("file_path"), F.struct(F.lit(last).alias("pass"), "path", "seq").alias("seq"))
-
-    file_id = F.concat_ws(":", F.lit("file"), file)
-    edges = edge(modules, file_id, F.concat_ws(":", F.lit("module"), "target"), "imports", 0)
-    edges = edges.unionByName(edge(defs.where("fact != 'method'"), file_id, def_id, "defines", 0))
-    edges = edges.unionByName(edge(defs.where("fact = 'method'"), F.concat_ws(":", F.lit("class"), file, "class_name"), def_id, "defines", 0))
-    edges = edges.unionByName(edge(base, F.concat_ws(":", F.lit("class"), file, "qualified"), F.concat_ws(":", F.lit("class"), file, base_name), "inherits", 0))
-
-    calls = own.where(F.col("fact").isin("function_call", "method_call", "class_instantiation")).withColumn("callee", F.when(F.col("fact") == "method_call", F.concat_ws(".", "class_name", "name")).otherwise(F.col("name")))
-    known = definition_nodes.select(F.split("node_id", ":")[1].alias("d_path"), F.element_at(F.split("node_id", ":"), -1).alias("d_name"), F.col("node_id").alias("d_id")).groupBy("d_path", "d_name").agg(F.max_by("d_id", F.startswith("d_id", F.lit("function"))).alias("d_id"))
-    local = known.select(F.col("d_path").alias("path"), F.col("d_name").alias("callee"), F.col("d_id").alias("local_id"))
-    stems = own.select("path").distinct().select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("stem"), "path").groupBy("stem").agg(F.max("path").alias("module_path"))
-    alias = modules.select("path", F.coalesce("alias", "name", "module").alias("alias"), F.when(F.col("kind") == "from_import", F.col("module")).otherwise(F.col("module")).alias("stem"), F.when(F.col("kind") == "from_import", F.col("name")).alias("member")).dropDuplicates(["path", "alias"])
-    head, rest = F.substring_index("callee", ".", 1), F.when(F.contains("callee", F.lit(".")), F.expr("substring(callee, instr(callee, '.') + 1)"))
-    via = calls.withColumn("head", head).withColumn("rest", rest).join(alias.withColumnRenamed("alias", "head"), ["path", "head"], "left").join(stems, "stem", "left")
-    wanted = F.when(F.col("member").isNotNull(), F.concat_ws(".", "member", "rest")).otherwise(F.col("rest"))
-    remote = known.select(F.col("d_path").alias("module_path"), F.col("d_name").alias("wanted"), F.col("d_id").alias("remote_id"))
-    resolved = via.withColumn("wanted", wanted).join(local, ["path", "callee"], "left").join(remote, ["module_path", "wanted"], "left")
-    stub = F.concat_ws(":", F.lit("function"), file, "callee")
-    target = F.when(F.col("fact") == "method_call", F.coalesce("local_id", stub)).otherwise(F.coalesce("local_id", "remote_id", stub))
-    caller_id = F.concat_ws(":", F.lit("function"), file, "caller")
-    edges = edges.unionByName(edge(resolved, caller_id, target, "calls", 1))
-    caller_nodes = calls.select(caller_id.alias("node_id"), F.lit("function").alias("kind"), F.element_at(F.split("caller", r"\."), -1).alias("name"), file.alias("file_path"), F.lit(None).cast("int").alias("line"), F.struct(F.concat(F.lit("￿"), file).alias("path"), "seq").alias("seq"))
+    own = facts.where("fact != 'error'")
+    path, order = F.col("path"), F.struct("path", "seq")
+    none_text, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def identity(kind: str, *parts: Column | str) -> Column:
+        return F.concat_ws(":", F.lit(kind), *[F.col(p) if isinstance(p, str) else p for p in parts])
+
+    def node(df: DataFrame, node: Column, kind: str, name: Column, file: Column, line: Column, seq: Column = order) -> DataFrame:
+        return df.select(node.alias("node_id"), F.lit(kind).alias("kind"), name.alias("name"), file.alias("file_path"), line.alias("line"), seq.alias("seq"))
+
+    files = own.select("path").distinct()
+    imports = own.where("fact = 'import'").withColumn("target", F.when((F.col("kind") == "from_import") & (F.coalesce("module", F.lit("")) != "") & F.col("name").isNotNull(), F.concat_ws(".", "module", "name")).otherwise(F.coalesce(F.nullif("module", F.lit("")), "name"))).where("target is not null and target != ''")
+    functions = own.where("fact = 'function' and not coalesce(is_nested, false)")
+    classes, methods = own.where("fact = 'class'"), own.where("fact = 'method'")
+    bases = classes.select("path", "seq", "line", "name", F.explode("bases").alias("base")).where("base != ''")
+    calls = own.where("fact in ('function_call', 'method_call') and caller is not null and name is not null")
+    late = F.struct(F.concat(F.lit("\uffff"), path).alias("path"), F.col("seq"))
+
+    nodes = node(files, identity("file", path), "file", path, path, none_int, F.struct(path.alias("path"), F.lit(-1).alias("seq")))
+    for part in (
+        node(imports, identity("module", "target"), "module", F.col("target"), none_text, none_int),
+        node(functions, identity("function", path, "name"), "function", F.col("name"), path, F.col("line")),
+        node(classes, identity("class", path, "name"), "class", F.col("name"), path, F.col("line")),
+        node(methods, identity("function", path, "qualified"), "function", F.col("qualified"), path, F.col("line")),
+        node(bases, identity("class", path, "base"), "class", F.col("base"), path, none_int),
+        node(calls, identity("function", path, "caller"), "function", F.col("caller"), path, none_int, late),
+    ):
+        nodes = nodes.unionByName(part)
+
+    def edge(df: DataFrame, src: Column, dst: Column, name: str, step: int = 0) -> DataFrame:
+        return df.select(src.alias("src"), dst.alias("dst"), F.lit(name).alias("relation"), "line", path.alias("file_path"), F.struct(F.lit(step).alias("step"), "path", "seq").alias("seq"))
+
+    # of what a name means in a file the last one registered stays: classes come behind functions
+    definitions = functions.select("path", "name", identity("function", path, "name").alias("id"), F.lit(0).alias("rank")).unionByName(classes.select("path", "name", identity("class", path, "name").alias("id"), F.lit(1).alias("rank"))).unionByName(methods.select("path", F.col("qualified").alias("name"), identity("function", path, "qualified").alias("id"), F.lit(2).alias("rank")))
+    known = definitions.groupBy("path", "name").agg(F.max_by("id", "rank").alias("id"))
+    nested = own.where("fact = 'function' and is_nested").select("path", "name").distinct().select("path", F.col("name").alias("callee"), identity("function", path, "name").alias("nested_id"))
+    bare = methods.groupBy("path", "name").agg(F.min_by("qualified", "seq").alias("q")).select("path", F.col("name").alias("callee"), identity("function", path, "q").alias("method_id"))
+    modules = files.groupBy(F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "").alias("module")).agg(F.max("path").alias("module_path"))
+    member = F.when(F.col("kind") == "from_import", F.col("name"))
+    last_part = F.element_at(F.split("module", r"\."), -1)
+    alias = imports.where("module is not null and module != ''").select("path", "seq", F.coalesce("alias", member, last_part).alias("head"), "module", member.alias("member"))
+    alias = alias.groupBy("path", "head").agg(F.max_by(F.struct("module", "member"), "seq").alias("m")).select("path", "head", "m.*").join(modules, "module").select("path", "head", "member", "module_path")
+
+    local = known.select("path", F.col("name").alias("callee"), F.col("id").alias("local_id"))
+    first = known.select(F.col("path").alias("module_path"), F.col("name").alias("wanted"), F.col("id").alias("remote_id"))
+    second = known.select(F.col("path").alias("module_path"), F.col("name").alias("rest"), F.col("id").alias("member_id"))
+    direct = calls.where("fact = 'function_call'").withColumn("callee", F.col("name")).withColumn("head", F.substring_index("name", ".", 1)).withColumn("rest", F.when(F.contains("name", F.lit(".")), F.expr("substring(name, instr(name, '.') + 1)")))
+    direct = direct.join(local, ["path", "callee"], "left").join(nested, ["path", "callee"], "left").join(bare, ["path", "callee"], "left").join(alias, ["path", "head"], "left")
+    direct = direct.withColumn("wanted", F.when(F.col("rest").isNull(), F.coalesce("member", "callee")).otherwise(F.concat_ws(".", F.coalesce("member", "head"), "rest")))
+    direct = direct.join(first, ["module_path", "wanted"], "left").join(second, ["module_path", "rest"], "left")
+    target = F.coalesce("local_id", "nested_id", "method_id", "remote_id", "member_id", identity("function", path, "callee"))
+    within = calls.where("fact = 'method_call'").withColumn("callee", F.concat_ws(".", "class_name", "name"))
+    caller = identity("function", path, "caller")
+
+    edges = edge(imports, identity("file", path), identity("module", "target"), "imports")
+    for part in (
+        edge(functions, identity("file", path), identity("function", path, "name"), "defines"),
+        edge(classes, identity("file", path), identity("class", path, "name"), "defines"),
+        edge(bases, identity("class", path, "name"), identity("class", path, "base"), "inherits"),
+        edge(methods, identity("class", path, "class_name"), identity("function", path, "qualified"), "defines"),
+        edge(direct, caller, target, "calls", 1),
+        edge(within, caller, identity("function", path, "callee"), "calls", 1),
+    ):
+        edges = edges.unionByName(part)
     final = edges_last_write(edges)
-    return nodes_first_write(nodes.unionByName(caller_nodes), final), final
+    return nodes_first_write(nodes, final), final
