@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.session import cut
+from repoloom.session import cut, materialise
 
 NODE_COLUMNS = ("kind", "name", "file_path", "line")
 EDGE_COLUMNS = ("relation", "line", "file_path")
+_FACT_COLUMNS = ("path", "seq", "fact", "name", "qualified", "class_name", "module", "alias", "kind", "caller", "line", "is_nested", "bases")
 
 
 def node_id(kind: str, path: Column, name: Column | None = None) -> Column:
@@ -135,7 +136,7 @@ def build(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     several files the last), and is a bare node of the caller's file otherwise. Method calls are never resolved
     through imports. One equi-join per step; nothing is collected.
     """
-    own = facts.where("fact != 'error'")
+    own = materialise(facts.where("fact != 'error'").select(*_FACT_COLUMNS), "graph-facts")  # one parse for every branch below
     path, order = F.col("path"), F.struct("path", "seq")
     none_text, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
 

@@ -21,3 +21,25 @@ def _flat(kind: str):
 
 QUERIES = {"p1_found": p1_found} | {f"p1_{kind}": _flat(kind) for kind in nested.FILE_DETAIL.tables() if kind != "file_detail"}
 ORACLES: dict[str, str] = {}
+
+
+def _p1_sql() -> str:
+    """The same elements with JSON functions: unwrapped record, arrays normalised, one union branch per kind."""
+    norm = lambda v: f"""CASE WHEN json_type({v}) = 'ARRAY' THEN from_json({v}, '["JSON"]') WHEN json_type({v}) = 'OBJECT' THEN [{v}]
+        WHEN json_type({v}) = 'VARCHAR' AND json_valid({v} ->> '$') THEN CASE json_type(({v} ->> '$')::JSON) WHEN 'ARRAY' THEN from_json(({v} ->> '$')::JSON, '["JSON"]') WHEN 'OBJECT' THEN [({v} ->> '$')::JSON] ELSE [] END ELSE [] END"""
+    plain = "json_type(v) = 'OBJECT'"
+    text = "json_type(v) IN ('OBJECT', 'VARCHAR')"
+    ctes, parts = [], []
+    for source, label, kind, keep in (("r", "classes", "class", plain), ("r", "functions", "function", plain), ("r", "method_calls", "method_call", plain), ("r", "control_flow", "control_flow", plain)):
+        ctes.append(f"{kind} AS (SELECT detail_id, '$' AS parent_path, '$.{label}[' || pos || ']' AS path, pos, v FROM (SELECT detail_id, unnest({norm(f'rec -> {chr(39)}$.{label}{chr(39)}')}) AS v, generate_subscripts({norm(f'rec -> {chr(39)}$.{label}{chr(39)}')}, 1) - 1 AS pos FROM r) WHERE {keep})")
+        parts.append((kind, kind))
+    for source, label, kind, keep in (("class", "methods", "method", plain), ("class", "class_variables", "class_variable", plain), ("class", "instance_variables", "instance_variable", plain), ("function", "parameters", "fparam", text), ("method", "parameters", "mparam", text), ("control_flow", "items", "with_item", plain), ("control_flow", "exceptions", "exception", text)):
+        value = norm(f"o -> '$.{label}'")
+        ctes.append(f"{kind} AS (SELECT detail_id, path AS parent_path, path || '.{label}[' || pos || ']' AS path, pos, v FROM (SELECT detail_id, path, unnest({value}) AS v, generate_subscripts({value}, 1) - 1 AS pos FROM (SELECT detail_id, path, v AS o FROM {source})) WHERE {keep})")
+        parts.append((kind, {"fparam": "parameter", "mparam": "parameter"}.get(kind, kind)))
+    union = " UNION ".join(f"SELECT detail_id, '{name}' AS kind, parent_path, pos::INT AS pos FROM {cte}" for cte, name in parts)
+    record = "CASE WHEN json_type(j -> '$.payload.file_detail') = 'OBJECT' THEN j -> '$.payload.file_detail' WHEN json_type(j -> '$.file_detail') = 'OBJECT' THEN j -> '$.file_detail' ELSE j END"
+    return f"WITH r AS MATERIALIZED (SELECT DISTINCT detail_id, {record} AS rec FROM (SELECT detail_id, detail::JSON AS j FROM file_details WHERE json_valid(detail))), {', '.join(ctes)} {union}"
+
+
+ORACLES["p1_found"] = _p1_sql()

@@ -6,12 +6,12 @@ import datetime as dt
 import json
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 GOLDEN_SCHEMA = "id string, category string, question string, expected_answer string, expected_source_file string, expected_context string"
-RESULT_SCHEMA = T.StructType.fromDDL(
+RESULT_SCHEMA = (
     "mode string, id string, category string, question string, expected_answer string, answer string, contexts array<string>, sources array<string>, tool_trace array<struct<tool:string,args:string,tool_call_id:string>>, latency_ms double, tokens struct<prompt:int,completion:int,total:int>, scores map<string,double>, error string, scored_at timestamp"
 )
 PROVIDERS = ("parquet",)
@@ -42,7 +42,10 @@ class TableStore:
         """One project's rows, by partition pruning; None if nothing was ever written."""
         if not _exists(self.spark, self.path):
             return None
-        return self.spark.read.parquet(self.path).where(F.col("project_id") == project)
+        try:
+            return self.spark.read.parquet(self.path).where(F.col("project_id") == project)
+        except AnalysisException:  # every partition has been dropped
+            return None
 
     def has(self, project: str) -> bool:
         rows = self.fetch(project)
