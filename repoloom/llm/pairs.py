@@ -29,13 +29,13 @@ from repoloom.session import spread
 
 #: Probability below which prompt and response count as being in two languages, and letters that this needs.
 SAME_LANGUAGE = 0.01
-LEAST_LETTERS = 9
+LEAST_LETTERS = 16
 #: End likelihood below which a response without a closing mark counts as truncated, and occurrences that an order needs.
 END_LIKELIHOOD, END_BACKOFF, SUPPORT = 0.10, 0.06, 3
 
 #: Training sentences of the language model, a label for each line. Fixed values.
 SENTENCES = {
-    "en": "The function is defined in the file and is called by another function. Which file contains the class? It returns none because the value is checked first. How many parameters does it take? Where is this method used, and what would be impacted if it changed? Note that the result depends on the order of the entries. There is no such symbol in the project. Write a docstring, summarise the module in one sentence and list the methods. It was not found in the codebase. Yes, it extends the base class declared there. Who calls this? Why does it need a lock? Explain how it handles a missing item. A comment above the call explains why. Does it inherit from anything? Read one and hand it to the next. See also the other helper, which does the same for each of them.",
+    "en": "The function is defined in the file and is called by another function. Which file contains the class? It returns none because the value is checked first. How many parameters does it take? Where is this method used, and what would be impacted if it changed? Note that the result depends on the order of the entries. There is no such symbol in the project. Write a docstring, summarise the module in one sentence and list the methods. It was not found in the codebase. Yes, it extends the base class declared there. Who calls this? Why does it need a lock? Explain how it handles a missing item. A comment above the call explains why. Does it inherit from anything? Read one and hand it to the next. See also the other helper, which does the same for each of them. Because it looks up every item by its key and keeps the last one. Its only side effect is an entry in the table. Until the next one is closed, at most once.",
     "de": "Die Funktion ist in der Datei definiert und wird von einer anderen Funktion aufgerufen. Welche Datei enthält die Klasse? Sie gibt nichts zurück, weil der Wert zuerst geprüft wird. Wie viele Parameter hat sie? Wo wird diese Methode verwendet, und was wäre betroffen, wenn sie sich ändert? Das Ergebnis hängt von der Reihenfolge der Einträge ab. Ein solches Symbol gibt es im Projekt nicht. Schreibe eine Zusammenfassung und liste die Methoden auf. Der Eintrag wird übersprungen und danach eine Warnung geschrieben. Wer ruft das auf? Dieselbe Datei enthält auch kleine Hilfsfunktionen. Was macht sie mit einem leeren Wert? Die Tests decken sowohl den leeren als auch den defekten Fall ab.",
     "fr": "La fonction est définie dans le fichier et elle est appelée par une autre fonction. Quel fichier contient la classe ? Elle ne renvoie rien parce que la valeur est vérifiée avant. Combien de paramètres prend-elle ? Où cette méthode est-elle utilisée, et que se passe-t-il si elle change ? Le résultat dépend de l'ordre des éléments. Ce symbole n'existe pas dans le projet. Écris un résumé et donne la liste des méthodes. La valeur est transmise à la suite. Qui appelle cette fonction ? Le même fichier contient aussi une petite fonction pour chaque élément. Les tests couvrent le cas vide et le cas cassé. Où se trouve la classe ?",
     "es": "La función está definida en el archivo y es llamada por otra función. ¿Qué archivo contiene la clase? No devuelve nada porque el valor se comprueba antes. ¿Cuántos parámetros recibe? ¿Dónde se usa este método y qué pasaría si cambiara? El resultado depende del orden de los elementos. Ese símbolo no existe en el proyecto. Escribe un resumen y enumera los métodos. El mismo archivo contiene también una pequeña función para cada elemento. ¿Quién llama a esta función? Las pruebas cubren el caso vacío y el caso roto. ¿Dónde está definida la clase? Se pasa al siguiente.",
