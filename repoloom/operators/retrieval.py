@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repoloom.functions.text import keywords, words
+from repoloom.session import cut, spread
 
 K1, B = 1.5, 0.75
 ALPHA = 0.5
@@ -61,10 +62,11 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text_col: str
     tokens = F.coalesce(words(F.col(text_col)), F.array().cast("array<string>"))
 
     def times(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda x: x == F.lit(term)))
+        return F.size(F.filter("hits", lambda x: x == F.lit(term)))
 
-    tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = docs.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("len"), *tf)
+    split = spread(docs.select(key, text_col), key).select(key, tokens.alias("tokens"))
+    hits = split.select(key, F.size("tokens").alias("len"), F.filter("tokens", lambda x: x.isin(terms)).alias("hits"))
+    counted = cut(hits.select(key, "len", *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)]))  # the texts are read once for both steps below
     totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, average = totals["n"], totals["avg"] or 1.0
     norm = K1 * (1 - B + B * F.col("len") / F.lit(float(average)))
@@ -153,6 +155,7 @@ def nearest_many(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str =
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
     """Scores scaled to 0..1 over all rows; all equal means 1. One row of extremes is read, not a global window."""
+    df = cut(df)
     low, high = df.agg(F.min(column), F.max(column)).first()
     if low is None or high == low:
         return df.withColumn(out, F.when(F.col(column).isNotNull(), F.lit(1.0)))
