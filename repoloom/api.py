@@ -12,13 +12,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from repoloom.functions import paths, text
 from repoloom.operators import chunking, embedding, graph, retrieval
 from repoloom.parsers.facts import parse_files, parse_text
+from repoloom.parsers.splitting import code_chunks
 from repoloom.render import bundle
-from repoloom.session import materialise
+from repoloom.session import materialise, numbered
 from repoloom.sources import project as source
 from repoloom.sources import stores
 
@@ -62,14 +62,13 @@ class Engine:
 
     def chunks(self, files: DataFrame, facts: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
         """Chunks with symbol metadata, ids and vectors, numbered over the project in order of files and lines."""
-        whole = chunking.overlapping_chunks(files.where("content is not null"), config.chunk_lines, config.chunk_lines_overlap, config.max_chars, ("project_id", "path", "language"), "content")
+        whole = materialise(code_chunks(files.where("content is not null"), config.chunk_lines, config.chunk_lines_overlap, config.max_chars), "api-chunks")
         symbols = facts.where("fact in ('function', 'class', 'method', 'sql_table')").select("path", F.coalesce("qualified", "name").alias("name"), F.col("fact").alias("kind"), "line")
         named = chunking.symbols_in_chunks(whole.select("path", "chunk_index", "start_line", "end_line", "content"), symbols, "path")
         both = whole.join(named.select("path", "chunk_index", "symbol_name", "symbol_kind"), ["path", "chunk_index"])
-        order = Window.partitionBy("project_id").orderBy("path", "chunk_index")
-        numbered = both.withColumn("position", F.row_number().over(order) - 1)
+        placed = numbered(both, "project_id", "path", "chunk_index")
         chunk_id = F.concat_ws(":", "path", "start_line", "end_line", "position")
-        shaped = numbered.select("project_id", chunk_id.alias("chunk_id"), F.col("position").alias("chunk_index"), F.col("path").alias("file_path"), "language", "start_line", "end_line", F.lit("fallback_lines").alias("chunker"), "symbol_name", "symbol_kind", F.col("content").alias("text"))
+        shaped = placed.select("project_id", chunk_id.alias("chunk_id"), F.col("position").alias("chunk_index"), F.col("path").alias("file_path"), "language", "start_line", "end_line", "chunker", "symbol_name", "symbol_kind", F.col("content").alias("text"))
         return embedding.embed(shaped, "text", self.provider)
 
     # --- navigation

@@ -38,7 +38,8 @@ def nodes_first_write(candidates: DataFrame, edges: DataFrame, seq: str = "seq")
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(edges.agg(F.count("*").alias("n_edges")))  # one row each
+    both = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(edges.select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_nodes"), F.coalesce(F.sum("e"), F.lit(0)).cast("bigint").alias("n_edges"))
 
 
 def relation(edges: DataFrame, name: str | None = None) -> DataFrame:

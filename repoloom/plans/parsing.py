@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repoloom.functions import paths
 from repoloom.operators import graph, rollup
+from repoloom.parsers import splitting
 from repoloom.parsers.facts import parse_files
 from repoloom.session import table
 
@@ -42,6 +43,11 @@ def import_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).where("fact = 'import_usage'").groupBy("module").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
 
 
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files").dropDuplicates(["file_id"])
+    return splitting.code_chunks(f.select("project_id", "path", paths.language_of(F.col("path")).alias("language"), "content"))
+
+
 def code_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build(_facts(spark, sf_dir))[1]
 
@@ -50,5 +56,5 @@ def code_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build(_facts(spark, sf_dir))[0]
 
 
-QUERIES = {f.__name__: f for f in (parse_facts, file_rollup, symbols, code_warnings, find_symbol, import_usage, code_graph_edges, code_graph_nodes)}
+QUERIES = {f.__name__: f for f in (parse_facts, file_rollup, symbols, code_warnings, find_symbol, import_usage, code_chunks, code_graph_edges, code_graph_nodes)}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "repoloom", **conf: str) -> SparkSession:
@@ -71,3 +72,25 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want * per_core, *keys)
+
+
+def numbered(df: DataFrame, group: str, *order: str, out: str = "position") -> DataFrame:
+    """Number the rows of each group from 0 in an order, without a window over a whole group.
+
+    Rows are sorted by range partitions and written once with their number inside the partition; the sizes of the
+    partitions (one row each) give the offsets, and the first number of each group is taken off.
+    """
+    n = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    low = (1 << 33) - 1
+    ranged = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_id", F.monotonically_increasing_id())
+    kept = materialise(ranged, "numbered")
+    sizes = kept.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+    offsets, total = {}, 0
+    for row in sizes:
+        offsets[row.p], total = total, total + row.n
+    if not offsets:
+        return kept.withColumn(out, F.col("_id")).drop("_id")
+    table_ = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
+    placed = kept.withColumn("_at", table_[F.shiftright("_id", 33)] + F.col("_id").bitwiseAND(F.lit(low)))
+    first = placed.groupBy(group).agg(F.min("_at").alias("_first"))
+    return placed.join(first, group).withColumn(out, F.col("_at") - F.col("_first")).drop("_id", "_at", "_first")

@@ -129,3 +129,12 @@ def test_golden_and_results(spark, tmp_path):
     assert "n/a" in open(as_text).read() and "1.500" in open(as_text).read()
     with pytest.raises(ValueError):
         stores.TableStore(spark, str(tmp_path), "x", "other")
+
+
+def test_numbering_without_a_window(spark):
+    from repoloom.session import numbered
+
+    rows = [(g, i) for g, n in (("a", 50), ("b", 3), ("c", 200)) for i in range(n)]
+    got = {(r.g, r.i): r.position for r in numbered(spark.createDataFrame(rows, "g string, i int"), "g", "i").collect()}
+    assert got == {(g, i): i for g, i in rows}
+    assert numbered(spark.createDataFrame([], "g string, i int"), "g", "i").count() == 0
