@@ -7,6 +7,7 @@ moves the edges to those of the form that stands there and drops spans that cann
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +37,9 @@ _TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Sr|Sra|Mme|Señor|Seño
 
 
 @lru_cache(maxsize=2)
-def _weights(path: str) -> dict:
-    return tagger.load(path)
+def _weights(source: str | bytes) -> dict:
+    """Weights from a path, or from the bytes of the file, which travel with the task (under 50 KB)."""
+    return tagger.load(io.BytesIO(source) if isinstance(source, bytes) else source)
 
 
 def _near(pattern: re.Pattern, text: str, a: int, b: int, reach: int) -> re.Match | None:
@@ -103,7 +105,7 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
     return m.start(), m.end(), kind
 
 
-def find(texts: list[str], weights: str = WEIGHTS) -> list[list[tuple[int, int, str]]]:
+def find(texts: list[str], weights: str | bytes = WEIGHTS) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the personal information of each text, in order and without overlap."""
     out = []
     for text, spans in zip(texts, tagger.tag_texts(_weights(weights), texts), strict=True):
@@ -136,12 +138,14 @@ def found(documents: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     Whole texts are tagged, however long. Rows repeated under one id give each case once.
     """
 
+    model = Path(weights).read_bytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for group in _groups(texts):
-                for i, spans in zip(group, find([texts[i] for i in group], weights), strict=True):
+                for i, spans in zip(group, find([texts[i] for i in group], model), strict=True):
                     rows += [(ids[i], kind, a) for a, _, kind in spans]
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["doc_id", "kind", "start_char"])
@@ -152,11 +156,13 @@ def found(documents: DataFrame, weights: str = WEIGHTS) -> DataFrame:
 def masked(documents: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     """``doc_id, text`` of every row, each case replaced by ``[EMAIL]``, ``[PHONE]`` and so on; a null stays null."""
 
+    model = Path(weights).read_bytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for group in _groups(texts):
-                for i, spans in zip(group, find([texts[i] for i in group], weights), strict=True):
+                for i, spans in zip(group, find([texts[i] for i in group], model), strict=True):
                     text = texts[i]
                     for a, b, kind in reversed(spans):
                         text = f"{text[:a]}[{kind.upper()}]{text[b:]}"

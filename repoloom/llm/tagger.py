@@ -276,6 +276,6 @@ def save(p: dict, path: str) -> None:
     np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in p.items()})
 
 
-def load(path: str) -> dict[str, np.ndarray]:
+def load(path) -> dict[str, np.ndarray]:  # noqa: ANN001 - a path or an open file
     with np.load(path) as data:
         return {k: data[k].astype(np.float32) for k in data.files}
