@@ -152,10 +152,9 @@ def _expand(graph: SchemaGraph, element: str, value: str, path: str, stop: set[s
     return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
-def _root(graph: SchemaGraph, column: str) -> str:
+def _root(graph: SchemaGraph, doc: str) -> str:
     """SQL: the record inside its wrapping, or null. A record written as JSON text inside JSON is unwrapped too."""
     labels = [e.label for e in graph.children(graph.root)] + list(graph.attributes.get(graph.root, {}))
-    doc = f"try_parse_json({column})"
     tries = []
     for value in (doc, f"try_parse_json(try_variant_get({doc}, '$', 'string'))"):
         for w in graph.wrappers:
@@ -174,7 +173,8 @@ def elements(records: DataFrame, id_col: str, json_col: str, graph: SchemaGraph
     empty result. Recursive elements are expanded level by level until nothing is left, with a checkpoint per level.
     """
     stop = graph.recursive()
-    base = records.select(F.col(id_col), F.expr(_root(graph, f"`{json_col}`")).alias("record")).where("record is not null")
+    parsed = records.select(F.col(id_col), F.expr(f"try_parse_json(`{json_col}`)").alias("doc"))  # parsed once; a null record explodes to no row
+    base = parsed.select(id_col, F.expr(_root(graph, "doc")).alias("record"))
     exploded = base.select(id_col, F.expr(f"explode({_expand(graph, graph.root, 'record', chr(39) + '$' + chr(39), stop)})").alias("e")).select(id_col, "e.kind", "e.parent_path", "e.pos", "e.value")
     if not stop:
         return exploded
