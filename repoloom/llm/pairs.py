@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.session import spread
+from repoloom.session import materialise, spread
 
 #: Probability below which prompt and response count as being in two languages, and letters that this needs.
 SAME_LANGUAGE = 0.01
@@ -238,7 +238,8 @@ def found(question_runs: DataFrame, golden_items: DataFrame) -> DataFrame:
     table gives no rows. Of several defects the first counts, in the order empty, copied, refusal, language, truncated.
     """
     source = spread(pairs(question_runs, golden_items), "pair_id")
-    judged = source.mapInArrow(_judged, "pair_table string, pair_id string, defect string, ends array<bigint>").dropDuplicates(["pair_table", "pair_id"])
+    judged = source.mapInArrow(_judged, "pair_table string, pair_id string, defect string, ends array<bigint>").where("defect is not null or size(ends) > 0").dropDuplicates(["pair_table", "pair_id"])
+    judged = materialise(judged, "p3-judged")  # two steps below read it: each pair is judged once
     sure = judged.where("defect is not null").select("pair_table", "pair_id", "defect")
     open_ends = judged.where("defect is null and ends is not null").select("pair_table", "pair_id", F.posexplode("ends").alias("n", "gram"))
     counts = source.mapInArrow(_counted, "gram bigint, closes bigint, goes_on bigint").groupBy("gram").agg(F.sum("closes").alias("closes"), F.sum("goes_on").alias("goes_on"))
