@@ -84,27 +84,47 @@ _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
 
 class LanguageModel:
-    """Naive Bayes over hashed character n-grams of one to four characters, add-one smoothed."""
+    """Naive Bayes over hashed n-grams of one to four characters of words with their edges, add-one smoothed.
+
+    A text's scores are the sums of its words' scores, and those of a word are remembered.
+    """
 
     BUCKETS = 1 << 15
+    #: Words whose scores a worker remembers; beyond it the memory is emptied.
+    REMEMBERED = 200_000
 
     def __init__(self, sentences: dict[str, str]) -> None:
         self.languages = list(sentences)
         counts = np.zeros((self.BUCKETS, len(self.languages)))
         for k, text in enumerate(sentences.values()):
-            np.add.at(counts[:, k], self.grams(text), 1.0)
-        self.log = np.log((counts + 0.05) / (counts.sum(0) + 0.05 * 4000)).astype(np.float32)
+            for word in self.words(text):
+                np.add.at(counts[:, k], self.grams(word), 1.0)
+        # n-grams of several lengths are not independent: a text counts as a fraction of its grams
+        self.log = (np.log((counts + 0.05) / (counts.sum(0) + 0.05 * 4000)) / 2.5).astype(np.float32)
+        self.known: dict[str, np.ndarray] = {}
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return re.findall(r"[^\W\d_]+", text.lower())
 
     @classmethod
-    def grams(cls, text: str) -> list[int]:
-        words = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
-        s = f" {words} ".encode("utf-16-le", "replace")
-        return [zlib.crc32(s[i : i + 2 * n]) % cls.BUCKETS for n in (1, 2, 3, 4) for i in range(0, len(s) - 2 * n + 2, 2)] if words else []
+    def grams(cls, word: str) -> list[int]:
+        s = f" {word} ".encode("utf-16-le", "replace")
+        return [zlib.crc32(s[i : i + 2 * n]) % cls.BUCKETS for n in (1, 2, 3, 4) for i in range(0, len(s) - 2 * n + 2, 2)]
 
     def posteriors(self, text: str) -> np.ndarray:
         """Probabilities of the languages; uniform for a text without letters."""
-        grams = self.grams(text)
-        scores = self.log[grams].sum(0) / 2.5 if grams else np.zeros(len(self.languages))  # grams of several lengths are not independent
+        known = self.known
+        scores = np.zeros(len(self.languages), np.float32)
+        for word in self.words(text):
+            own = known.get(word)
+            if own is None:
+                if len(known) >= self.REMEMBERED:
+                    known.clear()
+                own = self.log[self.grams(word)].sum(0)
+                if len(word) < 40:
+                    known[word] = own
+            scores += own
         p = np.exp(scores - scores.max())
         return p / p.sum()
 
@@ -206,22 +226,27 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per context of one to three tokens: how often a closing mark follows, and how often another token."""
+    """Per context of one to three tokens: how often a closing mark follows, and how often another token.
+
+    Counted by context in each batch; only the distinct contexts of a batch are hashed and leave it.
+    """
+    marks = frozenset(".!?。…")
     for batch in batches:
-        closes: Counter[int] = Counter()
-        goes_on: Counter[int] = Counter()
+        closes: Counter[tuple] = Counter()
+        goes_on: Counter[tuple] = Counter()
         for answer in batch.column(3).to_pylist():
             if not answer:
                 continue
-            seq = ["<s>", "<s>", *tokens(answer)]
-            for i in range(2, len(seq) - 1):
-                into = closes if seq[i + 1] in (".", "!", "?", "。", "…") else goes_on
-                for n in (1, 2, 3):
-                    into[_hash(tuple(seq[i - n + 1 : i + 1]))] += 1
-                if into is closes and i + 2 < len(seq):
-                    seq[i + 1] = "<s>"
+            a = b = "<s>"
+            seq = tokens(answer)
+            for c, after in zip(seq, seq[1:], strict=False):
+                into = closes if after in marks else goes_on
+                into[c,] += 1
+                into[b, c] += 1
+                into[a, b, c] += 1
+                a, b = (b, c) if c not in marks else ("<s>", "<s>")
         keys = list(closes.keys() | goes_on.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([closes[k] for k in keys], pa.int64()), pa.array([goes_on[k] for k in keys], pa.int64())], names=["gram", "closes", "goes_on"])
+        yield pa.RecordBatch.from_arrays([pa.array([_hash(k) for k in keys], pa.int64()), pa.array([closes[k] for k in keys], pa.int64()), pa.array([goes_on[k] for k in keys], pa.int64())], names=["gram", "closes", "goes_on"])
 
 
 def pairs(question_runs: DataFrame, golden_items: DataFrame) -> DataFrame:
