@@ -129,12 +129,12 @@ def windows_of(text: str, spans: list[tuple[int, int, int]], rng: random.Random,
         tags[a] = 1 + 2 * kind
         tags[a + 1 : b] = 2 + 2 * kind
     out = []
-    for s in range(0, max(1, len(ids) - 20), tagger.WINDOW - 16):
-        part, goal = ids[s : s + tagger.WINDOW], tags[s : s + tagger.WINDOW].copy()
+    for s in range(0, max(1, len(ids) - 20), tagger.TRAINING_WINDOW - 16):
+        part, goal = ids[s : s + tagger.TRAINING_WINDOW], tags[s : s + tagger.TRAINING_WINDOW].copy()
         if goal.any() or rng.random() < plain:
             if len(goal) and goal[0] and goal[0] % 2 == 0:
                 goal[0] -= 1  # a window may begin inside a span
-            pad = tagger.WINDOW - len(part)
+            pad = tagger.TRAINING_WINDOW - len(part)
             out.append((np.pad(part, (0, pad)), np.pad(goal, (0, pad))))
     return out
 

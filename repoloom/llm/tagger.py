@@ -7,7 +7,9 @@ import numpy as np
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; 1 + 2 k begins and 2 + 2 k continues kind k.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, STRIDE = 192, 128
+WINDOW, STRIDE = 320, 256
+#: Length of a training window.
+TRAINING_WINDOW = 192
 HIDDEN, EMBEDDING = 40, 24
 _PAD, _LOWER, _UPPER, _OTHER, _NEWLINE, _TAB = 0, 96, 97, 98, 99, 100
 VOCABULARY = 101
