@@ -112,6 +112,10 @@ def find(texts: list[str], weights: str | bytes = WEIGHTS) -> list[list[tuple[in
         exact: list[tuple[int, int, str]] = []
         for a, b, k in spans:
             case = check(text, a, b, tagger.KINDS[k])
+            if case and case[2] == "address" and case[0] - a > 5:  # a name in front was tagged with the address
+                name = check(text, a, case[0], "name")
+                if name and name[1] <= case[0] and (not exact or name[0] >= exact[-1][1]):
+                    exact.append(name)
             if case and (not exact or case[0] >= exact[-1][1]):
                 exact.append(case)
         out.append(exact)
