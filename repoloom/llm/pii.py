@@ -102,7 +102,7 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
         words = [w for w in re.split(r"[ ,-]+", m[0]) if w]
     if len(words) < 2 or any(w.lower().rstrip(".") in _NO_NAME or re.search(r"[a-z]{2}[A-Z]", w) for w in words) or _PRODUCT.match(text, m.end()):
         return None
-    return m.start(), m.end(), kind
+    return m.start(), m.start() + len(re.sub(r"['’]s?$", "", m[0])), kind  # a quotation mark or genitive behind a name stays
 
 
 def find(texts: list[str], weights: str | bytes = WEIGHTS) -> list[list[tuple[int, int, str]]]:

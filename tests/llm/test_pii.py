@@ -19,6 +19,14 @@ def test_no_cases(text):
     assert cases(text) == []
 
 
+def test_marks_around_names_stay():
+    text = "INSERT INTO node_users VALUES (7, 'Bodil Askangor', '397 Heron Lane, Ostford, ZZ 00123');\nBodil Askangor's branch still fails.\n"
+    out = text
+    for a, b, kind in reversed(pii.find([text])[0]):
+        out = f"{out[:a]}[{kind.upper()}]{out[b:]}"
+    assert out == "INSERT INTO node_users VALUES (7, '[NAME]', '[ADDRESS]');\n[NAME]'s branch still fails.\n"
+
+
 def test_long_texts_are_read_to_the_end():
     filler = "The parser skips a chunk larger than 683 KB and writes a warning. " * 400
     found = pii.find([filler + TEXT + filler])[0]
