@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -62,16 +63,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_MOVES = re.compile(r"\b(?:Aggregate|Join|Repartition\w*|Window|Sort|Distinct|Deduplicate)\b")
+#: Bytes that adaptive execution gives a partition by default.
+_PARTITION_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
-    """Give a CPU-bound step enough tasks.
+    """Give a CPU-bound step enough tasks, without running anything to find out.
 
-    A scan that already has as many splits as the cluster has cores is left alone, so that at scale nothing moves. A
-    scan of a few large row groups is hash-partitioned once over ``keys``.
+    A scan that already has as many splits as the cluster has cores is left alone, and so is a plan with a shuffle whose
+    estimated size fills that many partitions: at scale nothing is moved. What is smaller is hash-partitioned over
+    ``keys``.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want * per_core, *keys)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _MOVES.search(plan.toString()):  # asking such a plan for its partitions would execute its shuffles
+        enough = int(str(plan.stats().sizeInBytes())) >= want * _PARTITION_BYTES
+    else:
+        enough = df.rdd.getNumPartitions() >= want
+    return df if enough else df.repartition(want * per_core, *keys)
 
 
 def numbered(df: DataFrame, group: str, *order: str, out: str = "position") -> DataFrame:
