@@ -95,13 +95,14 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None,
     """
     spark = documents.sparkSession
     goals = targets.select("mix_id", "source", "target_share", "max_repeats").where("source is not null and target_share is not null and max_repeats is not null")
-    wanted = F.broadcast(goals.select("source").distinct())  # bounded by the mixes' definition
-    counted = materialise(count_tokens(documents.join(wanted, "source", "left_semi"), ["doc_id", "source"], vocabulary).where("n_tokens > 0"), "p8-tokens")
+    definition = goals.toPandas()  # a few rows that the user wrote
+    wanted = F.col("source").isin(*sorted(set(definition.source))) if len(definition) else F.lit(False)
+    counted = materialise(count_tokens(documents.where(wanted), ["doc_id", "source"], vocabulary).where("n_tokens > 0"), "p8-tokens")
     sizes = counted.groupBy("source").agg(F.count("*").alias("n_docs"))
     shards = sizes.select("source", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).alias("shards"))
     place = counted.join(F.broadcast(shards), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod("h", "shards")).drop("shards")
     stats = place.groupBy("source", "shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    quotas = _quotas(stats.toPandas(), goals.toPandas(), total_tokens, blocks)
+    quotas = _quotas(stats.toPandas(), definition, total_tokens, blocks)
     chosen = spark.createDataFrame(quotas, "mix_id string, source string, shard bigint, quota double, shard_tokens bigint, max_repeats int")
     order = Window.partitionBy("source", "shard").orderBy("h", "doc_id")
     before = place.withColumn("before", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
