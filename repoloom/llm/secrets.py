@@ -5,8 +5,9 @@ notes, well-known token forms) and for key containers. Every encoded literal (ba
 escapes) is decoded, key containers are parsed by their binary grammar (DER, OpenSSH), and a decoded text is scanned
 again, layer by layer; what is found inside a literal is reported and redacted as the whole enclosing literal.
 
-A linear-time prefilter over Arrow columns picks the texts that hold any of the contexts at all; only these reach the
-scanner. The filter is a superset of the scanner's own patterns, so it drops no case.
+A linear-time prefilter over Arrow columns tells for each text which of the scanner's patterns can match in it; only
+these are run. The filter of a pattern is derived from the pattern itself by leaving out what only narrows it, so that
+it drops no case.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser as sre_parser
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -30,15 +33,6 @@ NAMES = r"pass[_-]?phrase|password|passwd|passcode|pass|pwd|pw|secret|token|api[
 #: Forms of tokens that are known by their prefix. Fixed values.
 TOKENS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[0-9A-Za-z-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}|[a-z]{2,5}_(?:live|sec|pat|key)_[A-Za-z0-9]{16,}|[a-z]{1,3}pat_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{30,}|npm_[A-Za-z0-9]{30,}"
 
-#: Any context in which the scanner looks, for RE2: linear time whatever the text.
-TRIGGER = (
-    r"(?i:(?:" + NAMES + r")[\"'\]\)]{0,3}\s*(?::\s*[a-z]+\s*)?(?::=|=>|==?|:)\s*[(]?\s*[\"'][^\"'\s]{6})"
-    r"|(?i:(?:" + NAMES + r"|key|sig|signature|login)(?:=|:\s+|\s+is\s+|\s+with\s+|\s+)[^\s\"'(){}<>$,;]{8})"
-    r"|(?i:(?:" + NAMES + r"):[ \t]*[>|])"
-    r"|(?i:://[^\s/\"'@:]*:[^\s\"'@]+@)|-----BEGIN|(?i:identified\s+by)|(?i:login\s*\()|(?i:(?:basic|bearer)\s+[a-z0-9])|[\"'](?i:token|apikey)\s+[A-Za-z0-9]"
-    r"|\s-u\s+\S+:|<(?i:password|secret|token)>|" + TOKENS + r"|[\"'= ][A-Za-z0-9+/_-]{24,}={0,2}[\"'\s;]|(?:%[0-9A-Fa-f]{2}){4}|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){4}|[\"'][0-9a-fA-F]{32,}[\"']"
-)
-
 _Q = r"(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|`([^`\s]{6,})`)"
 _ASSIGN = re.compile(r"(?i)(?<![a-z])?(?:" + NAMES + r")[\"'\]\)]{0,3}\s*(?::\s*[a-z]+\s*)?(?::=|=>|=(?!=)|:)\s*\(?\s*" + _Q)
 _LOGIN = re.compile(r"(?i)\b(?:login|authenticate|sign_?in)\s*\(\s*[\"'][^\"'\n]*[\"']\s*,\s*" + _Q)
@@ -148,19 +142,64 @@ def _unescape(text: str) -> str:
     return re.sub(r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}", one, text)
 
 
-def _layers(text: str) -> Iterator[tuple[int, int, bytes | str]]:
+#: Classes of RE2 that hold at least what the class of Python holds.
+_CLASSES = {sre.CATEGORY_SPACE: r"\s\x0b\x1c-\x1f\x{80}-\x{10ffff}", sre.CATEGORY_DIGIT: r"\d\x{80}-\x{10ffff}", sre.CATEGORY_WORD: r"\w\x{80}-\x{10ffff}", sre.CATEGORY_NOT_SPACE: r"\S"}
+#: The letters beyond ASCII that a letter of ASCII matches without regard to case.
+_FOLDED_LETTERS = r"\x{130}\x{131}\x{17f}\x{212a}"
+
+
+def _member(op: object, value: object, negated: bool) -> str:
+    if op is sre.CATEGORY:
+        return r"\s" if negated and value is sre.CATEGORY_SPACE else _CLASSES[value]
+    low, high = (value, value) if op is sre.LITERAL else value
+    return rf"\x{{{low:x}}}-\x{{{high:x}}}"
+
+
+def _wider(tree: object, flags: int) -> str:
+    """A parsed pattern for RE2 that matches in every text in which the pattern matches: assertions are left out."""
+    fold, out = bool(flags & re.I), []
+    for op, value in tree:
+        if op in (sre.LITERAL, sre.NOT_LITERAL, sre.IN):
+            members = value if op is sre.IN else [(sre.LITERAL, value)]
+            negated = op is sre.NOT_LITERAL or members[0][0] is sre.NEGATE
+            members = [x for x in members if x[0] is not sre.NEGATE]
+            inner = "".join(_member(o, v, negated) for o, v in members)
+            out.append(f"[^{inner}]" if negated else f"(?i:[{inner}{_FOLDED_LETTERS}])" if fold else f"[{inner}]")
+        elif op is sre.ANY:
+            out.append("(?s:.)")
+        elif op is sre.BRANCH:
+            out.append("(?:" + "|".join(_wider(x, flags) for x in value[1]) + ")")
+        elif op is sre.SUBPATTERN:
+            out.append("(?:" + _wider(value[3], (flags | value[1]) & ~value[2]) + ")")
+        elif op is sre.MAX_REPEAT:
+            out.append(f"(?:{_wider(value[2], flags)}){{{value[0]},{'' if value[1] is sre.MAXREPEAT else value[1]}}}")
+        elif op not in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            raise ValueError(f"no wider form of {op}")
+    return "".join(out)
+
+
+def _filter(pattern: re.Pattern) -> str:
+    return _wider(sre_parser.parse(pattern.pattern, pattern.flags), pattern.flags)
+
+
+#: Each pattern from which a hit can come with its prefilter.
+_FILTERS = {p: _filter(p) for p in (_PEM, _ASSIGN, _LOGIN, _SQL, _XML, _URL, _CURL, _HEADER, _QUERY, _OPTION, _CONN, _ENV, _LINE, _FOLDED, _NOTE, _TOKEN, _B64, _HEX, _PCT, _ESC)}
+_ALL = frozenset(_FILTERS)
+
+
+def _layers(text: str, may: frozenset[re.Pattern] = _ALL) -> Iterator[tuple[int, int, bytes | str]]:
     """Encoded literals of a text with what they decode to. Decoding always shortens, so that recursion ends."""
-    for m in _B64.finditer(text):
+    for m in _B64.finditer(text) if _B64 in may else ():
         raw = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         try:
             yield m.start(), m.end(), base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
         except (binascii.Error, ValueError):
             pass
-    for m in _HEX.finditer(text):
+    for m in _HEX.finditer(text) if _HEX in may else ():
         yield m.start(1), m.end(1), bytes.fromhex(m[1])
-    for m in _PCT.finditer(text):
+    for m in _PCT.finditer(text) if _PCT in may else ():
         yield m.start(), m.end(), unquote(m[0], errors="replace")
-    for m in _ESC.finditer(text):
+    for m in _ESC.finditer(text) if _ESC in may else ():
         yield m.start(), m.end(), _unescape(m[0])
 
 
@@ -174,8 +213,8 @@ def _grow(text: str, end: int) -> int:
     return end
 
 
-def _direct(text: str, prose: bool) -> Iterator[Hit]:
-    for m in _PEM.finditer(text):
+def _direct(text: str, prose: bool, may: frozenset[re.Pattern] = _ALL) -> Iterator[Hit]:
+    for m in _PEM.finditer(text) if _PEM in may else ():
         end = _PEM_END.search(text, m.end())
         nxt = _PEM.search(text, m.end())
         stop = end.end() if end and not (nxt and nxt.start() < end.start()) else min(len(text), m.end() + 4000)
@@ -184,23 +223,23 @@ def _direct(text: str, prose: bool) -> Iterator[Hit]:
         if sum(map(len, runs)) >= 24:
             yield Hit(m.start(), stop if end else m.end(), "private_key")
     for pattern, kind in ((_ASSIGN, "secret"), (_LOGIN, "password"), (_SQL, "password")):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if pattern in may else ():
             group = next(i for i in (1, 2, 3) if m[i] is not None)
             end = m.end(group)
             whole = _grow(text, end)
             value = m[group] if whole == end else re.sub(_PIECE, "", text[m.start(group) : whole])
             if usable(value, True):
                 yield Hit(m.start(group), whole, kind)
-    for m in _XML.finditer(text):
+    for m in _XML.finditer(text) if _XML in may else ():
         if usable(m[1], True):
             yield Hit(m.start(1), m.end(1), "secret")
-    for m in _URL.finditer(text):
+    for m in _URL.finditer(text) if _URL in may else ():
         if usable(m[1], False) and not m[1].isdigit():
             yield Hit(m.start(1), m.end(1), "password")
-    for m in _CURL.finditer(text):
+    for m in _CURL.finditer(text) if _CURL in may else ():
         if usable(m[1], True):
             yield Hit(m.start(1), m.end(1), "password")
-    for m in _HEADER.finditer(text):
+    for m in _HEADER.finditer(text) if _HEADER in may else ():
         value = m[3]
         if (m[1] or "").lower() == "basic":
             raw = value.rstrip("=")
@@ -213,16 +252,16 @@ def _direct(text: str, prose: bool) -> Iterator[Hit]:
         elif random_like(value) and not _PLACEHOLDER.search(value):
             yield Hit(m.start(3), m.end(3), "token")
     for pattern, strong in ((_QUERY, False), (_OPTION, False), (_CONN, True), (_ENV, True), (_FOLDED, True)):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if pattern in may else ():
             if usable(m[1], strong) and (strong or random_like(m[1])):
                 yield Hit(m.start(1), m.end(1), "secret")
-    for m in _LINE.finditer(text):
+    for m in _LINE.finditer(text) if _LINE in may else ():
         if usable(m[1], False) and not re.fullmatch(r"[\w.]*\.[\w.]*|[A-Za-z_]+\d?", m[1]):
             yield Hit(m.start(1), m.end(1), "secret")
-    for m in _TOKEN.finditer(text):
+    for m in _TOKEN.finditer(text) if _TOKEN in may else ():
         if not _PLACEHOLDER.search(m[0]):
             yield Hit(m.start(), m.end(), "token")
-    notes = [(0, len(text))] if prose else [m.span() for m in _COMMENT.finditer(text)]
+    notes = [] if _NOTE not in may else [(0, len(text))] if prose else [m.span() for m in _COMMENT.finditer(text)]
     for begin, stop in notes:
         for m in _NOTE.finditer(text, begin, stop):
             value = m[1].rstrip(".,;:") if len(m[1].rstrip(".,;:")) >= 8 else m[1]
@@ -256,11 +295,14 @@ def _inside(value: bytes | str, depth: int = 0) -> str | None:
     return None
 
 
-def scan(text: str, prose: bool = False) -> list[Hit]:
-    """Credentials of a text in order, none overlapping another; of two that overlap the one that begins first stays."""
-    hits = list(_direct(text, prose))
+def scan(text: str, prose: bool = False, may: frozenset[re.Pattern] = _ALL) -> list[Hit]:
+    """Credentials of a text in order, none overlapping another; of two that overlap the one that begins first stays.
+
+    ``may``: the patterns that can match in the text, if that is known.
+    """
+    hits = list(_direct(text, prose, may))
     covered = [(h.start, h.end) for h in hits]
-    for start, end, value in _layers(text):
+    for start, end, value in _layers(text, may):
         if any(a < end and start < b for a, b in covered):
             continue
         before = text[max(0, start - 24) : start]
@@ -277,17 +319,26 @@ def scan(text: str, prose: bool = False) -> list[Hit]:
     return out
 
 
-def redact(text: str, prose: bool = False) -> str:
+def redact(text: str, prose: bool = False, may: frozenset[re.Pattern] = _ALL) -> str:
     """The text with each credential replaced by ``[REDACTED_KIND]``: quotes, names and line structure around it stay."""
     out, at = [], 0
-    for h in scan(text, prose):
+    for h in scan(text, prose, may):
         out += [text[at : h.start], f"[REDACTED_{h.kind.upper()}]"]
         at = h.end
     return "".join([*out, text[at:]])
 
 
+def _contexts(column: pa.Array) -> list[frozenset[re.Pattern]]:
+    """For each text the patterns that can match in it; none for a null."""
+    may: list[list[re.Pattern]] = [[] for _ in range(len(column))]
+    for pattern, wider in _FILTERS.items():
+        for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(column, wider), False)).to_pylist():
+            may[i].append(pattern)
+    return [frozenset(x) for x in may]
+
+
 def _suspects(column: pa.Array) -> list[bool]:
-    return pc.fill_null(pc.match_substring_regex(column, TRIGGER), False).to_pylist()
+    return [bool(x) for x in _contexts(column)]
 
 
 def _columns(chunks: DataFrame) -> DataFrame:
@@ -306,16 +357,16 @@ def found(chunks: DataFrame) -> DataFrame:
             ids, fields, starts = [], [], []
             chunk_ids = batch.column(0)
             texts = batch.column(1)
-            for i, suspect in enumerate(_suspects(texts)):
-                if suspect:
-                    for h in scan(texts[i].as_py()):
+            for i, may in enumerate(_contexts(texts)):
+                if may:
+                    for h in scan(texts[i].as_py(), False, may):
                         ids.append(chunk_ids[i].as_py()), fields.append("text"), starts.append(h.start)
             keys, values = batch.column(2), batch.column(3)
             flat, owner = values.flatten(), pc.list_parent_indices(values)
             flat_keys = keys.flatten()
-            for j, suspect in enumerate(_suspects(flat)):
-                if suspect:
-                    for h in scan(flat[j].as_py(), True):
+            for j, may in enumerate(_contexts(flat)):
+                if may:
+                    for h in scan(flat[j].as_py(), True, may):
                         ids.append(chunk_ids[owner[j].as_py()].as_py()), fields.append(flat_keys[j].as_py()), starts.append(h.start)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(starts, pa.int32())], names=["chunk_id", "field", "start_char"])
 
@@ -329,10 +380,10 @@ def redacted(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             texts, keys, values = batch.column(1), batch.column(2), batch.column(3)
             new = texts
-            if any(flags := _suspects(texts)):
-                new = pa.array([redact(t.as_py()) if f else t.as_py() for t, f in zip(texts, flags, strict=True)], pa.string())
+            if any(contexts := _contexts(texts)):
+                new = pa.array([redact(t.as_py(), False, may) if may else t.as_py() for t, may in zip(texts, contexts, strict=True)], pa.string())
             flat = values.flatten()
-            clean = pa.array([redact(v.as_py(), True) if f else v.as_py() for v, f in zip(flat, _suspects(flat), strict=True)], pa.string())
+            clean = pa.array([redact(v.as_py(), True, may) if may else v.as_py() for v, may in zip(flat, _contexts(flat), strict=True)], pa.string())
             offsets, position = [], 0
             for size in pc.list_value_length(values).to_pylist():
                 offsets.append(None if size is None else position)

@@ -64,3 +64,28 @@ def test_table(spark):
     out = {r.chunk_id: r for r in s.redacted(df).collect()}
     assert out[1].text == 'password = "[REDACTED_SECRET]"' and out[1].metadata["origin"] is None and out[2].metadata is None and out[2].text is None and out[3].text == "" and out[3].metadata == {}
     assert s.found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'authenticate("svc", "Tr0ub4dor3")', 'signIn("svc", "Tr0ub4dor3")', "sign_in('svc', 'Tr0ub4dor3')", "password = `Tr0ub4dor&3`", 'run --password "Tr0ub4dor3" now', "# the password was Tr0ub4dor3x", "export DB_PASSWORD=Ab12x!", "export DB_PASSWORD=P,a55word9", "# deploy with pw Ab$9xyzQ12", "set ſECRET=Ab12x!",
+        'x = "' + "".join(f"\\{ord(c):03o}" for c in 'pw = "Zq8Lm3Np6"') + '"', 'x = "' + "".join(f"a%{ord(c):02x}" for c in "bcde") + '%20password%3D%22Zq8Lm3Np6%22"', "x: " + base64.b64encode(b"svc:Pa55wrd!").decode() + ")", "f(" + b"svc:Pa55word!x".hex() + ")", "k: 0x" + b"svc:Pa55word!x".hex(),
+    ],
+)
+def test_the_prefilter_drops_no_hit(text):
+    import pyarrow as pa
+
+    assert (hits := s.scan(text)) and s._suspects(pa.array([text])) == [True]
+    (may,) = s._contexts(pa.array([text]))
+    assert s.scan(text, False, may) == hits and s.scan(text, True, may) == s.scan(text, True)
+
+
+def test_every_pattern_that_matches_passes_its_filter():
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    texts = [t for f in Path(".").rglob("*.py") for t in f.read_text().split("\n\n")]
+    for text, may in zip(texts, s._contexts(pa.array(texts)), strict=True):
+        assert {p for p in s._FILTERS if p.search(text)} <= may
