@@ -51,7 +51,12 @@ _NOTE = re.compile(r"(?i)\b(?:" + NAMES + r"|key|login)\s+(?:(?:is|with|was)\s+)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_])(?:" + TOKENS + r")(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BEGIN = re.compile(r"-----BEGIN ")
 _BODY = re.compile(r"[A-Za-z0-9+/]{16,}")
+#: What stands between the lines or pieces of a key in code, and the header lines of a key.
+_BETWEEN = re.compile(r"(?:\\[nrt]|[\s\"'`+,.&|()\[\]\\#*;>]|//(?=\s)|--(?=[ \t])|[bfru](?=[\"'])|(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset): ?[^\r\n\"'`\\]*)*")
+#: A line or piece of a key, with nothing behind it on its line but more of the key or the end of a literal.
+_KEY_LINE = re.compile(r"(?:=[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]+={0,2})(?=[ \t]*(?:[\"'`\\<\r\n]|-----|\Z)|[ \t]+[A-Za-z0-9+/]{16})")
 _COMMENT = re.compile(r"(?m)(?:#|//|--|/\*|^\s*\*)[^\r\n]*")
 _PIECE = re.compile(r"(?:[\"'`]\s*(?:\+|\.\.?|\|\||&)?\s*\\?\n?\s*[\"'`])")
 
@@ -213,15 +218,32 @@ def _grow(text: str, end: int) -> int:
     return end
 
 
+def _key_end(text: str, at: int, limit: int) -> int:
+    """The end of the last consecutive line or piece of a key without END that begins at ``at``; ``at`` if there is none.
+
+    A short line belongs to the key only as its last one: where the text ends, or if it does not read like a word.
+    """
+    end = at
+    while True:
+        between = _BETWEEN.match(text, end, limit)
+        line = _KEY_LINE.match(text, between.end(), limit)
+        gap = re.sub(r"[bfru](?=[\"'])", "", between[0])
+        if line is None or (re.search(r"[\"'`]", gap.rstrip("\"'`")) and gap[-1] not in "\"'`"):
+            return end
+        if len(line[0]) < 16:
+            odd = re.search(r"[0-9+/=]|[a-z][A-Z]", line[0]) or not text[line.end() : limit].strip(" \t\r\n\"'`\\")
+            return line.end() if odd and end > at else end
+        end = line.end()
+
+
 def _direct(text: str, prose: bool, may: frozenset[re.Pattern] = _ALL) -> Iterator[Hit]:
     for m in _PEM.finditer(text) if _PEM in may else ():
-        end = _PEM_END.search(text, m.end())
-        nxt = _PEM.search(text, m.end())
-        stop = end.end() if end and not (nxt and nxt.start() < end.start()) else min(len(text), m.end() + 4000)
-        body = text[m.end() : end.start() if end and stop == end.end() else stop]
-        runs = _BODY.findall(body[:400] if stop != (end.end() if end else -1) else body)
-        if sum(map(len, runs)) >= 24:
-            yield Hit(m.start(), stop if end else m.end(), "private_key")
+        following = _BEGIN.search(text, m.end())
+        limit = following.start() if following else len(text)
+        end = _PEM_END.search(text, m.end(), limit)
+        stop = end.end() if end else _key_end(text, m.end(), limit)
+        if sum(map(len, _BODY.findall(text, m.end(), end.start() if end else stop))) >= 24:
+            yield Hit(m.start(), stop, "private_key")
     for pattern, kind in ((_ASSIGN, "secret"), (_LOGIN, "password"), (_SQL, "password")):
         for m in pattern.finditer(text) if pattern in may else ():
             group = next(i for i in (1, 2, 3) if m[i] is not None)
