@@ -42,22 +42,26 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extensions, contents = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         found = [check(e, c) for e, c in zip(extensions, contents, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array([len(f) for f in found], pa.int32()), pa.array([f[0].message if f else None for f in found], pa.string()), pa.array([f[0].at if f else None for f in found], pa.int32())],
-            names=["file_id", "project_id", "extension", "n_errors", "first_cause", "first_at"],
-        )
+            [
+                batch.column(0), batch.column(1), batch.column(2), pa.array([len(f) for f in found], pa.int32()), pa.array([f[0].message if f else None for f in found], pa.string()), pa.array([f[0].at if f else None for f in found], pa.int32()),
+                pa.array([[{"at": e.at, "message": e.message} for e in f] for f in found], pa.list_(pa.struct([("at", pa.int32()), ("message", pa.string())]))),
+            ],
+            names=["file_id", "project_id", "extension", "n_errors", "first_cause", "first_at", "errors"],
+        )
 
 
 def errors(files: DataFrame) -> DataFrame:
-    """``file_id, project_id, language, n_errors, first_cause, first_at`` of every file of a known extension.
+    """``file_id, project_id, language, n_errors, first_cause, first_at, errors`` of every file of a known extension.
 
+    ``errors`` holds the position and cause of each error in the order in which the parser met them.
     Files with another extension, a null path, or null or empty content are not judged and give no row. A text of
     white space parses in every language but JSON. A file that was delivered twice counts once.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     judged = files.select("file_id", "project_id", extension.alias("extension"), "content").where(F.col("extension").isin(*LANGUAGES) & (F.length("content") > 0))
-    out = spread(judged, "file_id").mapInArrow(_parsed, "file_id bigint, project_id string, extension string, n_errors int, first_cause string, first_at int")
+    out = spread(judged, "file_id").mapInArrow(_parsed, "file_id bigint, project_id string, extension string, n_errors int, first_cause string, first_at int, errors array<struct<at int, message string>>")
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return out.dropDuplicates(["file_id"]).select("file_id", "project_id", names[F.col("extension")].alias("language"), "n_errors", "first_cause", "first_at")
+    return out.dropDuplicates(["file_id"]).select("file_id", "project_id", names[F.col("extension")].alias("language"), "n_errors", "first_cause", "first_at", "errors")
 
 
 def found(files: DataFrame) -> DataFrame:

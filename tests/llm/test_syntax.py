@@ -85,3 +85,11 @@ def test_table(spark):
     rates = {(r.project_id, r.language): (r.n_files, r.n_invalid) for r in syntax.rates(df).collect()}
     assert rates["p", "python"] == (3, 2) and rates["p", "json"] == (1, 1)
     assert syntax.found(df.limit(0)).count() == 0
+
+
+def test_every_error_is_stored(spark):
+    text = "<<<<<<< HEAD\nlet x = ;\nf();\nlet y = ;\n"
+    rows = [(1, "p", "a.js", text), (2, "p", "b.js", "f();\n")]
+    out = {r.file_id: r for r in syntax.errors(spark.createDataFrame(rows, "file_id bigint, project_id string, path string, content string")).collect()}
+    assert [(e.at, e.message) for e in out[1].errors] == [(e.at, e.message) for e in syntax.check("js", text)]
+    assert len(out[1].errors) == out[1].n_errors >= 2 and out[1].errors[0] == (out[1].first_at, out[1].first_cause) and out[2].errors == []
