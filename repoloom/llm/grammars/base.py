@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -13,6 +16,21 @@ class Error:
     message: str
 
 
+def any_depth(parse: Callable[[str], list[Error]]) -> Callable[[str], list[Error]]:
+    """Lets a parser recurse as deep as its text can nest: a level takes a character at least, and fewer than 100 calls."""
+
+    @functools.wraps(parse)
+    def deep(text: str) -> list[Error]:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(min(limit + 100 * len(text), 2**31 - 1))
+        try:
+            return parse(text)
+        finally:
+            sys.setrecursionlimit(limit)
+
+    return deep
+
+
 class Problem(Exception):
     """Raised inside a statement; caught where the parser can start afresh."""
 

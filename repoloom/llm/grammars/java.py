@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from repoloom.llm.grammars.base import Error, Parser, Problem
+from repoloom.llm.grammars.base import Error, Parser, Problem, any_depth
 
 _TOKEN = re.compile(
     r"(?P<space>(?:\s+|//[^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/)+)"
@@ -24,6 +24,7 @@ _ASSIGN = frozenset("= += -= *= /= &= |= ^= %= <<= >>= >>>=".split())
 _STOPS = frozenset(";}")
 
 
+@any_depth
 def parse_java(text: str) -> list[Error]:
     """Errors of a compilation unit."""
     k: list[str] = []
@@ -72,9 +73,6 @@ class _Java(Parser):
             except Problem as problem:
                 self.note(problem)
                 self.recover(_STOPS, start)
-            except RecursionError:
-                self.note(Problem("nested too deeply"))
-                return
 
     def top(self) -> None:
         if self.accept(";"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from repoloom.llm.grammars.base import Error, Parser, Problem
+from repoloom.llm.grammars.base import Error, Parser, Problem, any_depth
 
 _SPACE = re.compile(r"(?:(?:[^\S\n\r\u2028\u2029]|\ufeff)+|\r\n|[\n\r\u2028\u2029]|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)+")
 _NAME = re.compile(r"#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
@@ -23,6 +23,7 @@ _PREFIX = frozenset("+ - ! ~ typeof void delete ++ --".split())
 _STOPS = frozenset(";}")
 
 
+@any_depth
 def parse_javascript(text: str) -> list[Error]:
     """Errors of a script or module; of the two readings the one with fewer errors counts."""
     parser = _lex(text)
@@ -142,9 +143,6 @@ class _Js(Parser):
             except Problem as problem:
                 self.note(problem)
                 self.recover(_STOPS, start)
-            except RecursionError:
-                self.note(Problem("nested too deeply"))
-                return
 
     def end(self) -> None:
         """The end of a statement: a semicolon, or one that may be inserted."""

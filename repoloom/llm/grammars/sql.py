@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from repoloom.llm.grammars.base import Error, Parser, Problem
+from repoloom.llm.grammars.base import Error, Parser, Problem, any_depth
 
 _TOKEN = re.compile(
     r"(?P<space>(?:\s+|--[^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/)+)"
@@ -21,6 +21,7 @@ _BINARY = {"OR": 1, "AND": 2, "=": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "<>": 4,
 _STOPS = frozenset(";")
 
 
+@any_depth
 def parse_sql(text: str) -> list[Error]:
     """Errors of a script; statements are separated by semicolons, the last one may go without."""
     k: list[str] = []
@@ -62,9 +63,6 @@ class _Sql(Parser):
             except Problem as problem:
                 self.note(problem)
                 self.recover(_STOPS, start)
-            except RecursionError:
-                self.note(Problem("nested too deeply"))
-                return
 
     def is_name(self, kind: str) -> bool:
         return kind == "QUOTED" or (kind[:1].isalpha() or kind[:1] in "_@:#$") and len(kind) > 0 and kind not in _RESERVED and kind not in ("EOF", "STR", "NUM") and (kind[:1].isalpha() or kind[:1] == "_" or len(kind) > 1)

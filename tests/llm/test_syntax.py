@@ -93,3 +93,23 @@ def test_every_error_is_stored(spark):
     out = {r.file_id: r for r in syntax.errors(spark.createDataFrame(rows, "file_id bigint, project_id string, path string, content string")).collect()}
     assert [(e.at, e.message) for e in out[1].errors] == [(e.at, e.message) for e in syntax.check("js", text)]
     assert len(out[1].errors) == out[1].n_errors >= 2 and out[1].errors[0] == (out[1].first_at, out[1].first_cause) and out[2].errors == []
+
+
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("js", "if (a) {}" + " else if (a) { f() }" * 5000), ("js", "x = " + "(" * 5000 + "1" + ")" * 5000 + ";"), ("js", "x = " + "[" * 3000 + "]" * 3000 + ";"), ("java", "class A { void m() { if (a) { }" + " else if (a) { f(); }" * 5000 + " } }"),
+        ("java", "class A { int x = " + "f(" * 2000 + "1" + ")" * 2000 + "; }"), ("sql", "SELECT " + "(" * 5000 + "1" + ")" * 5000), ("sql", "SELECT " + "CASE WHEN a THEN 1 ELSE " * 2000 + "1" + " END" * 2000),
+    ],
+)
+def test_depth_does_not_decide_validity(language, text):
+    import sys
+
+    limit = sys.getrecursionlimit()
+    assert syntax.check(language, text) == [] and sys.getrecursionlimit() == limit
+
+
+def test_errors_behind_deep_nesting_are_found():
+    deep = "x = " + "[" * 3000 + "]" * 3000 + ";\n"
+    assert [e.at for e in syntax.check("js", deep + "let y = ;\n")] == [len(deep) + 8]
+    assert syntax.check("js", "x = " + "(" * 30_000) and syntax.check("sql", "SELECT " + "(" * 30_000)
