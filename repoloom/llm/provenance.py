@@ -67,7 +67,7 @@ def evidence(path: str, content: str, lines_of_code: int | None = None) -> list[
     size = len(content)
     code = bool(_CODE.search(name))
     head = _COMMENT_HEAD.match(content)
-    top = "\n".join([head[0][:3000] if head else "", *_COMMENT_LINE.findall(content.replace("\r", "\n"))])
+    top = "\n".join([head[0] if head else "", *_COMMENT_LINE.findall(content.replace("\r", "\n"))])
     if _GENERATED.search(_NOT_GENERATED.sub("", top)):
         out[generated] += 9
     if _VENDORED.search(top):
@@ -89,9 +89,11 @@ def evidence(path: str, content: str, lines_of_code: int | None = None) -> list[
     blanks = sum(body.count(c) for c in " \t") / max(1, len(body))
     marks = sum(body.count(c) for c in "{}();,=") / max(1, len(body))
     if longest > 200 and blanks < 0.09 and marks > 0.12 and len(body) > 300 and re.search(r"[{};]", body):
-        names = _WORD.findall(body[:20_000])
-        short = sum(len(x) <= 3 for x in names) / max(1, len(names))
-        if names and short > 0.3:
+        names = short = 0
+        for m in _WORD.finditer(body):
+            names += 1
+            short += m.end() - m.start() <= 3
+        if short > 0.3 * names:
             out[minified] += 8
     if re.search(r"(?m)^//# sourceMappingURL=", content) and len(rows) <= 6:
         out[minified] += 3

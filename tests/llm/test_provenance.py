@@ -54,3 +54,12 @@ def test_propagation_is_exact_on_a_tree(spark):
     want = brute({"d/a.py": "d", "d/b.py": "d", "c.py": "", "d": ""}, evidence, {})
     got = label(spark, *files)
     assert {p: v.LABELS.index(got[i]) for i, (p, _) in enumerate(files)} == want
+
+
+def test_the_whole_header_and_the_whole_body_count():
+    generated, minified = v.LABELS.index("generated"), v.LABELS.index("minified")
+    header = "/*\n" + "Terms of use apply to this text.\n" * 120 + "Code generated by a tool.\n*/\n"
+    assert v.evidence("src/a.js", header + "f();\n")[generated] > 0
+    preamble = "registerModule(firstDependency,secondDependency);" * 450
+    bundle = "!function(e,t){var n=e(t);return n?t(n):e(1)};" * 900
+    assert len(preamble) > 20_000 and v.evidence("src/b.js", preamble + bundle)[minified] > 0 and v.evidence("src/b.js", preamble)[minified] == 0
