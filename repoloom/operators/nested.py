@@ -184,27 +184,28 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _root(graph: SchemaGraph, doc: str) -> str:
-    """SQL: the record inside its wrapping, or null.
+def _root(graph: SchemaGraph, doc: str, text: str) -> str:
+    """SQL: the record of a parsed ``doc`` and its JSON ``text`` inside its wrapping, or null.
 
     The record is the outermost object, the first of its level, that has a label of the root's edges, or else one of its
     attributes. Objects, arrays and JSON texts may wrap it, under any label and to any depth.
     """
     as_object = lambda v: f"try_variant_get({v}, '$', {_ANY_OBJECT})"
-    opened = lambda vs: f"transform({vs}, t -> coalesce(try_parse_json(try_variant_get(t, '$', 'string')), t))"
+    nested = lambda v: f"({as_object(v)} is not null or try_variant_get({v}, '$', {_ANY_ARRAY}) is not null)"
+    opened = lambda vs: f"filter(transform({vs}, t -> if({nested('t')}, t, try_parse_json(try_variant_get(t, '$', 'string')))), t -> t is not null and {nested('t')})"
     below = lambda vs: opened(f"flatten(transform({vs}, w -> coalesce(map_values({as_object('w')}), try_variant_get(w, '$', {_ANY_ARRAY}), cast(array() as array<variant>))))")
     tries = []
-    deepest = f"length({doc}::string) - length(replace({doc}::string, '{{', '')) + 1"
+    deepest = f"if(contains({text}, '\\\\u'), length({text}), length({text}) - length(translate({text}, '{{[', '')) + 1)"
     for labels in ([e.label for e in graph.children(graph.root)], list(graph.attributes.get(graph.root, {}))):
         if labels:
             known = ", ".join(map(_text, labels))
-            fits = f"r -> arrays_overlap(map_keys({as_object('r')}), array({known}))"
-            level = opened(f"array({doc})")
-            for _ in range(3):
-                tries.append(f"try_element_at(filter({level}, {fits}), 1)")
-                level = below(level)
-            deeper = f"aggregate(sequence(1, {deepest}), {level}, (a, n) -> if(exists(a, {fits}) or size(a) = 0, a, {below('a')}))"
-            tries.append(f"try_element_at(filter({deeper}, {fits}), 1)")
+            fits = lambda v: f"arrays_overlap(map_keys({as_object(v)}), array({known}))"  # noqa: B023, E731
+            tries.append(f"if({fits(doc)}, {doc}, null)")
+            hit = f"try_element_at(filter(a.level, r -> {fits('r')}), 1)"
+            start = f"named_struct('hit', cast(null as variant), 'level', {opened(f'array({doc})')})"
+            # a text without any of the labels needs no search
+            may = " or ".join(f"contains({text}, {_text(x)})" for x in [*labels, "\\u"])
+            tries.append(f"if({may}, aggregate(sequence(1, {deepest}), {start}, (a, n) -> if(a.hit is not null or size(a.level) = 0, a, named_struct('hit', {hit}, 'level', if(exists(a.level, r -> {fits('r')}), a.level, {below('a.level')}))), a -> a.hit), null)")
     return f"coalesce({', '.join(tries)})"
 
 
@@ -212,8 +213,8 @@ _ELEMENT = ("e.kind", "e.label", "e.parent_path", "e.pos", "e.value")
 
 
 def _records(records: DataFrame, id_col: str, json_col: str, graph: SchemaGraph) -> DataFrame:
-    parsed = records.select(F.col(id_col), F.expr(f"try_parse_json(`{json_col}`)").alias("doc"))  # parsed once; a null record explodes to no row
-    return parsed.select(id_col, F.expr(_root(graph, "doc")).alias("record"))
+    parsed = records.select(F.col(id_col), F.expr(f"try_parse_json(`{json_col}`)").alias("doc"), F.col(json_col).alias("_text"))  # parsed once; a null record explodes to no row
+    return parsed.select(id_col, F.expr(_root(graph, "doc", "_text")).alias("record"))
 
 
 def elements(records: DataFrame, id_col: str, json_col: str, graph: SchemaGraph, kinds: set[str] | None = None) -> DataFrame:
