@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from re import _constants as sre
@@ -112,7 +112,7 @@ def der_kind(data: bytes) -> str | None:
     if outer is None or outer[0] != 0x30 or len(data) - outer[2] > 3:
         return None
     tags, at = [], outer[1]
-    while at < outer[2] and len(tags) < 12:
+    while at < outer[2]:
         part = tlv(at)
         if part is None:
             return None
@@ -294,38 +294,51 @@ def _direct(text: str, prose: bool, may: frozenset[re.Pattern] = _ALL) -> Iterat
 _PAIR = re.compile(r"[\w.@-]{2,40}:\S{6,}")
 
 
-def _inside(value: bytes | str, depth: int = 0) -> str | None:
-    """The kind of credential that a decoded literal holds, or None."""
-    if isinstance(value, bytes):
-        kind = der_kind(value)
-        if kind:
-            return "private_key" if kind == "private" else None
-        text = _printable(value)
-    else:
-        text = value
-    if text is None:
-        return None
-    if m := _PAIR.fullmatch(text):
-        if usable(m[0].partition(":")[2], True) and not text.startswith(("http", "data:", "urn:", "sha")):
-            return "credential_pair"
-    for hit in _direct(text, False):
-        return hit.kind
-    if depth < 8:
-        for _, _, below in _layers(text):
-            if kind := _inside(below, depth + 1):
-                return kind
+def _inside(value: bytes | str) -> str | None:
+    """The kind of credential that a decoded literal holds at any depth of encoding, or None."""
+    layers = [value]
+    while layers:
+        value = layers.pop()
+        if isinstance(value, bytes):
+            kind = der_kind(value)
+            if kind == "private":
+                return "private_key"
+            text = None if kind else _printable(value)
+        else:
+            text = value
+        if text is None:
+            continue
+        if m := _PAIR.fullmatch(text):
+            if usable(m[0].partition(":")[2], True) and not text.startswith(("http", "data:", "urn:", "sha")):
+                return "credential_pair"
+        for hit in _direct(text, False):
+            return hit.kind
+        layers += [below for _, _, below in _layers(text)][::-1]
     return None
 
 
+def _merged(hits: list[Hit]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that hits cover, ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for h in sorted(hits, key=lambda h: h.start):
+        if ends and h.start < ends[-1]:
+            ends[-1] = max(ends[-1], h.end)
+        else:
+            starts.append(h.start), ends.append(h.end)
+    return starts, ends
+
+
 def scan(text: str, prose: bool = False, may: frozenset[re.Pattern] = _ALL) -> list[Hit]:
     """Credentials of a text in order, none overlapping another; of two that overlap the one that begins first stays.
 
     ``may``: the patterns that can match in the text, if that is known.
     """
     hits = list(_direct(text, prose, may))
-    covered = [(h.start, h.end) for h in hits]
+    starts, ends = _merged(hits)
     for start, end, value in _layers(text, may):
-        if any(a < end and start < b for a, b in covered):
+        at = bisect_left(starts, end) - 1
+        if at >= 0 and ends[at] > start:
             continue
         before = text[max(0, start - 24) : start]
         if re.search(r"(?:base64,|sha\d{3}-|PUBLIC KEY-----\s*)$", before):
