@@ -44,7 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = sc.getConf().get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "repoloom-checkpoint")
+    folder = sc.getConf().get("spark.checkpoint.dir", "")
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "repoloom-checkpoint")
     sc.setCheckpointDir(folder)
     return folder
 
@@ -84,6 +88,15 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     return df if enough else df.repartition(want * per_core, *keys)
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key; rows of which a part of the key is null are no duplicates of each other and all stay."""
+    unknown = F.lit(False)
+    for key in keys:
+        unknown = unknown | F.col(key).isNull()
+    marked = df.withColumn("_apart", F.when(unknown, F.monotonically_increasing_id()))
+    return marked.dropDuplicates([*keys, "_apart"]).drop("_apart")
+
+
 def numbered(df: DataFrame, group: str, *order: str, out: str = "position") -> DataFrame:
     """Number the rows of each group from 0 in an order, without a window over a whole group.
 
