@@ -14,6 +14,9 @@ _TOKEN = re.compile(
     r"|(?P<name>[^\W\d][\w$#]*|[@:#$][\w$#]+|@@\w+)"
     r"|(?P<mark><=>|->>|#>>|::|:=|<>|!=|<=|>=|\|\||->|#>|<<|>>|&&|[-+*/%^&|~<>=(),;.:?\[\]{}!@#])"
 )
+#: Lines that clients read themselves, and the rows behind ``COPY ... FROM STDIN``.
+_COMMAND = re.compile(r"(?i)(?:DELIMITER[ \t]+(?P<delimiter>\S+)|GO(?:[ \t]+\d+)?)[ \t]*;?[ \t]*(?=[\r\n]|\Z)")
+_COPY_DATA = re.compile(r"[ \t]*(?:\r\n|\n|\r)(?:(?!\\\.[ \t]*(?:[\r\n]|\Z))[^\r\n]*(?:\r\n|\n|\r))*\\\.[ \t]*(?=[\r\n]|\Z)")
 #: Words that begin a statement, and words that cannot be a name without quotes. Fixed values.
 _BEGIN = frozenset("SELECT INSERT UPDATE DELETE CREATE ALTER DROP WITH VALUES TRUNCATE GRANT REVOKE BEGIN COMMIT ROLLBACK START SET USE PRAGMA EXPLAIN ANALYZE VACUUM COMMENT CALL EXECUTE EXEC DECLARE MERGE REPLACE SAVEPOINT RELEASE LOCK UNLOCK COPY SHOW DESCRIBE DESC REINDEX ATTACH DETACH DO END RENAME IF GO PREPARE DEALLOCATE REFRESH TABLE CLUSTER LISTEN NOTIFY RESET DISCARD FETCH CLOSE OPEN PRINT RETURN WHILE LOAD IMPORT".split())
 _RESERVED = frozenset("SELECT FROM WHERE GROUP HAVING ORDER LIMIT UNION INTERSECT EXCEPT INSERT INTO UPDATE DELETE CREATE DROP ALTER TABLE JOIN ON AND OR NOT IN IS NULL LIKE BETWEEN CASE WHEN THEN ELSE END AS DISTINCT VALUES SET EXISTS PRIMARY FOREIGN REFERENCES CHECK CONSTRAINT UNIQUE DEFAULT USING INNER CROSS NATURAL WITH".split())
@@ -29,7 +32,12 @@ def parse_sql(text: str) -> list[Error]:
     p: list[int] = []
     errors: list[Error] = []
     at, n = 1 if text.startswith("\ufeff") else 0, len(text)
+    delimiter, first = ";", 0  # where the current statement begins in ``k``
     while at < n:
+        if delimiter != ";" and text.startswith(delimiter, at):
+            k.append(";"), v.append(delimiter), p.append(at)
+            at, first = at + len(delimiter), len(k)
+            continue
         m = _TOKEN.match(text, at)
         if m is None:
             errors.append(Error(at, f"no token: {text[at : at + 20]!r}"))
@@ -38,11 +46,26 @@ def parse_sql(text: str) -> list[Error]:
             at += 1
             continue
         kind = m.lastgroup if m.lastgroup != "tag" else "str"
+        if kind == "name" and (command := _COMMAND.match(text, at)) and (at == 0 or text[:at].rstrip(" \t")[-1:] in ("", "\n", "\r")):
+            if command["delimiter"]:
+                delimiter = command["delimiter"]
+            else:  # the end of a batch
+                k.append(";"), v.append(command[0]), p.append(at)
+            at, first = command.end(), len(k)
+            continue
+        end = m.end()
         if kind != "space":
             value = m[0]
+            if kind == "name" and delimiter != ";" and (cut := value.find(delimiter)) > 0:
+                value, end = value[:cut], at + cut
             k.append(value if kind == "mark" else value.upper() if kind == "name" else "QUOTED" if kind == "quoted" else "STR" if kind == "str" else "NUM")
             v.append(value), p.append(at)
-        at = m.end()
+            if value == ";" and delimiter == ";":
+                if k[first] == "COPY" and "STDIN" in k[first:] and (data := _COPY_DATA.match(text, m.end())):
+                    at, first = data.end(), len(k)
+                    continue
+                first = len(k)
+        at = end
     for _ in range(4):
         k.append("EOF"), v.append(""), p.append(n)
     parser = _Sql(k, v, p, errors)
@@ -85,6 +108,8 @@ class _Sql(Parser):
         self.expect("(")
         while True:
             self.expression()
+            if self.k[self.i] not in ("ASC", "DESC", "NULLS") and self.is_name(self.k[self.i]):
+                self.qualified()  # an operator class
             self.accept("ASC")
             self.accept("DESC")
             if self.accept("NULLS"):
@@ -401,7 +426,7 @@ class _Sql(Parser):
             words += 1
         if self.accept("("):
             while not self.accept(")"):
-                if self.k[self.i] not in ("NUM", "STR", "MAX", ",", "CHAR", "BYTE", "*", "-"):
+                if self.k[self.i] not in ("NUM", "STR", "QUOTED", "MAX", ",", "CHAR", "BYTE", "*", "-"):
                     raise self.fail("size")
                 self.i += 1
         while self.k[self.i] in ("UNSIGNED", "SIGNED", "ZEROFILL", "VARYING"):
@@ -620,9 +645,9 @@ class _Sql(Parser):
             self.expect("BY")
             self.accept("ALL")
             if self.k[self.i] not in (";", "EOF", "HAVING", "ORDER", ")"):
-                self.expression()
+                self.grouping()
                 while self.accept(","):
-                    self.expression()
+                    self.grouping()
         if self.accept("HAVING"):
             self.expression()
         if self.accept("QUALIFY"):
@@ -635,6 +660,20 @@ class _Sql(Parser):
                 if not self.accept(","):
                     break
 
+    def grouping(self) -> None:
+        if self.k[self.i] == "GROUPING" and self.k[self.i + 1] == "SETS":
+            self.i += 2
+            self.expect("(")
+            while True:
+                self.grouping()
+                if self.accept(")"):
+                    return
+                self.expect(",")
+        elif self.k[self.i] == "(" and self.k[self.i + 1] == ")":
+            self.i += 2
+        else:
+            self.expression()
+
     def columns(self) -> None:
         while True:
             if not self.accept("*"):
@@ -692,6 +731,9 @@ class _Sql(Parser):
             if self.k[self.i] == "(":
                 self.call()
         self.alias()
+        if self.k[self.i] == "WITH" and self.k[self.i + 1] == "(":  # table hints
+            self.i += 1
+            self.balanced()
         if self.accept("TABLESAMPLE"):
             self.name()
             self.balanced()

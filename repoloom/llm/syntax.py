@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoloom.llm.grammars import PARSERS, Error
-from repoloom.session import spread
+from repoloom.session import once, spread
 
 #: The language of an extension. Fixed values.
 LANGUAGES = {"py": "python", "js": "javascript", "java": "java", "sql": "sql", "json": "json"}
@@ -55,13 +55,14 @@ def errors(files: DataFrame) -> DataFrame:
 
     ``errors`` holds the position and cause of each error in the order in which the parser met them.
     Files with another extension, a null path, or null or empty content are not judged and give no row. A text of
-    white space parses in every language but JSON. A file that was delivered twice counts once.
+    white space parses in every language but JSON. A file that was delivered twice counts once;
+    files with a null id are all judged and kept.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     judged = files.select("file_id", "project_id", extension.alias("extension"), "content").where(F.col("extension").isin(*LANGUAGES) & (F.length("content") > 0))
     out = spread(judged, "file_id").mapInArrow(_parsed, "file_id bigint, project_id string, extension string, n_errors int, first_cause string, first_at int, errors array<struct<at int, message string>>")
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return out.dropDuplicates(["file_id"]).select("file_id", "project_id", names[F.col("extension")].alias("language"), "n_errors", "first_cause", "first_at", "errors")
+    return once(out, "file_id").select("file_id", "project_id", names[F.col("extension")].alias("language"), "n_errors", "first_cause", "first_at", "errors")
 
 
 def found(files: DataFrame) -> DataFrame:

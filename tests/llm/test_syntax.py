@@ -24,12 +24,14 @@ GOOD = {
         "", "-- only (a comment", "CREATE TABLE IF NOT EXISTS a.b (id SERIAL PRIMARY KEY, n NUMERIC(10, 2) NOT NULL DEFAULT 0, t TIMESTAMP WITH TIME ZONE, CONSTRAINT c FOREIGN KEY (x, y) REFERENCES z (x, y) ON DELETE CASCADE, CHECK (n > 0), UNIQUE (n));", "INSERT INTO t (a, b) VALUES (1, 'it''s'), (NULL, -2) ON CONFLICT (a) DO UPDATE SET b = excluded.b RETURNING *;",
         "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r) SELECT DISTINCT a.*, count(*) FILTER (WHERE x) AS c, sum(y) OVER (PARTITION BY z ORDER BY w) FROM r AS a LEFT JOIN b USING (id), c WHERE a.x BETWEEN 1 AND 2 AND y NOT IN (1, 2) OR z IS NOT NULL AND w LIKE 'a%' GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC NULLS LAST LIMIT 3 OFFSET 1",
         "SELECT CASE WHEN a THEN 1 ELSE 2 END, CAST(x AS int), y::text[], EXISTS (SELECT 1), interval '1 day', extract(year FROM d) FROM f(1) g; UPDATE t SET a = 1, b = b + 1 WHERE id = 3; DELETE FROM t; DROP TABLE IF EXISTS t CASCADE; ALTER TABLE t ADD COLUMN c INT, DROP COLUMN d; CREATE UNIQUE INDEX i ON t (a DESC, lower(b)); BEGIN; COMMIT", "CREATE VIEW v AS SELECT 1; CREATE FUNCTION f() RETURNS int AS $$ BEGIN RETURN 1; END; $$ LANGUAGE plpgsql;",
+        'CREATE TABLE a (s ENUM("x", "y") NOT NULL);', "CREATE INDEX i ON t USING btree (a text_pattern_ops DESC, b public.ops);", "SELECT * FROM [dbo].[x] WITH (NOLOCK) JOIN y WITH (INDEX(1)) ON x.a = y.a\nGO\nSELECT a\nFROM b\nGO 5\n", "SELECT a, count(*) FROM t GROUP BY GROUPING SETS ((a, b), (), CUBE (a)), ()",
+        "DELIMITER //\nCREATE PROCEDURE p()\nBEGIN\n  SELECT 1;\n  SELECT 2;\nEND //\nDELIMITER ;\nSELECT 3;", "DELIMITER $$\nCREATE TRIGGER g BEFORE INSERT ON t FOR EACH ROW BEGIN SET NEW.a = 1; END$$\nDELIMITER ;\n", "COPY t (a, b) FROM stdin;\n1\tit's\n2\t((\n\\.\n\nSELECT 1;",
     ],
 }
 BAD = {
     "js": ["const a = ;", "function f( {", "return 1;", "if (a {", "let x = 'abc", "a b", "<<<<<<< HEAD\nx\n", "class A { x y }", "import re", "`a ${b", "const x;", "f(,)", "1 = a", "try { }", "({a b})", "/* open", "package demo;", "(a, b) => ", "()"],
     "java": ["class A {", "public class A { int x }", "class A { void f() { x + 1; } }", "class A { void f() { if (a { } }", "def f(): pass", "class A { String s = \"abc\n; }", "class { }", "class A { int f( { } }", "import a.b", "class A { void f() { return 1 } }", "<<<<<<< HEAD", "class A { void f() { a(1,); } }", "int x;", "class A { void f() { try { } } }"],
-    "sql": ["CREATE TABLE a (id INT", "CREATE TABLE a (id INT,);", "INSERT INTO t (a, b VALUES (1)", "SELECT FROM;", "SELECT * FROM a WHERE", "SELECT a FROM b WHERE id >", "def f(): pass", "<<<<<<< HEAD", "CREATE TABLE a (id INT NOT)", "SELECT 'abc", "x", "INSERT INTO t VALUES (1,)", "SELECT a b c FROM d"],
+    "sql": ["CREATE TABLE a (id INT", "CREATE TABLE a (id INT,);", "INSERT INTO t (a, b VALUES (1)", "SELECT FROM;", "SELECT * FROM a WHERE", "SELECT a FROM b WHERE id >", "def f(): pass", "<<<<<<< HEAD", "CREATE TABLE a (id INT NOT)", "SELECT 'abc", "x", "INSERT INTO t VALUES (1,)", "SELECT a b c FROM d", "SELECT a FROM b\nGO\nSELECT FROM c\nGO", "DELIMITER //\nSELECT 1 FROM //\nDELIMITER ;", "COPY t FROM stdin;\n1\n\\.\nSELEC 1;", "SELECT a FROM b GROUP BY GROUPING SETS ((a)", "CREATE INDEX i ON t (a b c)"],
     "json": ["", "{", "[1,]", "{'a': 1}", '{"a": 1} x', '{"a" 1}', '["\n"]', "01", "nul", '{"a":1,}', "NaN"],
 }
 
