@@ -19,17 +19,20 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.session import materialise, spread
+from repoloom.session import materialise, once, spread
 
-#: Probability below which prompt and response count as being in two languages, and letters that this needs.
+#: Probability below which prompt and response count as being in two languages.
 SAME_LANGUAGE = 0.01
-LEAST_LETTERS = 16
+#: The weights that :mod:`repoloom.llm.pairs_train` made, and pairs that are judged at once.
+COUNTS = str(Path(__file__).with_name("pairs_counts.npz"))
+GROUP = 1000
 #: End likelihood below which a response without a closing mark counts as truncated, and occurrences that an order needs.
 END_LIKELIHOOD, END_BACKOFF, SUPPORT = 0.10, 0.06, 3
 
@@ -79,88 +82,114 @@ _REFUSALS = re.compile(
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _PATH = r"(?:[\w.-]+/)+[\w-]+\.\w+"
 _TOKEN = re.compile(rf"(?P<path>{_PATH})|(?P<part>(?:[\w.-]+/)+[\w.-]*)|(?P<name>\w+(?:_\w+)+|[a-z]+[A-Z]\w*|[A-Z][a-z0-9]+(?:[A-Z]\w*)+)|(?P<number>\d+)|(?P<word>\w+)|(?P<mark>[^\w\s])")
-_CODE_WORD = re.compile(rf"{_PATH}|(?:[\w.-]+/)+[\w.-]*|\b\w*_\w*\b|\b[a-z]+[A-Z]\w*\b|\b[A-Z][a-z0-9]+(?:[A-Z]\w*)+\b|\d+")
+#: Code as a whole, or else a word.
+_NATURAL = re.compile(rf"{_PATH}|(?:[\w.-]+/)+[\w.-]*|\b\w*_\w*\b|\b[a-z]+[A-Z]\w*\b|\b[A-Z][a-z0-9]+(?:[A-Z]\w*)+\b|\d+|([^\W\d_]+)")
+_LONG_NAME = re.compile(r"[\w./-]*\w")
+_LAST_NAME = re.compile(r"[\w./-]*\w\Z")
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
 
 class LanguageModel:
-    """Naive Bayes over hashed n-grams of one to four characters of words with their edges, add-one smoothed.
+    """Naive Bayes over hashed n-grams of one to four characters of words with their edges.
 
     A text's scores are the sums of its words' scores, and those of a word are remembered.
     """
 
     BUCKETS = 1 << 15
     #: Words whose scores a worker remembers; beyond it the memory is emptied.
-    REMEMBERED = 200_000
-
-    def __init__(self, sentences: dict[str, str]) -> None:
-        self.languages = list(sentences)
-        counts = np.zeros((self.BUCKETS, len(self.languages)))
-        for k, text in enumerate(sentences.values()):
-            for word in self.words(text):
-                np.add.at(counts[:, k], self.grams(word), 1.0)
+    REMEMBERED = 100_000
+    #: Words that are summed at once.
+    SLICE = 200_000
+    #: What the counts of a language are scaled to, so that what is unseen weighs the same in all, and what is added.
+    TOTAL, ADDED = 6000, 0.05
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.languages = list(SENTENCES)
+        self.counts = counts
+        scaled = counts / counts.sum(0) * self.TOTAL
         # n-grams of several lengths are not independent: a text counts as a fraction of its grams
-        self.log = (np.log((counts + 0.05) / (counts.sum(0) + 0.05 * 4000)) / 2.5).astype(np.float32)
-        self.known: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return re.findall(r"[^\W\d_]+", text.lower())
+        self.log = (np.log((scaled + self.ADDED) / (self.TOTAL + self.ADDED * 4000)) / 2.5).astype(np.float32)
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(self.languages)), np.float32)
 
     @classmethod
     def grams(cls, word: str) -> list[int]:
         s = f" {word} ".encode("utf-16-le", "replace")
         return [zlib.crc32(s[i : i + 2 * n]) % cls.BUCKETS for n in (1, 2, 3, 4) for i in range(0, len(s) - 2 * n + 2, 2)]
 
-    def posteriors(self, text: str) -> np.ndarray:
-        """Probabilities of the languages; uniform for a text without letters."""
-        known = self.known
-        scores = np.zeros(len(self.languages), np.float32)
-        for word in self.words(text):
-            own = known.get(word)
-            if own is None:
-                if len(known) >= self.REMEMBERED:
-                    known.clear()
-                own = self.log[self.grams(word)].sum(0)
-                if len(word) < 40:
-                    known[word] = own
-            scores += own
-        p = np.exp(scores - scores.max())
-        return p / p.sum()
+    def _row(self, word: str) -> int:
+        row = len(self.rows)
+        if row >= len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[row] = self.log[self.grams(word)].sum(0)
+        self.rows[word] = row
+        return row
+
+    def posteriors(self, texts: list[list[str]]) -> np.ndarray:
+        """Probabilities (text, language) of texts given as their words; uniform for a text without words."""
+        if len(self.rows) > self.REMEMBERED:
+            self.rows.clear()
+        rows = self.rows
+        at = [r if (r := rows.get(w)) is not None else self._row(w) for words in texts for w in words]
+        sums = np.zeros((len(texts), len(self.languages)))
+        owner = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+        for low in range(0, len(at), self.SLICE):
+            part = owner[low : low + self.SLICE]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            sums[part[first]] += np.add.reduceat(self.scores[at[low : low + self.SLICE]], first, axis=0)
+        p = np.exp(sums - sums.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+
+def sentence_counts() -> np.ndarray:
+    counts = np.zeros((LanguageModel.BUCKETS, len(SENTENCES)))
+    for k, text in enumerate(SENTENCES.values()):
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            np.add.at(counts[:, k], LanguageModel.grams(word), 1.0)
+    return counts
 
 
 @lru_cache(maxsize=1)
 def language_model() -> LanguageModel:
-    return LanguageModel(SENTENCES)
+    """The model that :mod:`repoloom.llm.pairs_train` made."""
+    with np.load(COUNTS) as data:
+        counts = np.zeros(LanguageModel.BUCKETS * len(SENTENCES))
+        counts[data["at"]] = data["n"]
+    return LanguageModel(counts.reshape(LanguageModel.BUCKETS, -1))
 
 
-def natural(text: str) -> str:
-    """The text without code, paths, names and numbers."""
-    return _CODE_WORD.sub(" ", _FENCE.sub(" ", text))
+def natural_words(text: str) -> list[str]:
+    """The words in lower case without code, paths, names and numbers."""
+    if "`" in text:
+        text = _FENCE.sub(" ", text)
+    return " ".join(w for w in _NATURAL.findall(text) if w).lower().split()
 
 
-def same_language(question: str, answer: str) -> float:
-    """Probability that both are in one language; 1 where either has too few letters to tell."""
-    q, a = natural(question), natural(answer)
-    wide = len(re.findall(r"[Ͱ-￿]", a))
-    if len(re.findall(r"[^\W\d_]", a)) + 3 * wide < LEAST_LETTERS or not re.search(r"[^\W\d_]{2}", q):
-        return 1.0
-    model = language_model()
-    return float(model.posteriors(q) @ model.posteriors(a))
+def same_language(pairs_of_words: list[tuple[list[str], list[str]]]) -> list[float]:
+    """Probability that both of each pair are in one language; 1 where either has no words to tell."""
+    both = language_model().posteriors([words for pair in pairs_of_words for words in pair])
+    same = (both[0::2] * both[1::2]).sum(1)
+    return [float(p) if q and a else 1.0 for p, (q, a) in zip(same, pairs_of_words, strict=True)]
 
 
 def tokens(text: str) -> list[str]:
-    """Tokens in which names, paths and numbers are classes; words are in lower case, marks stand alone."""
+    """Tokens in which names, paths by extension and numbers are classes; words are in lower case, marks stand alone."""
     out = []
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
-        out.append(m[0].lower() if kind in ("word", "mark") else f"<{kind}>")
+        out.append(m[0].lower() if kind in ("word", "mark") else f"<{m[0].rpartition('.')[2].lower()}>" if kind == "path" else f"<{kind}>")
     return out
 
 
+#: Three words in a row, which no way to say nothing has.
+_SOMETHING = re.compile(r"[A-Za-z0-9]+ +[A-Za-z0-9]+ +[A-Za-z0-9]")
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if _SOMETHING.search(answer):
+        return False
     bare = unicodedata.normalize("NFKC", answer).translate(_INVISIBLE)
     bare = re.sub(r"[\s<>\[\](){}\"'`*_.,:;!?#|~=-]+", " ", bare).strip().lower()
     return bare in _NOTHING
@@ -178,38 +207,63 @@ def is_copy(question: str, answer: str) -> bool:
     return bool(a) and len(a) % len(q) == 0 and a == q * (len(a) // len(q))
 
 
-def is_refusal(answer: str) -> bool:
-    return bool(_REFUSALS.search(_FENCE.sub(" ", answer)))
+def is_refusal(prose: str) -> bool:
+    return bool(_REFUSALS.search(prose))
 
 
-_CLOSED = re.compile(r"[.!?。！？…][\"'”’»)\]*_`]*$|(?:```|\"\"\"|[`\"”»*>)\]}])$")
+def cut_name(question: str, text: str) -> bool:
+    """Whether the response ends inside a name that the question or the response has in full."""
+    m = _LAST_NAME.search(text)
+    if not m or not re.search(r"_|[a-z][A-Z]|/", m[0]):
+        return False
+    others = set(_LONG_NAME.findall(question)) | set(_LONG_NAME.findall(text[: m.start()]))
+    return m[0] not in others and any(o.startswith(m[0]) for o in others)
+
 
+#: What closes a response: a mark of a sentence with what may stand behind it, or the end of a block of code.
+_CLOSED = re.compile(r"[.!?。！？…][\"'”’»)\]*_`]*$|(?:```|\"\"\"|~~~)$")
 
-def leaves_open(answer: str) -> bool:
+
+def leaves_open(answer: str, prose: str) -> bool:
     """A code fence, docstring, bracket or inline code that is opened and never closed."""
     if answer.count("```") % 2 or answer.count('"""') % 2:
         return True
-    prose = _FENCE.sub(" ", answer)
-    return prose.count("(") > prose.count(")") or prose.count("[") > prose.count("]") or prose.count("{") > prose.count("}") or prose.count("`") % 2 == 1 or prose.count("„") > prose.count("“") + prose.count("”")
-
-
-def judge(question: str | None, answer: str | None) -> tuple[str | None, list[str]]:
-    """The defect that the pair alone shows, or the end of the response if the n-gram model has to decide."""
-    if is_empty(answer):
-        return "empty_answer", []
-    text = answer.translate(_INVISIBLE).strip()
-    if question and is_copy(question, text):
-        return "copied_question", []
-    if is_refusal(text):
-        return "refusal", []
-    if question and same_language(question, text) < SAME_LANGUAGE:
-        return "other_language", []
-    if leaves_open(text) or text[-1] in ",:;([{-–—/=+&":
-        return "truncated_answer", []
-    if _CLOSED.search(text):
-        return None, []
-    seq = tokens(text)
-    return None, seq[-3:] if len(seq) > 2 else []  # a word or two may stand without a full stop
+    n = prose.count
+    return n("(") > n(")") or n("[") > n("]") or n("{") > n("}") or n("`") % 2 == 1 or n("„") > n("“") + n("”")
+
+
+def judge(questions: list[str | None], answers: list[str | None]) -> list[tuple[str | None, list[str]]]:
+    """For each pair the defect that it shows alone, or the end of the response if the n-gram model has to decide."""
+    out: list[tuple[str | None, list[str]]] = []
+    told: list[tuple[int, str, str]] = []
+    words: list[tuple[list[str], list[str]]] = []
+    for i, (question, answer) in enumerate(zip(questions, answers, strict=True)):
+        out.append((None, []))
+        if is_empty(answer):
+            out[i] = ("empty_answer", [])
+            continue
+        text = (answer if answer.isascii() else answer.translate(_INVISIBLE)).strip()
+        prose = _FENCE.sub(" ", text) if "`" in text else text
+        if question and is_copy(question, text):
+            out[i] = ("copied_question", [])
+        elif is_refusal(prose):
+            out[i] = ("refusal", [])
+        else:
+            told.append((i, text, prose))
+            q, a = natural_words(question or ""), natural_words(prose)
+            shared = set(q) & set(a)  # names, for the most part
+            words.append(([w for w in q if w not in shared], [w for w in a if w not in shared]))
+    for (i, text, prose), same in zip(told, same_language(words) if words else (), strict=True):
+        if same < SAME_LANGUAGE:
+            out[i] = ("other_language", [])
+        elif leaves_open(text, prose) or text[-1:] in tuple(",:;([{-–—/=+&"):
+            out[i] = ("truncated_answer", [])
+        elif cut_name(questions[i] or "", text):
+            out[i] = ("truncated_answer", [])
+        elif not _CLOSED.search(text):
+            seq = tokens(text)
+            out[i] = (None, seq[-3:] if len(seq) > 2 else [])  # a word or two may stand without a full stop
+    return out
 
 
 def _hash(gram: tuple[str, ...]) -> int:
@@ -220,7 +274,7 @@ def _hash(gram: tuple[str, ...]) -> int:
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         questions, answers = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        both = [judge(q, a) for q, a in zip(questions, answers, strict=True)]
+        both = [x for low in range(0, len(answers), GROUP) for x in judge(questions[low : low + GROUP], answers[low : low + GROUP])]
         ends = [[_hash(tuple(e[-n:])) for n in (3, 2, 1)] if e else None for _, e in both]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d for d, _ in both], pa.string()), pa.array(ends, pa.list_(pa.int64()))], names=["pair_table", "pair_id", "defect", "ends"])
 
@@ -260,17 +314,18 @@ def found(question_runs: DataFrame, golden_items: DataFrame) -> DataFrame:
     """``pair_table, pair_id, defect`` of each defective pair, one row per pair however often it was delivered.
 
     A null response is an empty answer; with a null question only what the response alone shows is found. An empty
-    table gives no rows. Of several defects the first counts, in the order empty, copied, refusal, language, truncated.
+    table gives no rows; pairs with a null id are all judged and kept. Of several defects the first counts, in the order empty, copied, refusal, language, truncated.
     """
     source = spread(pairs(question_runs, golden_items), "pair_id")
-    judged = source.mapInArrow(_judged, "pair_table string, pair_id string, defect string, ends array<bigint>").where("defect is not null or size(ends) > 0").dropDuplicates(["pair_table", "pair_id"])
+    judged = source.mapInArrow(_judged, "pair_table string, pair_id string, defect string, ends array<bigint>").where("defect is not null or size(ends) > 0")
+    judged = once(judged, "pair_table", "pair_id").withColumn("case", F.monotonically_increasing_id())
     judged = materialise(judged, "p3-judged")  # two steps below read it: each pair is judged once
     sure = judged.where("defect is not null").select("pair_table", "pair_id", "defect")
-    open_ends = judged.where("defect is null and ends is not null").select("pair_table", "pair_id", F.posexplode("ends").alias("n", "gram"))
+    open_ends = judged.where("defect is null and ends is not null").select("case", "pair_table", "pair_id", F.posexplode("ends").alias("n", "gram"))
     counts = source.mapInArrow(_counted, "gram bigint, closes bigint, goes_on bigint").groupBy("gram").agg(F.sum("closes").alias("closes"), F.sum("goes_on").alias("goes_on"))
     ends = open_ends.join(counts, "gram", "left").fillna(0, ["closes", "goes_on"])
     of = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    seen = ends.groupBy("pair_table", "pair_id").agg(*[of(n, c).alias(f"{c}{n}") for n in (0, 1, 2) for c in ("closes", "goes_on")])
+    seen = ends.groupBy("case", "pair_table", "pair_id").agg(*[of(n, c).alias(f"{c}{n}") for n in (0, 1, 2) for c in ("closes", "goes_on")])
     share = lambda n: F.coalesce(F.try_divide(F.col(f"closes{n}"), F.col(f"closes{n}") + F.col(f"goes_on{n}")), F.lit(0.0))
     supported = F.col("closes0") + F.col("goes_on0") >= SUPPORT
     known_pair = F.col("closes1") + F.col("goes_on1") > 0

@@ -12,18 +12,18 @@ BAD = [
     ("Who calls save?", "**who calls  SAVE???**", "copied_question"), ("Who calls save?", "Question: Who calls save?\nAnswer:", "copied_question"),
     ("Who calls save?", "I'm sorry, but I can't help with that request.", "refusal"), ("Wer ruft es auf?", "Dabei kann ich leider nicht helfen.", "refusal"), ("Qui ?", "Je suis désolé, je ne peux pas répondre à cette question.", "refusal"), ("q", "My guidelines do not permit me to comment on this.", "refusal"),
     ("Who calls save?", "Funkcja znajduje się w pliku i jest wywoływana przez inną.", "other_language"), ("Wer ruft es auf?", "It is called by the other function in the same file.", "other_language"), ("Who?", "この関数は別の関数から呼び出されます。", "other_language"),
-    ("q", "See:\n```python\ndef f():", "truncated_answer"), ("q", "The helpers (load, save", "truncated_answer"), ("q", "It takes three parameters:", "truncated_answer"),
+    ("q", "See:\n```python\ndef f():", "truncated_answer"), ("q", "The helpers (load, save", "truncated_answer"), ("q", "It takes three parameters:", "truncated_answer"), ("Who calls emit_route?", "It is called by load, as is emit_ro", "truncated_answer"), ("Where is Thing?", "Thing ist in a/b.py definiert.", "other_language"),
 ]
 
 
 @pytest.mark.parametrize(("q", "a"), GOOD)
 def test_good(q, a):
-    assert p.judge(q, a)[0] is None
+    assert p.judge([q], [a])[0][0] is None
 
 
 @pytest.mark.parametrize(("q", "a", "want"), BAD)
 def test_bad(q, a, want):
-    assert p.judge(q, a)[0] == want
+    assert p.judge([q], [a])[0][0] == want
 
 
 def test_end_likelihood_and_delivery(spark):
@@ -42,5 +42,24 @@ def test_held_out_language_accuracy():
         "it": "Ogni registro viene salvato prima che arrivi il prossimo.", "pl": "Każdy rekord jest zapisywany, zanim nadejdzie następny.", "nl": "Elk record wordt opgeslagen voordat het volgende aankomt.", "sv": "Varje post sparas innan nästa kommer.", "ru": "Каждая запись сохраняется до прихода следующей.",
     }
     m = p.language_model()
-    right = sum(m.languages[int(m.posteriors(t).argmax())] == k for k, t in held.items())
+    right = sum(m.languages[int(m.posteriors([p.natural_words(t)]).argmax())] == k for k, t in held.items())
     assert right == len(held)
+
+
+def test_slices_of_long_texts_and_many_words():
+    m = p.language_model()
+    words = p.natural_words("the function is defined in the file " * 20)
+    whole = m.posteriors([words, [], words[:3]])
+    m.SLICE = 7
+    assert abs(m.posteriors([words, [], words[:3]]) - whole).max() < 1e-4 and abs(whole[1] - 1 / len(m.languages)).max() < 1e-9
+    del m.SLICE
+
+
+def test_inline_code_at_the_end_is_decided_by_the_likelihood():
+    assert p.judge(["Who calls it?"], ["The function is called by `load_config`"])[0] == (None, p.tokens("The function is called by `load_config`")[-3:])
+
+
+def test_null_ids_are_all_kept(spark):
+    r = spark.createDataFrame([(None, "q", None), (None, "q", "N/A"), ("a", "q", None), ("a", "q", None)], "run_id string, question string, answer string")
+    g = spark.createDataFrame([], "id string, question string, expected_answer string")
+    assert p.found(r, g).count() == 3
