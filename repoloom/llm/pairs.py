@@ -16,16 +16,17 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoloom.llm.secrets import wider
 from repoloom.session import materialise, once, spread
 
 #: Probability below which prompt and response count as being in two languages.
@@ -82,8 +83,11 @@ _REFUSALS = re.compile(
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _PATH = r"(?:[\w.-]+/)+[\w-]+\.\w+"
 _TOKEN = re.compile(rf"(?P<path>{_PATH})|(?P<part>(?:[\w.-]+/)+[\w.-]*)|(?P<name>\w+(?:_\w+)+|[a-z]+[A-Z]\w*|[A-Z][a-z0-9]+(?:[A-Z]\w*)+)|(?P<number>\d+)|(?P<word>\w+)|(?P<mark>[^\w\s])")
+_RAW_TOKEN = re.compile(re.sub(r"\?P<\w+>", "?:", _TOKEN.pattern))
 #: Code as a whole, or else a word.
 _NATURAL = re.compile(rf"{_PATH}|(?:[\w.-]+/)+[\w.-]*|\b\w*_\w*\b|\b[a-z]+[A-Z]\w*\b|\b[A-Z][a-z0-9]+(?:[A-Z]\w*)+\b|\d+|([^\W\d_]+)")
+_MARKS = frozenset(".!?。…")
+_REFUSAL_FILTER = wider(_REFUSALS)
 _LONG_NAME = re.compile(r"[\w./-]*\w")
 _LAST_NAME = re.compile(r"[\w./-]*\w\Z")
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
@@ -172,13 +176,28 @@ def same_language(pairs_of_words: list[tuple[list[str], list[str]]]) -> list[flo
     return [float(p) if q and a else 1.0 for p, (q, a) in zip(same, pairs_of_words, strict=True)]
 
 
+def _token(raw: str) -> str:
+    m = _TOKEN.fullmatch(raw)
+    kind = m.lastgroup
+    return raw.lower() if kind in ("word", "mark") else f"<{raw.rpartition('.')[2].lower()}>" if kind == "path" else f"<{kind}>"
+
+
+class _Tokens(dict):
+    """The token of a raw one, remembered."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) >= LanguageModel.REMEMBERED:
+            self.clear()
+        out = self[raw] = _token(raw)
+        return out
+
+
+_known_tokens = _Tokens()
+
+
 def tokens(text: str) -> list[str]:
     """Tokens in which names, paths by extension and numbers are classes; words are in lower case, marks stand alone."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        kind = m.lastgroup
-        out.append(m[0].lower() if kind in ("word", "mark") else f"<{m[0].rpartition('.')[2].lower()}>" if kind == "path" else f"<{kind}>")
-    return out
+    return [_known_tokens[raw] for raw in _RAW_TOKEN.findall(text)]
 
 
 #: Three words in a row, which no way to say nothing has.
@@ -195,33 +214,47 @@ def is_empty(answer: str | None) -> bool:
     return bare in _NOTHING
 
 
+#: Words that may stand around a question that is given back. Fixed values.
+_BEFORE, _BEHIND = ("q", "question", "frage", "pregunta", "prompt", "user"), ("a", "answer", "antwort", "réponse", "respuesta", "response", "assistant")
+
+
 def is_copy(question: str, answer: str) -> bool:
+    if question.isascii() and answer.isascii():  # the last word of a copy is one of the question
+        tail = re.findall(r"\w+", answer[-40:].lower())
+        if tail and tail[-1] not in _BEHIND and tail[-1] not in question.lower():
+            return False
     words = lambda s: re.findall(r"\w+", unicodedata.normalize("NFKC", s).casefold())
     q, a = words(question), words(answer)
     if not q:
         return False
-    while a and a[0] in ("q", "question", "frage", "pregunta", "prompt", "user") and a[: len(q)] != q:
+    while a and a[0] in _BEFORE and a[: len(q)] != q:
         a = a[1:]
-    while len(a) > len(q) and a[-1] in ("a", "answer", "antwort", "réponse", "respuesta", "response", "assistant"):
+    while len(a) > len(q) and a[-1] in _BEHIND:
         a = a[:-1]
     return bool(a) and len(a) % len(q) == 0 and a == q * (len(a) // len(q))
 
 
-def is_refusal(prose: str) -> bool:
-    return bool(_REFUSALS.search(prose))
+def refusals(proses: list[str]) -> list[bool]:
+    """Which texts decline: a filter in linear time, made from the pattern, tells where the pattern is tried."""
+    may = pc.match_substring_regex(pa.array(proses, pa.string()), _REFUSAL_FILTER)
+    return [bool(m and _REFUSALS.search(p)) for m, p in zip(may.to_pylist(), proses, strict=True)]
 
 
 def cut_name(question: str, text: str) -> bool:
     """Whether the response ends inside a name that the question or the response has in full."""
-    m = _LAST_NAME.search(text)
+    m = _LAST_NAME.search(text.rsplit(None, 1)[-1])
     if not m or not re.search(r"_|[a-z][A-Z]|/", m[0]):
         return False
-    others = set(_LONG_NAME.findall(question)) | set(_LONG_NAME.findall(text[: m.start()]))
+    others = set(_LONG_NAME.findall(question)) | set(_LONG_NAME.findall(text[: -len(m[0])]))
     return m[0] not in others and any(o.startswith(m[0]) for o in others)
 
 
 #: What closes a response: a mark of a sentence with what may stand behind it, or the end of a block of code.
-_CLOSED = re.compile(r"[.!?。！？…][\"'”’»)\]*_`]*$|(?:```|\"\"\"|~~~)$")
+_CLOSING, _BEHIND_CLOSING, _ENDS_OF_BLOCKS = ".!?。！？…", "\"'”’»)]*_`", ("```", '"""', "~~~")
+
+
+def is_closed(text: str) -> bool:
+    return text.endswith(_ENDS_OF_BLOCKS) or text.rstrip(_BEHIND_CLOSING)[-1:] in (*_CLOSING,)
 
 
 def leaves_open(answer: str, prose: str) -> bool:
@@ -234,35 +267,35 @@ def leaves_open(answer: str, prose: str) -> bool:
 
 def judge(questions: list[str | None], answers: list[str | None]) -> list[tuple[str | None, list[str]]]:
     """For each pair the defect that it shows alone, or the end of the response if the n-gram model has to decide."""
-    out: list[tuple[str | None, list[str]]] = []
-    told: list[tuple[int, str, str]] = []
-    words: list[tuple[list[str], list[str]]] = []
+    out: list[tuple[str | None, list[str]]] = [(None, [])] * len(answers)
+    open_: list[tuple[int, str, str]] = []
     for i, (question, answer) in enumerate(zip(questions, answers, strict=True)):
-        out.append((None, []))
         if is_empty(answer):
             out[i] = ("empty_answer", [])
             continue
         text = (answer if answer.isascii() else answer.translate(_INVISIBLE)).strip()
-        prose = _FENCE.sub(" ", text) if "`" in text else text
         if question and is_copy(question, text):
             out[i] = ("copied_question", [])
-        elif is_refusal(prose):
-            out[i] = ("refusal", [])
         else:
-            told.append((i, text, prose))
-            q, a = natural_words(question or ""), natural_words(prose)
+            open_.append((i, text, _FENCE.sub(" ", text) if "`" in text else text))
+    told: list[tuple[int, str, str]] = []
+    words: list[tuple[list[str], list[str]]] = []
+    for case, declined in zip(open_, refusals([prose for _, _, prose in open_]), strict=True):
+        if declined:
+            out[case[0]] = ("refusal", [])
+        else:
+            q, a = natural_words(questions[case[0]] or ""), natural_words(case[2])
             shared = set(q) & set(a)  # names, for the most part
             words.append(([w for w in q if w not in shared], [w for w in a if w not in shared]))
+            told.append(case)
     for (i, text, prose), same in zip(told, same_language(words) if words else (), strict=True):
         if same < SAME_LANGUAGE:
             out[i] = ("other_language", [])
         elif leaves_open(text, prose) or text[-1:] in tuple(",:;([{-–—/=+&"):
             out[i] = ("truncated_answer", [])
-        elif cut_name(questions[i] or "", text):
-            out[i] = ("truncated_answer", [])
-        elif not _CLOSED.search(text):
+        elif not is_closed(text):
             seq = tokens(text)
-            out[i] = (None, seq[-3:] if len(seq) > 2 else [])  # a word or two may stand without a full stop
+            out[i] = ("truncated_answer", []) if cut_name(questions[i] or "", text) else (None, seq[-3:] if len(seq) > 2 else [])  # a word or two may stand without a full stop
     return out
 
 
@@ -279,28 +312,41 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d for d, _ in both], pa.string()), pa.array(ends, pa.list_(pa.int64()))], names=["pair_table", "pair_id", "defect", "ends"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per context of one to three tokens: how often a closing mark follows, and how often another token.
+def _contexts(sequences: list[list[str]]) -> tuple[list[tuple[str, ...]], np.ndarray, np.ndarray]:
+    """The contexts of one to three tokens of a batch: how often a closing mark follows each, and how often another token.
 
-    Counted by context in each batch; only the distinct contexts of a batch are hashed and leave it.
+    A sentence begins with two marks of its own; no context reaches over a closing mark.
     """
-    marks = frozenset(".!?。…")
+    number: dict[str, int] = {"<s>": 0}
+    ids = np.array([number.setdefault(t, len(number)) for seq in sequences for t in seq], np.int64)
+    names = list(number)
+    sizes = np.array([len(seq) for seq in sequences], np.int64)
+    text = np.repeat(np.arange(len(sequences)), sizes)
+    is_mark = np.array([n in _MARKS for n in names])[ids]
+    same = np.diff(text, prepend=-1) == 0  # not the first of its text
+    joined = same.copy()
+    joined[1:] &= ~is_mark[:-1]
+    second = np.where(joined, np.roll(ids, 1), 0)
+    third = np.where(joined, np.roll(second, 1), 0)
+    has_next = np.flatnonzero(np.append(same[1:], False))
+    follows = is_mark[has_next + 1]
+    size = len(names)
+    out, closes, goes_on = [], [], []
+    for key, width in ((ids, 1), (second * size + ids, 2), ((third * size + second) * size + ids, 3)):
+        found, place = np.unique(key[has_next], return_inverse=True)
+        closes.append(np.bincount(place, follows, len(found)))
+        goes_on.append(np.bincount(place, ~follows, len(found)))
+        columns = [[names[x] for x in (found // size**k % size).tolist()] for k in range(width - 1, -1, -1)]
+        out += list(zip(*columns, strict=True))
+    return out, np.concatenate(closes).astype(np.int64), np.concatenate(goes_on).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts of each batch with their counts, by hash: only distinct contexts leave it."""
     for batch in batches:
-        closes: Counter[tuple] = Counter()
-        goes_on: Counter[tuple] = Counter()
-        for answer in batch.column(3).to_pylist():
-            if not answer:
-                continue
-            a = b = "<s>"
-            seq = tokens(answer)
-            for c, after in zip(seq, seq[1:], strict=False):
-                into = closes if after in marks else goes_on
-                into[c,] += 1
-                into[b, c] += 1
-                into[a, b, c] += 1
-                a, b = (b, c) if c not in marks else ("<s>", "<s>")
-        keys = list(closes.keys() | goes_on.keys())
-        yield pa.RecordBatch.from_arrays([pa.array([_hash(k) for k in keys], pa.int64()), pa.array([closes[k] for k in keys], pa.int64()), pa.array([goes_on[k] for k in keys], pa.int64())], names=["gram", "closes", "goes_on"])
+        answers = [a for a in batch.column(3).to_pylist() if a]
+        keys, closes, goes_on = _contexts([tokens(a) for a in answers]) if answers else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array([_hash(k) for k in keys], pa.int64()), pa.array(closes, pa.int64()), pa.array(goes_on, pa.int64())], names=["gram", "closes", "goes_on"])
 
 
 def pairs(question_runs: DataFrame, golden_items: DataFrame) -> DataFrame:

@@ -183,12 +183,13 @@ def _wider(tree: object, flags: int) -> str:
     return "".join(out)
 
 
-def _filter(pattern: re.Pattern) -> str:
+def wider(pattern: re.Pattern) -> str:
+    """A pattern for RE2 that matches in every text in which ``pattern`` matches, for prefilters in linear time."""
     return _wider(sre_parser.parse(pattern.pattern, pattern.flags), pattern.flags)
 
 
 #: Each pattern from which a hit can come with its prefilter.
-_FILTERS = {p: _filter(p) for p in (_PEM, _ASSIGN, _LOGIN, _SQL, _XML, _URL, _CURL, _HEADER, _QUERY, _OPTION, _CONN, _ENV, _LINE, _FOLDED, _NOTE, _TOKEN, _B64, _HEX, _PCT, _ESC)}
+_FILTERS = {p: wider(p) for p in (_PEM, _ASSIGN, _LOGIN, _SQL, _XML, _URL, _CURL, _HEADER, _QUERY, _OPTION, _CONN, _ENV, _LINE, _FOLDED, _NOTE, _TOKEN, _B64, _HEX, _PCT, _ESC)}
 _ALL = frozenset(_FILTERS)
 
 
