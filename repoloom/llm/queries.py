@@ -44,6 +44,12 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_configs"))
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to hold of the pieces of each oversized chunk."""
+    whole = splitting.coverage(p2_pieces(spark, sf_dir))
+    return whole.select("chunk_id", "n_chars", "first_start", "last_end", "wrong_texts")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.found(table(spark, sf_dir, "question_runs"), table(spark, sf_dir, "golden_items"))
 
@@ -72,10 +78,14 @@ def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_errors": p6_errors, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_coverage": p2_coverage, "p3_found": p3_found, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_errors": p6_errors, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_token_stats": p7_token_stats, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
 ORACLES: dict[str, str] = {
     "p2_found": """
         SELECT DISTINCT c.chunk_id FROM chunks c
         JOIN chunk_configs g ON g.config_id = coalesce(c.config_id, 1)
         WHERE length(c.text) > g.max_chars""",
+    "p2_coverage": """
+        SELECT DISTINCT c.chunk_id, length(c.text) AS n_chars, 0 AS first_start, length(c.text) AS last_end, 0 AS wrong_texts FROM chunks c
+        JOIN chunk_configs g ON g.config_id = coalesce(c.config_id, 1)
+        WHERE length(c.text) > g.max_chars""",
 }

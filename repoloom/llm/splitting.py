@@ -1,9 +1,10 @@
 """Cut oversized items at natural boundaries (problem 2).
 
-Workers look at ranges of a text with a halo on either side and list the boundaries inside the range; the boundary
-tables of one item are stitched in range order, with the prefix sums of the ranges' lengths as offsets; the plan of
-cuts is made from the tables alone; the pieces are then emitted by offset, each from the one or two ranges it lies in.
-No step holds the whole text of an item that is longer than a range, and :func:`split_files` never reads one whole.
+An item is read in ranges with a halo on either side; each range gives a table of the boundaries inside it, and the sum
+of the lengths of the ranges before gives its offset. The tables of one item are stitched in range order by a planner
+that carries only what lies behind the start of the open piece, and the pieces are cut out of the one or few ranges
+that they lie in. In a table the ranges of an item follow each other in its task, and only the range at hand is decoded;
+:func:`split_files` gives the ranges of a file to many tasks and never reads a file as a whole.
 
 A piece has at most ``max_chars`` characters. It ends, in order of preference, at the last line end within the limit,
 the last sentence end, the last word gap, or at the limit itself. The next piece begins ``chunk_lines_overlap`` lines
@@ -12,27 +13,30 @@ before that end, or fewer where more would leave no room for the next line; piec
 
 from __future__ import annotations
 
-import os
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoloom.session import spread
+from repoloom.session import once, spread
 
-#: Characters of a range, and of the halo that decides about boundaries at its edges.
-RANGE_CHARS = 1 << 16
+#: Bytes of a range in a table, and of the least halo that decides about boundaries at its edges.
+RANGE_BYTES = 1 << 18
 HALO = 64
 DEFAULT_CONFIG = 1
+#: Configurations that are attached as literals; more of them are joined.
+LITERAL_CONFIGS = 10_000
 
 _LINE = re.compile(r"\r\n|\n|\r")
 _SENTENCE = re.compile(r"[.!?。！？…][\"'”’)\]]*(?:\s+|(?<=[。！？]))|[;}]\s*")
 _GAP = re.compile(r"\s+|(?<=[,)\]|])(?=\S)")
+#: Marks that may stand between the mark of a sentence and the white space that ends it.
+_BEHIND_MARK = "\"'”’)]"
 CUTS = ("line", "sentence", "word", "limit", "end")
 
 
@@ -40,9 +44,12 @@ CUTS = ("line", "sentence", "word", "limit", "end")
 class Boundaries:
     """Offsets just behind line ends, sentence ends and word gaps, ascending; the last two only where lines are long."""
 
-    lines: list[int]
-    sentences: list[int]
-    gaps: list[int]
+    lines: list[int] = field(default_factory=list)
+    sentences: list[int] = field(default_factory=list)
+    gaps: list[int] = field(default_factory=list)
+
+    def __iter__(self) -> Iterator[list[int]]:
+        return iter((self.lines, self.sentences, self.gaps))
 
 
 def detect(text: str, low: int, high: int, base: int, limit: int) -> Boundaries:
@@ -62,194 +69,281 @@ def detect(text: str, low: int, high: int, base: int, limit: int) -> Boundaries:
     return Boundaries(keep(lines), keep(sentences), keep(gaps))
 
 
-def plan(n: int, found: Boundaries, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """Cuts of an item of ``n`` characters: (start, end, lines shared with the piece before, kind of end)."""
-    limit, overlap = max(1, limit), max(0, overlap)
-    lines = found.lines
-    starts = [0, *lines]
-    out: list[tuple[int, int, int, str]] = []
-    start, shared, covered = 0, 0, 0
-    while covered < n:
-        if n - start <= limit:
-            out.append((start, n, shared, "end"))
-            break
+@dataclass(frozen=True)
+class Cut:
+    """A piece: where it begins and ends, lines and characters that it shares with the piece before, kind of its end."""
+
+    start: int
+    end: int
+    shared_lines: int
+    shared_chars: int
+    kind: str
+
+
+class Planner:
+    """Cuts of one item from its boundary tables in order; forgets what lies before the start of the open piece."""
+
+    def __init__(self, limit: int, overlap: int) -> None:
+        self.limit, self.overlap = max(1, limit), max(0, overlap)
+        self.found = Boundaries()
+        self.starts = [0]  # of lines
+        self.start = self.covered = self.shared = 0
+
+    def feed(self, known: int, found: Boundaries, last: bool) -> Iterator[Cut]:
+        """The cuts that are certain once the boundaries up to ``known`` characters are; ``last``: the item ends there."""
+        self.starts += found.lines
+        for mine, more in zip(self.found, found, strict=True):
+            mine += more
+        while self.covered < known:
+            if last and known - self.start <= self.limit:
+                yield Cut(self.start, known, self.shared, self.covered - self.start, "end")
+                self.covered = known
+            elif last or known > self.start + 2 * self.limit:
+                yield self._cut(known)
+            else:
+                break
+        for xs in (self.starts, *self.found):
+            del xs[: bisect_left(xs, self.start)]
+
+    def _cut(self, known: int) -> Cut:
+        start, starts, limit = self.start, self.starts, self.limit
         top = start + limit
-        for kind, ends in (("line", lines), ("sentence", found.sentences), ("word", found.gaps)):
+        for kind, ends in zip(CUTS, self.found, strict=False):
             at = bisect_right(ends, top) - 1
-            if at >= 0 and ends[at] > covered:
+            if at >= 0 and ends[at] > self.covered:
                 end = ends[at]
                 break
         else:
             kind, end = "limit", top
-        out.append((start, end, shared, kind))
-        covered, shared, nxt = end, 0, end
+        cut = Cut(start, end, self.shared, self.covered - start, kind)
+        self.covered, self.shared, self.start = end, 0, end
         at = bisect_left(starts, end)
-        if at < len(starts) and starts[at] == end and overlap:
-            room = (starts[at + 1] if at + 1 < len(starts) else n) if starts[-1] != end else n
+        if at < len(starts) and starts[at] == end and self.overlap:
+            room = starts[at + 1] if at + 1 < len(starts) else known
             if room - end > limit:  # the next line does not fit anyhow: leave room for its first finer boundary
-                finer = [xs[i] for xs in (found.sentences, found.gaps) if (i := bisect_right(xs, end)) < len(xs)]
+                finer = [xs[i] for xs in (self.found.sentences, self.found.gaps) if (i := bisect_right(xs, end)) < len(xs)]
                 room = min([*finer, end + limit])
-            for back in range(1, overlap + 1):
+            for back in range(1, self.overlap + 1):
                 first = at - back
                 if first < 0 or starts[first] <= start or room - starts[first] > limit:
                     break
-                nxt, shared = starts[first], back
-        start = nxt
-    return out
+                self.start, self.shared = starts[first], back
+        return cut
+
+
+def plan(n: int, found: Boundaries, limit: int, overlap: int) -> list[Cut]:
+    """All cuts of an item of ``n`` characters whose boundaries are known."""
+    return list(Planner(limit, overlap).feed(n, found, True))
+
+
+def _edge(data: bytes | memoryview, at: int) -> int:
+    """The first byte from ``at`` on that begins a character."""
+    stop = min(at + 3, len(data))
+    while 0 < at < stop and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def read_range(read: Callable[[int, int], bytes], total: int, first: int, size: int, halo: int) -> tuple[str, str, str]:
+    """Halo before, characters that start in the byte range, halo after.
+
+    The halo before reaches over white space and closing marks to the mark of the sentence, however far it is.
+    ``read`` gives bytes by offset and count.
+    """
+
+    def decoded(low: int, high: int) -> str:
+        low = max(0, low)
+        data = read(max(0, low - 3), min(total, high + 3) - max(0, low - 3))
+        shift = low - max(0, low - 3)
+        return bytes(data[_edge(data, shift) : _edge(data, shift + min(high, total) - low)]).decode("utf-8", "replace")
+
+    reach = halo
+    while True:
+        before = decoded(first - reach, first) if first else ""
+        if reach >= first or len(before.rstrip().rstrip(_BEHIND_MARK)) > 1:
+            break
+        reach *= 8
+    end = first + size
+    return before, decoded(first, end), decoded(end, end + halo) if end < total else ""
+
+
+def cut_out(ranges: Iterable[tuple[str, str, str]], last: int, limit: int, overlap: int) -> Iterator[tuple[Cut, str]]:
+    """The pieces of an item from its ranges (with their halos) in order; ``last`` is the number of the last range."""
+    planner = Planner(limit, overlap)
+    held: deque[tuple[int, str]] = deque()  # the ranges from the start of the open piece on, with their offsets
+    base = 0
+    for no, (before, text, after) in enumerate(ranges):
+        held.append((base, text))
+        found = detect(before + text + after, len(before), len(before) + len(text), base - len(before), limit)
+        base += len(text)
+        for cut in planner.feed(base, found, no == last):
+            while held[0][0] + len(held[0][1]) <= cut.start:
+                held.popleft()
+            yield cut, "".join(t[max(0, cut.start - at) : cut.end - at] for at, t in held if at < cut.end)
+
+
+def _bytes_of(data: memoryview, range_bytes: int, halo: int) -> tuple[Iterator[tuple[str, str, str]], int]:
+    """The ranges of a text in memory and the number of the last one."""
+    read = lambda at, n: data[at : at + n]
+    firsts = range(0, len(data), range_bytes)
+    return (read_range(read, len(data), first, min(range_bytes, len(data) - first), halo) for first in firsts), len(firsts) - 1
 
 
 def _with_config(items: DataFrame, configs: DataFrame, id_col: str, text_col: str, default: int) -> DataFrame:
-    """``id, text, n_chars, max_chars, overlap`` of the items that are longer than their limit.
+    """``id, text, max_chars, overlap`` of the items that are longer than their limit.
 
-    The configurations are a fixed small table; they are read once and attached as a literal map.
+    A bounded number of configurations is attached as a literal map; more are joined. Of configurations that share an
+    id the one with the smallest limit counts.
     """
-    rows = {r.config_id: (r.max_chars, r.chunk_lines_overlap) for r in configs.limit(10_000).collect() if r.config_id is not None and r.max_chars is not None}
-    fallback = rows.get(default) or next(iter(rows.values()), (1500, 15))
-    if not rows:
-        rows = {default: fallback}
-    both = F.create_map(*[x for k, (m, o) in rows.items() for x in (F.lit(int(k)), F.struct(F.lit(int(m)).alias("m"), F.lit(int(o or 0)).alias("o")))])
-    config = F.coalesce(F.try_element_at(both, F.col("config_id").cast("int")), F.struct(F.lit(int(fallback[0])).alias("m"), F.lit(int(fallback[1] or 0)).alias("o")))
-    out = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.length(text_col).alias("n_chars"), config.alias("c"))
-    return out.select("id", "text", "n_chars", F.col("c.m").alias("max_chars"), F.col("c.o").alias("overlap")).where("n_chars > max_chars")
-
-
-_PIECES = "id bigint, piece_no int, start_char int, end_char int, shared_lines int, cut string"
-
-
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items of one range: boundaries, plan and pieces in one go."""
-    for batch in batches:
-        rows: list[tuple] = []
-        ids, texts, limits, overlaps = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-        for key, text, limit, overlap in zip(ids, texts, limits, overlaps, strict=True):
-            cuts = plan(len(text), detect(text, 0, len(text), 0, limit), limit, overlap)
-            rows += [(key, k, a, b, s, kind) for k, (a, b, s, kind) in enumerate(cuts)]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "piece_no", "start_char", "end_char", "shared_lines", "cut"])
-
-
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The boundary table of each range. In: id, range_no, base, chars, before, limit, text with halo."""
-    for batch in batches:
-        out: list[tuple] = []
-        for key, no, base, chars, before, limit, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            b = detect(text, before, before + chars, base - before, limit)
-            out.append((key, no, chars, b.lines, b.sentences, b.gaps))
-        ints = pa.list_(pa.int32())
-        kinds = (pa.int64(), pa.int32(), pa.int32(), ints, ints, ints)
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "range_no", "chars", "lines", "sentences", "gaps"])
-
-
-def _stitch(key: tuple, tables: pd.DataFrame) -> pd.DataFrame:
-    """The plan of one item from its boundary tables in range order."""
-    tables = tables.sort_values("range_no")
-    both = Boundaries(*([int(x) for xs in tables[c] for x in xs] for c in ("lines", "sentences", "gaps")))
-    cuts = plan(int(tables.chars.sum()), both, int(tables.max_chars.iloc[0]), int(tables.overlap.iloc[0]))
-    rows = [(key[0], k, a, b, s, kind) for k, (a, b, s, kind) in enumerate(cuts)]
-    return pd.DataFrame(rows, columns=["id", "piece_no", "start_char", "end_char", "shared_lines", "cut"])
-
-
-def _range_table(large: DataFrame, range_chars: int, halo: int) -> DataFrame:
-    """One row per range of each item: ``base`` is the prefix sum of the lengths before it."""
-    numbered = large.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_chars") - 1) / range_chars).cast("int"))))
-    base = (F.col("range_no") * range_chars).cast("int")
-    before = F.least(base, F.lit(halo))
-    chars = F.least(F.lit(range_chars), F.col("n_chars") - base).cast("int")
-    text = F.substring("text", base - before + 1, before + chars + halo)
-    return numbered.select("id", "range_no", base.alias("base"), chars.alias("chars"), before.alias("before"), F.col("max_chars").alias("limit"), text.alias("text"))
-
-
-def plan_pieces(items: DataFrame, configs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", default: int = DEFAULT_CONFIG, range_chars: int = RANGE_CHARS, halo: int = HALO) -> DataFrame:
-    """Where each oversized item is cut: ``id, piece_no, start_char, end_char, shared_lines, cut``.
-
-    Items within their limit, null and empty texts give no row. A null or unknown ``config_id`` means ``default``.
-    Repeated items give each piece once. Items of one range never leave their task; of longer ones only the boundary
-    tables are shuffled.
+    valid = configs.where("config_id is not null and max_chars is not null").groupBy(F.col("config_id").cast("bigint").alias("config_id"))
+    valid = valid.agg(F.min(F.struct(F.col("max_chars").cast("int").alias("m"), F.coalesce(F.col("chunk_lines_overlap").cast("int"), F.lit(0)).alias("o"))).alias("c"))
+    rows = valid.limit(LITERAL_CONFIGS + 1).collect()
+    literal = lambda c: F.struct(F.lit(c.m).alias("m"), F.lit(c.o).alias("o"))
+    wanted = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("config_id").cast("bigint").alias("config_id"))
+    if len(rows) > LITERAL_CONFIGS:
+        fallback = valid.where(F.col("config_id") == default).first() or valid.orderBy("config_id").first()
+        with_config = wanted.join(valid, "config_id", "left").withColumn("c", F.coalesce("c", literal(fallback.c)))
+    else:
+        known = {r.config_id: literal(r.c) for r in rows}
+        fallback = known.get(default, known[min(known)] if known else F.struct(F.lit(1500).alias("m"), F.lit(15).alias("o")))
+        found = F.try_element_at(F.create_map(*[x for k, c in known.items() for x in (F.lit(k).cast("bigint"), c)]), F.col("config_id")) if known else fallback
+        with_config = wanted.withColumn("c", F.coalesce(found, fallback))
+    return with_config.where(F.length("text") > F.col("c.m")).select("id", "text", F.col("c.m").alias("max_chars"), F.col("c.o").alias("overlap"))
+
+
+_PIECES = "id bigint, piece_no int, start_char int, end_char int, shared_lines int, shared_chars int, cut string"
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+_NAMES = ("id", "piece_no", "start_char", "end_char", "shared_lines", "shared_chars", "cut", "text")
+#: Characters of pieces that leave a task at once.
+_FLUSH = 1 << 24
+
+
+def _pieces(over: DataFrame, with_text: bool, range_bytes: int, halo: int) -> DataFrame:
+    width = len(_NAMES) if with_text else len(_NAMES) - 1
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * width
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS[:width], strict=True)], names=_NAMES[:width])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            ids, limits, overlaps = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for key, value, limit, overlap in zip(ids, batch.column(1), limits, overlaps, strict=True):
+                for no, (c, text) in enumerate(cut_out(*_bytes_of(memoryview(value.as_buffer()), range_bytes, halo), limit, overlap)):
+                    rows.append((key, no, c.start, c.end, c.shared_lines, c.shared_chars, c.kind, text)[:width])
+                    size += len(text) + 64
+                    if size > _FLUSH:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            yield batch_of(rows)
+
+    return over.mapInArrow(run, _PIECES + (", text string" if with_text else ""))
+
+
+def plan_pieces(items: DataFrame, configs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", default: int = DEFAULT_CONFIG, range_bytes: int = RANGE_BYTES, halo: int = HALO) -> DataFrame:
+    """Where each oversized item is cut: ``id, piece_no, start_char, end_char, shared_lines, shared_chars, cut``.
+
+    Items within their limit, null and empty texts give no row. A null or unknown ``config_id`` means ``default``, or the
+    smallest one where that is unknown too. Repeated items give each piece once; items with a null id are all cut. The
+    table is read once and nothing but the result is shuffled, to make it distinct.
     """
-    over = _with_config(items, configs, id_col, text_col, default)
-    small = spread(over.where(F.col("n_chars") <= range_chars), "id").mapInArrow(_local, _PIECES)
-    large = over.where(F.col("n_chars") > range_chars)
-    tables = _range_table(large, range_chars, halo).mapInArrow(_ranges, "id bigint, range_no int, chars int, lines array<int>, sentences array<int>, gaps array<int>").dropDuplicates(["id", "range_no"])
-    limits = large.select("id", "max_chars", "overlap").dropDuplicates(["id"])
-    stitched = tables.join(limits, "id").groupBy("id").applyInPandas(_stitch, _PIECES)
-    return small.unionByName(stitched)
+    over = spread(_with_config(items, configs, id_col, text_col, default), "id")
+    return once(_pieces(over, False, range_bytes, halo), "id", "piece_no")
 
 
-def pieces(items: DataFrame, configs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", default: int = DEFAULT_CONFIG, range_chars: int = RANGE_CHARS, halo: int = HALO) -> DataFrame:
-    """The pieces of every oversized item with their text, cut out by offset: one row per (item, piece)."""
-    over = _with_config(items, configs, id_col, text_col, default).dropDuplicates(["id"])
-    cuts = plan_pieces(items, configs, id_col, text_col, default, range_chars, halo).dropDuplicates(["id", "piece_no"])
-    return cuts.join(over.select("id", "text"), "id").withColumn("text", F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).withColumnRenamed("id", id_col)
+def pieces(items: DataFrame, configs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", default: int = DEFAULT_CONFIG, range_bytes: int = RANGE_BYTES, halo: int = HALO) -> DataFrame:
+    """The pieces of every oversized item with their text: the columns of :func:`plan_pieces` and ``text``."""
+    over = spread(_with_config(items, configs, id_col, text_col, default), "id")
+    return once(_pieces(over, True, range_bytes, halo), "id", "piece_no").withColumnRenamed("id", id_col)
 
 
 def found(items: DataFrame, configs: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Distinct ids of the items that the splitter had to cut."""
-    return plan_pieces(items, configs, id_col).where("piece_no = 1").select(F.col("id").alias(id_col)).distinct()
+    over = spread(_with_config(items, configs, id_col, "text", DEFAULT_CONFIG), "id")
+    return _pieces(over, False, RANGE_BYTES, HALO).where("piece_no = 1").select(F.col("id").alias(id_col)).distinct()
+
+
+def coverage(cut: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """What holds of each item's pieces: characters that they cover, first start, longest piece, lines of overlap at most."""
+    return cut.groupBy(id_col).agg(
+        F.sum(F.length("text") - F.col("shared_chars")).alias("n_chars"), F.min("start_char").alias("first_start"), F.max("end_char").alias("last_end"), F.max(F.length("text")).alias("longest"), F.max("shared_lines").alias("most_shared"), F.count_if(F.length("text") != F.col("end_char") - F.col("start_char")).alias("wrong_texts"),
+    )
+
+
+def _open(path: str):  # noqa: ANN202 - a pyarrow file
+    """A file on any file system that pyarrow knows, for reads by offset."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
 
 
 def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap: int, range_bytes: int = 1 << 24, halo: int = 1024) -> DataFrame:
     """``path, piece_no, start_char, end_char, shared_lines, cut, text`` of UTF-8 files on shared storage.
 
-    Byte ranges are read with ``seek``; a range begins at the first character that starts inside it, so that the ranges
+    Byte ranges are read by offset; a range begins at the first character that starts inside it, so that the ranges
     tile the file whatever its bytes. Each range gives its length in characters and its boundary table; prefix sums of
-    the lengths place the tables in the file, and every piece is read again by the byte ranges that it lies in.
-    Undecodable bytes count as one U+FFFD each. An empty file has no pieces.
+    the lengths place the tables in the file. The tables of a file pass its planner one after the other, so that no more
+    than a few of them are in memory; every piece is read again by the byte ranges that it lies in. Undecodable bytes
+    count as one U+FFFD each. An empty file has no pieces.
     """
-    sizes = [(p, os.path.getsize(p)) for p in paths]
-    plan_rows = [(p, k, a, min(range_bytes, n - a)) for p, n in sizes for k, a in enumerate(range(0, n, range_bytes))]
-    ranges = spark.createDataFrame(plan_rows or [("", 0, 0, 0)], "path string, range_no int, first bigint, size bigint").where("size > 0").repartition(max(1, min(len(plan_rows), 10_000)), "path", "range_no")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sizes = []
+    for path in paths:
+        with _open(path) as f:
+            sizes.append((path, f.size()))
+    files = spark.createDataFrame(sizes, "path string, total bigint").where("total > 0")
+    ranges = files.select("path", "total", F.posexplode(F.expr(f"sequence(0L, total - 1, {range_bytes}L)")).alias("range_no", "first")).withColumn("size", F.least(F.lit(range_bytes), F.col("total") - F.col("first")))
+    n = max(2 * spark.sparkContext.defaultParallelism, 1)
+    ranges = ranges.repartition(n, "path", "range_no")
+    ints = pa.list_(pa.int64())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, no, first, size in batch.itertuples(index=False):
-                before, text, after = read_range(path, first, size, halo)
+            for r in batch.to_pylist():
+                with _open(r["path"]) as f:
+                    before, text, after = read_range(lambda at, n: f.read_at(n, at), r["total"], r["first"], r["size"], halo)  # noqa: B023
                 b = detect(before + text + after, len(before), len(before) + len(text), -len(before), max_chars)
-                rows.append((path, no, first, size, len(text), b.lines, b.sentences, b.gaps))
-            yield pd.DataFrame(rows, columns=["path", "range_no", "first", "size", "chars", "lines", "sentences", "gaps"])
-
-    def stitch(key: tuple, tables: pd.DataFrame) -> pd.DataFrame:
-        tables = tables.sort_values("range_no")
-        base = tables.chars.cumsum() - tables.chars
-        both = Boundaries(*([int(x) + int(o) for o, xs in zip(base, tables[c], strict=True) for x in xs] for c in ("lines", "sentences", "gaps")))
-        firsts, ends = base.tolist(), (base + tables.chars).tolist()
-        out = []
-        for k, (a, b, s, kind) in enumerate(plan(int(tables.chars.sum()), both, max_chars, overlap)):
-            lo, hi = bisect_right(firsts, a) - 1, bisect_left(ends, b)
-            part = tables.iloc[lo : hi + 1]
-            out.append((key[0], k, a, b, s, kind, a - firsts[lo], int(part["first"].iloc[0]), int(part["size"].sum())))
-        return pd.DataFrame(out, columns=["path", "piece_no", "start_char", "end_char", "shared_lines", "cut", "skip", "first", "size"])
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                values = (r["path"], r["range_no"], r["first"], r["size"], r["total"], len(text), *b)
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), ints, ints, ints)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["path", "range_no", "first", "size", "total", "chars", "lines", "sentences", "gaps"])
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, planner, base, no = None, None, 0, 0
+        held: deque[tuple[int, int, int, int]] = deque()  # offset in characters, characters, first byte, bytes
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["path"] != path:
+                    path, planner, base, no = r["path"], Planner(max_chars, overlap), 0, 0
+                    held.clear()
+                held.append((base, r["chars"], r["first"], r["size"]))
+                table = Boundaries(*([x + base for x in r[c]] for c in ("lines", "sentences", "gaps")))
+                base += r["chars"]
+                rows = []
+                for c in planner.feed(base, table, r["first"] + r["size"] == r["total"]):
+                    while held[0][0] + held[0][1] <= c.start:
+                        held.popleft()
+                    part = [h for h in held if h[0] < c.end]
+                    rows.append((path, no, c.start, c.end, c.shared_lines, c.kind, c.start - part[0][0], part[0][2], sum(h[3] for h in part), r["total"]))
+                    no += 1
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["path", "piece_no", "start_char", "end_char", "shared_lines", "cut", "skip", "first", "size", "total"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = ()
         for batch in batches:
             texts = []
-            for r in batch.itertuples(index=False):
-                if held[:3] != (r.path, r.first, r.size):
-                    held = (r.path, r.first, r.size, read_range(r.path, r.first, r.size, 0)[1])
-                texts.append(held[3][r.skip : r.skip + r.end_char - r.start_char])
-            yield batch.drop(columns=["skip", "first", "size"]).assign(text=texts)
-
-    head = "path string, piece_no int, start_char bigint, end_char bigint, shared_lines int, cut string"
-    tables = ranges.mapInPandas(scan, "path string, range_no int, first bigint, size bigint, chars bigint, lines array<bigint>, sentences array<bigint>, gaps array<bigint>")
-    cuts = tables.groupBy("path").applyInPandas(stitch, f"{head}, skip bigint, first bigint, size bigint")
-    return cuts.repartitionByRange("path", "first").sortWithinPartitions("path", "first", "piece_no").mapInPandas(emit, f"{head}, text string")
-
-
-def read_range(path: str, first: int, size: int, halo: int) -> tuple[str, str, str]:
-    """Halo before, characters that start in the byte range, halo after."""
-    with open(path, "rb") as f:
-        low = max(0, first - halo - 3)
-        f.seek(low)
-        data = f.read(first - low + size + halo + 3)
-    # move both edges to the next byte that starts a character
-    def edge(at: int) -> int:
-        stop = min(at + 3, len(data))
-        while 0 < at < stop and data[at] & 0xC0 == 0x80:
-            at += 1
-        return at
-
-    a, b = edge(first - low), edge(first - low + size)
-    return data[edge(min(3, a)) if low else 0 : a].decode("utf-8", "replace"), data[a:b].decode("utf-8", "replace"), data[b:].decode("utf-8", "ignore")
+            for r in batch.to_pylist():
+                if held[:3] != (r["path"], r["first"], r["size"]):
+                    with _open(r["path"]) as f:
+                        held = (r["path"], r["first"], r["size"], read_range(lambda at, n: f.read_at(n, at), r["total"], r["first"], r["size"], 4)[1])  # noqa: B023
+                texts.append(held[3][r["skip"] : r["skip"] + r["end_char"] - r["start_char"]])
+            kept = batch.select(["path", "piece_no", "start_char", "end_char", "shared_lines", "cut"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], names=[*kept.schema.names, "text"])
+
+    head = "path string, piece_no bigint, start_char bigint, end_char bigint, shared_lines int, cut string"
+    tables = ranges.mapInArrow(scan, "path string, range_no int, first bigint, size bigint, total bigint, chars bigint, lines array<bigint>, sentences array<bigint>, gaps array<bigint>")
+    cuts = tables.repartition(n, "path").sortWithinPartitions("path", "range_no").mapInArrow(stitch, f"{head}, skip bigint, first bigint, size bigint, total bigint")
+    return cuts.repartitionByRange(n, "path", "first").sortWithinPartitions("path", "first", "piece_no").mapInArrow(emit, f"{head}, text string")
