@@ -1,8 +1,9 @@
 """Find personal information in free text and replace it with typed placeholders (problem 9).
 
 A character-level bidirectional LSTM with CRF transitions, trained by :mod:`repoloom.llm.pii_train`, tags whole texts
-in overlapping windows; the spans of the windows are reconciled over the text. An exact check of each span follows: it
-moves the edges to those of the form that stands there and drops spans that cannot be what they were tagged as.
+in overlapping windows wherever a gate, trained with it, lets a stretch through; the spans of the windows are reconciled
+over the text. What the tagger says stands: afterwards only the edges of its spans are moved to those of the form that
+stands there, and a span that cannot be of its kind is dropped.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from repoloom.llm import tagger
-from repoloom.llm.pii_train import _NOT_PHONE, ADDRESS, EMAIL, ID, PHONE, SURNAME
+from repoloom.llm.pii_train import _LOW as LOW
+from repoloom.llm.pii_train import _UP as UP
+from repoloom.llm.pii_train import ADDRESS, EMAIL, ID, PHONE, SURNAME
 from repoloom.session import spread
 
 #: The weights that :mod:`repoloom.llm.pii_train` made.
@@ -25,20 +28,15 @@ WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 #: Texts that a worker tags at once.
 GROUP = 256
 
-_ID = re.compile(r"[A-Z\d][A-Z\d .-]*[A-Z\d]")
-_NAME = re.compile(rf"(?:{SURNAME}|[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{1,3}}|[A-ZÀ-ÖØ-Þ]{{2,4}}(?= )|[A-ZÀ-ÖØ-Þ]\.|van|von|de|da|del|di|der|den|VAN|O['’](?=[A-Z]))(?:[ ,-]+(?:{SURNAME}|[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{1,3}}|[A-ZÀ-ÖØ-Þ]{{2,4}}\b|[A-ZÀ-ÖØ-Þ]\.|van|von|de|da|del|di|der|den|VAN))*")
-#: Words that begin sentences or belong to titles and products, never to a name. Fixed values.
-_NO_NAME = frozenset("the this that these project stage copper returns build section ticket order seit siehe der die das laut im dr prof mr mrs ms herr frau señor señora monsieur madame release graph session old new none true false null select insert create laut según selon d'après avise bitte contact author reviewed questions dudas raises please according pairing ping call write".split())
-_LABELLED = re.compile(r"(?i)(?:\b(?:no|nr|id|card|ssn|dni|nie|tax|licen[cs]e|passport|pass|insurance|pasaporte|passeport|carte)\b|number|nummer|n°|n\.º|num[ée]ro|n[úu]mero|ausweis|steuer)[^\d]{0,24}$")
-_FULL = re.compile(rf"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ’'-]+(?: [A-ZÀ-ÖØ-Þ]\.)?(?: (?:van|von|de|da|del|di|der|den|VAN))? {SURNAME}(?:-{SURNAME})?")
-_PRODUCT = re.compile(r" (?:release|worker|job|pass|project|build|version|\d)")
-_LEAD = re.compile(r"^(?:Laut|Según|According to|D['’]après|Pairing with|Reviewed by|Author:?|Please contact)\s+")
-_TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Sr|Sra|Mme|Señor|Señora)\.? +|von +)+")
+#: A word of a name, an initial, or what joins them.
+_PART = rf"(?:{SURNAME}|[{UP}][{LOW}]{{1,3}}|[{UP}]{{2,4}}(?= )|[{UP}]\.|van|von|de|da|del|di|der|den|VAN|VON|DE|O['’](?=[{UP}]))"
+_NAME = re.compile(rf"{_PART}(?:[ ,-]+{_PART})*")
+_TITLE = re.compile(r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Sr|Sra|Mme|Señor|Señora)\.? +|von +)+")
 
 
 @lru_cache(maxsize=2)
 def _weights(source: str | bytes) -> dict:
-    """Weights from a path, or from the bytes of the file, which travel with the task (under 50 KB)."""
+    """Weights from a path, or from the bytes of the file, which travel with the task (under 200 KB)."""
     return tagger.load(io.BytesIO(source) if isinstance(source, bytes) else source)
 
 
@@ -52,57 +50,56 @@ def _near(pattern: re.Pattern, text: str, a: int, b: int, reach: int) -> re.Matc
     return best
 
 
-def check(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
-    """The exact edges and kind of a tagged span, or None if it cannot be what it was tagged as."""
-    if kind == "email":
-        m = _near(EMAIL, text, a, b, 40)
-        return (m.start(), m.end(), kind) if m else None
-    if kind in ("phone", "id_number"):
-        m = _near(ID, text, a, b, 60)
-        if m and m.start("id") < b and a < m.end("id"):
-            return m.start("id"), m.end("id"), "id_number"
-        if _NOT_PHONE.search(text[max(0, a - 16) : a]) or re.search(r"(?i)\b(?:fixed in|in|#)\s*$", text[max(0, a - 12) : a]):
-            return None
-        if m := _near(PHONE, text, a, b, 14):
-            if sum(c.isdigit() for c in m[0]) >= 7 and not _NOT_PHONE.search(text[max(0, m.start() - 16) : m.start()]):
-                return m.start(), m.end(), "phone"
-        if kind == "phone":
-            return None
-        while a > 0 and re.match(r"[A-Z\d]", text[a - 1]) and re.match(r"[A-Z\d]", text[a]):
-            a -= 1
-        m = _ID.search(text, a, b)
-        if not m or len(m[0]) < 6 or sum(c.isdigit() for c in m[0]) < 3 or not _LABELLED.search(text[max(0, m.start() - 40) : m.start()]):
-            return None
-        return m.start(), m.end(), kind
-    if kind == "address":
-        m = _near(ADDRESS, text, a, b, 40)
-        if m:
-            return m.start(), max(b, m.end()), kind
-        return (a, b, kind) if re.search(r"\d", text[a:b]) and len(re.findall(r"\b[A-ZÀ-ÖØ-Þ][\w’'-]{2,}", text[a:b])) >= 2 else None
-    while a > 0 and text[a - 1].isalpha() and text[a].isalpha():
+def _words(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span with the words that its edges cut."""
+    while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
         a -= 1
-    while b < len(text) and text[b - 1].isalpha() and text[b].isalpha():
+    while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
         b += 1
-    if m := _TITLE.match(text[a:b]):
-        a += m.end()
-    if m := _LEAD.match(text[a:b]):
-        a += m.end()
-    if re.match(r"[A-ZÀ-ÖØ-Þ]\. |(?:van|von|de|da|del|di|VAN) ", text[a : a + 4]) or " " not in text[a:b]:  # the first name was not tagged
-        if m := re.search(r"(?<![\w.])[A-ZÀ-ÖØ-Þ][A-Za-zß-öø-ÿÀ-Þ]{2,} $", text[max(0, a - 20) : a]):
-            if m[0].strip().lower() not in _NO_NAME:
-                a -= len(m[0])
-    if m := re.match(r", [A-ZÀ-ÖØ-Þ][\wÀ-ÿ]{1,}(?: [A-Z]\.)?(?!\w)", text[b : b + 24]) if not re.search(r"[ ,]", text[a:b]) else None:
-        b += m.end()  # "surname, first name" of which the surname was tagged
+    return a, b
+
+
+def edges(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The exact edges of a tagged span, moved to those of the form that stands there.
+
+    A span stays where no known form stands. None is returned only for what cannot be of its kind: an email without a
+    sign or word for *at*, a phone number of fewer than seven digits or inside a longer number, an identity number of fewer than five letters and
+    digits or none of them a digit, an address without a digit or a capital, a name of fewer than two words.
+    """
+    form, reach = {"email": (EMAIL, 40), "phone": (PHONE, 14), "id_number": (ID, 60), "address": (ADDRESS, 40)}.get(kind, (None, 0))
+    if form and (m := _near(form, text, a, b, reach)):
+        start, end = m.span("id") if kind == "id_number" else m.span()
+        if start < b and a < end:
+            return start, max(b, end) if kind == "address" else end
+    a, b = _words(text, a, b)
+    part = text[a:b]
+    a, b = a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip(" .,;:"))
+    part = text[a:b]
+    if kind == "email":
+        return (a, b) if re.search(r"@|\bat\b", part, re.I) else None
+    if kind == "phone":
+        return (a, b) if sum(c.isdigit() for c in part) >= 7 and not re.match(r"[.,]?\d", text[b : b + 2]) else None
+    if kind == "id_number":
+        return (a, b) if sum(c.isalnum() for c in part) >= 5 and re.search(r"\d", part) else None
+    if kind == "address":
+        return (a, b) if re.search(r"\d", part) and re.search(rf"[{UP}]", part) else None
+    return _name_edges(text, a, b)
+
+
+def _name_edges(text: str, a: int, b: int) -> tuple[int, int] | None:
+    if m := _TITLE.match(text, a, b):
+        a = m.end()
+    if " " not in text[a:b]:  # the first name was not tagged
+        if m := re.search(rf"(?<![\w.])(?:[{UP}][{UP}{LOW}]{{2,}} (?:[{UP}]\. )?|[{UP}]\. )$", text[max(0, a - 24) : a]):
+            a -= len(m[0])
+    if "," not in text[a:b] and " " not in text[a:b]:  # "surname, first name" of which the surname was tagged
+        if m := re.match(rf", [{UP}][\wÀ-ÿ]+(?: [A-Z]\.)?(?!\w)", text[b : b + 24]):
+            b += m.end()
     m = _NAME.search(text, a, b)
     if not m:
         return None
-    words = [w for w in re.split(r"[ ,-]+", m[0]) if w]
-    if len(words) < 2 and (more := _FULL.match(text, m.start())):
-        m = more
-        words = [w for w in re.split(r"[ ,-]+", m[0]) if w]
-    if len(words) < 2 or any(w.lower().rstrip(".") in _NO_NAME or re.search(r"[a-z]{2}[A-Z]", w) for w in words) or _PRODUCT.match(text, m.end()):
-        return None
-    return m.start(), m.start() + len(re.sub(r"['’]s?$", "", m[0])), kind  # a quotation mark or genitive behind a name stays
+    part = re.sub(r"['’]s?$", "", m[0])  # a quotation mark or genitive behind a name stays
+    return (m.start(), m.start() + len(part)) if len(re.findall(rf"[{UP}][\w.]", part)) >= 2 else None
 
 
 def find(texts: list[str], weights: str | bytes = WEIGHTS) -> list[list[tuple[int, int, str]]]:
@@ -111,13 +108,12 @@ def find(texts: list[str], weights: str | bytes = WEIGHTS) -> list[list[tuple[in
     for text, spans in zip(texts, tagger.tag_texts(_weights(weights), texts), strict=True):
         exact: list[tuple[int, int, str]] = []
         for a, b, k in spans:
-            case = check(text, a, b, tagger.KINDS[k])
-            if case and case[2] == "address" and case[0] - a > 5:  # a name in front was tagged with the address
-                name = check(text, a, case[0], "name")
-                if name and name[1] <= case[0] and (not exact or name[0] >= exact[-1][1]):
-                    exact.append(name)
+            kind = tagger.KINDS[k]
+            if kind == "name" and (m := _near(EMAIL, text, a, b, 40)) and m.start() <= a and b <= m.end():
+                kind = "email"  # a name inside an email is a part of it
+            case = edges(text, a, b, kind)
             if case and (not exact or case[0] >= exact[-1][1]):
-                exact.append(case)
+                exact.append((*case, kind))
         out.append(exact)
     return out
 

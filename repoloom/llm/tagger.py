@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import multiprocessing
+
 import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; 1 + 2 k begins and 2 + 2 k continues kind k.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, STRIDE = 320, 256
+WINDOW, STRIDE = 384, 288
+#: Characters that are tagged on either side of a stretch that the gate lets through.
+CONTEXT = 64
 #: Length of a training window.
 TRAINING_WINDOW = 192
 HIDDEN, EMBEDDING = 40, 24
@@ -95,29 +100,85 @@ def _run(p: dict, ids: np.ndarray, d: str, keep: list | None = None) -> np.ndarr
     return out
 
 
+def _fast(p: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For both directions the input table, recurrent and output weights, arranged for states of (hidden, batch).
+
+    A sigmoid is half a hyperbolic tangent of half its argument, so that one call serves all gates.
+    """
+    H, out = HIDDEN, []
+    for d, rows in (("f", slice(0, H)), ("b", slice(H, 2 * H))):
+        half = np.repeat([0.5, 1.0], [3 * H, H]).astype(np.float32)
+        table = (p["emb"] @ p[f"wx{d}"] + p[f"b{d}"]) * half
+        out.append((np.ascontiguousarray(table.T), np.ascontiguousarray((p[f"wh{d}"] * half).T), np.ascontiguousarray(p["wo"][rows].T)))
+    return out
+
+
 def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
-    """Tag scores (time, batch, tags) of windows ``ids`` (time, batch)."""
+    """Tag scores (time, tags, batch) of windows ``ids`` (time, batch)."""
     H = HIDDEN
-    return _run(p, ids, "f") @ p["wo"][:H] + _run(p, ids, "b") @ p["wo"][H:] + p["bo"]
+    steps, batch = ids.shape
+    scores = np.empty((steps, TAGS, batch), np.float32)
+    scores[:] = p["bo"][None, :, None]
+    for (table, wh, wo), order in zip(_fast(p), (range(steps), range(steps - 1, -1, -1)), strict=True):
+        h, c = np.zeros((H, batch), np.float32), np.zeros((H, batch), np.float32)
+        z, cell = np.empty((4 * H, batch), np.float32), np.empty((H, batch), np.float32)
+        for t in order:
+            np.matmul(wh, h, out=z)
+            z += table[:, ids[t]]
+            np.tanh(z, out=z)
+            gates = z[: 3 * H]
+            gates *= 0.5
+            gates += 0.5
+            c *= z[H : 2 * H]
+            np.multiply(z[:H], z[3 * H :], out=cell)
+            c += cell
+            np.tanh(c, out=h)
+            h *= z[2 * H : 3 * H]
+            scores[t] += wo @ h
+    return scores
 
 
 def viterbi(p: dict, scores: np.ndarray) -> np.ndarray:
-    """The best tag sequences (time, batch)."""
-    steps, batch, n = scores.shape
-    trans = np.where(allowed(), p["trans"], -1e4).astype(np.float32)
-    begin = p["start"] + np.where(allowed()[0], 0, -1e4)
-    best = scores[0] + begin.astype(np.float32)
-    back = np.empty((steps, batch, n), np.int8)
-    rows = np.arange(batch)[:, None]
+    """The best tag sequences (time, batch) of scores (time, tags, batch).
+
+    A window in which the outside tag leads everywhere by more than any transitions can make good has no other tag, so
+    that only the others are decoded.
+    """
+    steps, n, batch = scores.shape
+    ok = allowed()
+    trans = np.where(ok, p["trans"], -1e4).astype(np.float32)
+    begin = (p["start"] + np.where(ok[0], 0, -1e4)).astype(np.float32)
+    gain = max(float((p["trans"][ok] - p["trans"][0, 0]).max()), float((p["start"] - p["start"][0]).max()), 0.0)
+    lead = (scores[:, 0] - scores[:, 1:].max(1)).min(0)
+    out = np.zeros((steps, batch), np.int8)
+    todo = np.flatnonzero(lead <= 2 * gain)
+    if not len(todo):
+        return out
+    part = np.ascontiguousarray(scores[:, :, todo])
+    best = part[0] + begin[:, None]
+    back = np.empty((steps, n, len(todo)), np.int8)
+    inner = [2 + 2 * k for k in range(len(KINDS))]
+    outer = [0] + [1 + 2 * k for k in range(len(KINDS))]
+    arrive = trans[:, outer]
+    columns = np.arange(len(todo))
     for t in range(1, steps):
-        step = best[:, None, :] + trans.T[None]
-        arg = step.argmax(2)
-        back[t] = arg
-        best = step[rows, np.arange(n)[None], arg] + scores[t]
-    out = np.empty((steps, batch), np.int8)
-    out[-1] = best.argmax(1)
+        new = part[t].copy()
+        for at, j in enumerate(outer):
+            step = best + arrive[:, at, None]
+            arg = step.argmax(0)
+            back[t, j] = arg
+            new[j] += step[arg, columns]
+        for j in inner:  # a continuation follows only its own kind
+            first, more = best[j - 1] + trans[j - 1, j], best[j] + trans[j, j]
+            longer = more > first
+            back[t, j] = np.where(longer, j, j - 1)
+            new[j] += np.where(longer, more, first)
+        best = new
+    path = np.empty((steps, len(todo)), np.int8)
+    path[-1] = best.argmax(0)
     for t in range(steps - 1, 0, -1):
-        out[t - 1] = back[t][rows[:, 0], out[t]]
+        path[t - 1] = back[t, path[t], columns]
+    out[:, todo] = path
     return out
 
 
@@ -186,41 +247,152 @@ def loss_and_gradients(p: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[floa
     return float((z - gold).sum() * scale), {k: np.asarray(v, np.float32) for k, v in g.items()}
 
 
-def train(p: dict, windows: np.ndarray, tags: np.ndarray, epochs: int, batch: int, rate: float, seed: int, report=None) -> dict:
-    """Adam with a cosine schedule over windows (count, time); gradients are clipped by norm."""
+def _share(args: tuple) -> tuple[float, dict]:
+    return loss_and_gradients(*args)
+
+
+def train(p: dict, windows: np.ndarray, tags: np.ndarray, epochs: int, batch: int, rate: float, seed: int, report=None, workers: int = 1) -> dict:
+    """Adam with a cosine schedule over windows (count, time); gradients are clipped by norm, a batch is shared by workers."""
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
     total, step = epochs * (len(windows) // batch), 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(windows))
-        losses = []
-        for at in range(0, len(order) - batch + 1, batch):
-            pick = order[at : at + batch]
-            value, g = loss_and_gradients(p, windows[pick].T, tags[pick].T.astype(np.int64))
-            losses.append(value)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            shrink = min(1.0, 0.25 / (norm + 1e-9))
-            step += 1
-            lr = rate * (0.5 + 0.5 * np.cos(np.pi * step / total)) + 1e-5
-            for k in p:
-                gk = g[k] * shrink
-                m[k] = 0.9 * m[k] + 0.1 * gk
-                v2[k] = 0.999 * v2[k] + 0.001 * gk * gk
-                p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        if report:
-            report(epoch, float(np.mean(losses)), p)
+    with multiprocessing.get_context("fork").Pool(workers) if workers > 1 else contextlib.nullcontext() as pool:
+        for epoch in range(epochs):
+            order = rng.permutation(len(windows))
+            losses = []
+            for at in range(0, len(order) - batch + 1, batch):
+                parts = [(p, np.ascontiguousarray(windows[x].T), tags[x].T.astype(np.int64)) for x in np.array_split(order[at : at + batch], workers)]
+                results = pool.map(_share, parts, 1) if pool else [_share(parts[0])]
+                losses.append(float(np.mean([r[0] for r in results])))
+                g = {k: np.mean([r[1][k] for r in results], axis=0) for k in p}
+                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+                shrink = min(1.0, 0.25 / (norm + 1e-9))
+                step += 1
+                lr = rate * (0.5 + 0.5 * np.cos(np.pi * step / total)) + 1e-5
+                for k in p:
+                    gk = g[k] * shrink
+                    m[k] = 0.9 * m[k] + 0.1 * gk
+                    v2[k] = 0.999 * v2[k] + 0.001 * gk * gk
+                    p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            if report:
+                report(epoch, float(np.mean(losses)), p)
     return p
 
 
 def window_starts(n: int) -> list[int]:
-    """Starts of overlapping windows that cover a text of ``n`` characters; the last one ends with the text."""
+    """Starts of overlapping windows that cover a stretch of ``n`` characters; the last one ends with the stretch."""
     if n <= WINDOW:
         return [0]
     starts = list(range(0, n - WINDOW, STRIDE))
     return [*starts, n - WINDOW]
 
 
+#: Characters of a block that the gate judges, those of its neighbours that it sees, and hash buckets of its features.
+BLOCK, SEEN, BUCKETS = 32, 16, 1 << 15
+
+
+def _classes() -> np.ndarray:
+    """The class of each code for the gate: lower letters and marks as they are, capitals together, digits together."""
+    out = np.arange(VOCABULARY, dtype=np.int64)
+    for code in range(32, 127):
+        c = chr(code)
+        if c.isupper():
+            out[code - 31] = ord("A") - 31
+        elif c.isdigit():
+            out[code - 31] = ord("0") - 31
+    out[_UPPER] = ord("A") - 31
+    return out
+
+
+_CLASS = _classes()
+_SHAPE = np.array([ord("a") - 31 if _CLASS[c] == c and (ord("a") - 31 <= c <= ord("z") - 31 or c == _LOWER) else _CLASS[c] for c in range(VOCABULARY)])
+
+
+#: Stands before each text, so that no feature reaches into the text before.
+_APART = np.array([_PAD, _TAB, _PAD, _TAB, _PAD, _TAB], np.uint8)
+
+
+class Codes:
+    """The codes of several texts in one array; text ``k`` lies at ``first[k]`` up to ``last[k]``."""
+
+    def __init__(self, texts: list[str]) -> None:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        gaps = len(_APART) * np.arange(1, len(texts) + 1)
+        self.last = np.cumsum(sizes) + gaps
+        self.first = self.last - sizes
+        self.all = np.tile(_APART, len(texts) + int(sizes.sum()) // len(_APART) + 1)[: int(sizes.sum()) + len(_APART) * len(texts)]
+        for k, first in enumerate(self.first.tolist()):
+            self.all[first - len(_APART) : first] = _APART
+        self.all[np.arange(int(sizes.sum())) + np.repeat(gaps, sizes)] = encode("".join(texts))
+
+    def text(self, k: int) -> np.ndarray:
+        return self.all[self.first[k] : self.last[k]]
+
+
+def gate_features(codes: np.ndarray) -> np.ndarray:
+    """Two hashed features of each position: the four classes up to it, and the last six runs of one shape up to it."""
+    n = len(codes)
+    if not n:
+        return np.zeros((2, 0), np.int64)
+
+    def mix(x: np.ndarray, seed: int) -> np.ndarray:
+        x *= np.int64(0x2545F4914F6CDD1D)
+        x += seed
+        x >>= 40
+        x &= BUCKETS - 1
+        return x
+
+    a = np.concatenate([np.zeros(3, np.int64), _CLASS[codes]])
+    grams = a[:n] * 101
+    for k in (1, 2):
+        grams += a[k : n + k]
+        grams *= 101
+    grams += a[3:]
+    shape = _SHAPE[codes]
+    changes = np.diff(shape, prepend=-1) != 0
+    runs = np.concatenate([np.zeros(5, np.int64), shape[changes]])
+    m = len(runs) - 5
+    key = runs[:m].copy()
+    for k in range(1, 6):
+        key *= 101
+        key += runs[k : m + k]
+    return np.stack([mix(grams, 17), BUCKETS + mix(key, 71)[np.cumsum(changes) - 1]])
+
+
+def blocks_of(codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All blocks of the texts: number of the text, start and end in ``codes.all``."""
+    counts = -(-(codes.last - codes.first) // BLOCK)
+    text = np.repeat(np.arange(len(counts)), counts)
+    low = codes.first[text] + BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
+    return text, low, np.minimum(low + BLOCK, codes.last[text])
+
+
+def gate_scores(weights: np.ndarray, codes: Codes, features: np.ndarray | None = None) -> np.ndarray:
+    """The log odds of each block that it holds a part of a case."""
+    if features is None:
+        features = gate_features(codes.all)
+    total = np.concatenate([[0.0], np.cumsum(weights[features[0]] + weights[features[1]], dtype=np.float64)])
+    text, low, high = blocks_of(codes)
+    return total[np.minimum(high + SEEN, codes.last[text])] - total[np.maximum(low - SEEN, codes.first[text])] + weights[-1]
+
+
+def stretches(p: dict, codes: Codes) -> list[tuple[int, int, int]]:
+    """The stretches that are tagged, as text, start and end: blocks that the gate lets through, with their context."""
+    if "gate" not in p:
+        return [(k, 0, b - a) for k, (a, b) in enumerate(zip(codes.first.tolist(), codes.last.tolist(), strict=True)) if b > a]
+    open_ = gate_scores(p["gate"], codes) > 0
+    text, low, high = (x[open_] for x in blocks_of(codes))
+    first = codes.first[text]
+    out: list[tuple[int, int, int]] = []
+    for k, a, b in zip(text.tolist(), (np.maximum(low - CONTEXT, first) - first).tolist(), (np.minimum(high + CONTEXT, codes.last[text]) - first).tolist(), strict=True):
+        if out and out[-1][0] == k and a <= out[-1][2]:
+            out[-1] = (k, out[-1][1], b)
+        else:
+            out.append((k, a, b))
+    return out
+
+
 def spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the tagged spans of one sequence."""
     hits = np.flatnonzero(tags)
@@ -241,36 +413,50 @@ def reconcile(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
     Spans of two windows that overlap are one case: the one that lies deeper inside its window is kept; a span that a
     window edge cuts is the least deep of all.
     """
-    out: list[tuple[int, int, int, int]] = []
-    for span in sorted(found, key=lambda s: (-s[3], s[0])):
-        if all(span[1] <= o[0] or o[1] <= span[0] for o in out):
-            out.append(span)
-    return sorted((a, b, k) for a, b, k, _ in out)
-
-
-def tag_texts(p: dict, texts: list[str], batch: int = 768) -> list[list[tuple[int, int, int]]]:
-    """(start, end, kind) of the spans of each text, whole texts in overlapping windows."""
-    codes = [encode(t) for t in texts]
-    places = [(k, s) for k, c in enumerate(codes) for s in (window_starts(len(c)) if len(c) else [])]
-    places.sort(key=lambda x: min(len(codes[x[0]]), WINDOW))
+    out: list[tuple[int, int, int]] = []
+    group: list[tuple[int, int, int, int]] = []
+    reach = -1
+
+    def settle() -> None:
+        kept: list[tuple[int, int, int, int]] = []
+        for span in sorted(group, key=lambda s: (-s[3], s[0])):
+            if all(span[1] <= o[0] or o[1] <= span[0] for o in kept):
+                kept.append(span)
+        out.extend((a, b, k) for a, b, k, _ in kept)
+
+    for span in sorted(found):
+        if span[0] >= reach:  # nothing before reaches it
+            settle()
+            group, reach = [], -1
+        group.append(span)
+        reach = max(reach, span[1])
+    settle()
+    return sorted(out)
+
+
+def tag_texts(p: dict, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
+    """(start, end, kind) of the spans of each text; what the gate lets through is tagged in overlapping windows."""
+    codes = Codes(texts)
+    places: list[tuple[int, int, int, bool, bool]] = []  # size, text, start, whether the window cuts the text there
+    for k, a, b in stretches(p, codes):
+        for s in window_starts(b - a):
+            size = min(WINDOW, b - a)
+            places.append((size, k, a + s, a + s > 0, a + s + size < len(texts[k])))
+    places.sort()
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for at in range(0, len(places), batch):
         part = places[at : at + batch]
-        width = min(WINDOW, max(len(codes[k]) for k, _ in part))
+        width = part[-1][0]
         ids = np.zeros((len(part), width), np.uint8)
-        for row, (k, s) in enumerate(part):
-            piece = codes[k][s : s + width]
-            ids[row, : len(piece)] = piece
+        for row, (size, k, s, _, _) in enumerate(part):
+            ids[row, :size] = codes.text(k)[s : s + size]
         best = viterbi(p, emissions(p, np.ascontiguousarray(ids.T))).T
         for row in np.flatnonzero(best.any(1)).tolist():
-            k, s = part[row]
-            n = len(codes[k])
+            size, k, s, open_left, open_right = part[row]
             for a, b, kind in spans(best[row]):
-                if s + a >= n:
-                    continue
-                left = a if s else WINDOW
-                right = width - b if s + width < n else WINDOW
-                found[k].append((s + a, min(s + b, n), kind, min(left, right)))
+                if a < size:
+                    b = min(b, size)
+                    found[k].append((s + a, s + b, kind, min(a if open_left else WINDOW, size - b if open_right else WINDOW)))
     return [reconcile(f) for f in found]
 
 
