@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import multiprocessing
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
@@ -100,6 +103,16 @@ def _run(p: dict, ids: np.ndarray, d: str, keep: list | None = None) -> np.ndarr
     return out
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Keep the matrix library of this process to one thread: a task has one core, and small products gain nothing."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def _fast(p: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For both directions the input table, recurrent and output weights, arranged for states of (hidden, batch).
 
@@ -436,6 +449,7 @@ def reconcile(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
 
 def tag_texts(p: dict, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) of the spans of each text; what the gate lets through is tagged in overlapping windows."""
+    one_thread()
     codes = Codes(texts)
     places: list[tuple[int, int, int, bool, bool]] = []  # size, text, start, whether the window cuts the text there
     for k, a, b in stretches(p, codes):
