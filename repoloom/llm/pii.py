@@ -25,8 +25,8 @@ from repoloom.session import spread
 
 #: The weights that :mod:`repoloom.llm.pii_train` made.
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
-#: Texts that a worker tags at once.
-GROUP = 256
+#: Characters of the texts that a worker tags at once, about.
+GROUP_CHARS = 8_000_000
 
 #: A word of a name, an initial, or what joins them.
 _PART = rf"(?:{SURNAME}|[{UP}][{LOW}]{{1,3}}|[{UP}]{{2,4}}(?= )|[{UP}]\.|van|von|de|da|del|di|der|den|VAN|VON|DE|O['’](?=[{UP}]))"
@@ -125,7 +125,7 @@ def _groups(texts: list[str | None]) -> Iterator[list[int]]:
         if t:
             group.append(i)
             size += len(t)
-            if len(group) >= GROUP or size > 400_000:
+            if size > GROUP_CHARS:
                 yield group
                 group, size = [], 0
     if group:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import multiprocessing
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -339,9 +340,6 @@ class Codes:
             self.all[first - len(_APART) : first] = _APART
         self.all[np.arange(int(sizes.sum())) + np.repeat(gaps, sizes)] = encode("".join(texts))
 
-    def text(self, k: int) -> np.ndarray:
-        return self.all[self.first[k] : self.last[k]]
-
 
 def gate_features(codes: np.ndarray) -> np.ndarray:
     """Two hashed features of each position: the four classes up to it, and the last six runs of one shape up to it."""
@@ -390,15 +388,43 @@ def gate_scores(weights: np.ndarray, codes: Codes, features: np.ndarray | None =
     return total[np.minimum(high + SEEN, codes.last[text])] - total[np.maximum(low - SEEN, codes.first[text])] + weights[-1]
 
 
-def stretches(p: dict, codes: Codes) -> list[tuple[int, int, int]]:
+#: Characters that the gate looks at together at most, and those before a part of a longer text that it sees as well.
+PART, LEAD = 1 << 18, 1 << 12
+
+
+def _open_blocks(gate: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int]]:
+    """The blocks that the gate lets through, in order, as text, start and end; parts of long texts are looked at in turn."""
+    group: list[tuple[int, int, str]] = []  # text, start of the part with its lead, part
+
+    def judged() -> Iterator[tuple[int, int, int]]:
+        codes = Codes([part for _, _, part in group])
+        which = np.flatnonzero(gate_scores(gate, codes) > 0)
+        text, low, high = (x[which] for x in blocks_of(codes))
+        for k, a, b in zip(text.tolist(), (low - codes.first[text]).tolist(), (high - codes.first[text]).tolist(), strict=True):
+            no, start, _ = group[k]
+            if start == 0 or a >= LEAD:
+                yield no, start + a, start + b
+
+    size = 0
+    for no, text in enumerate(texts):
+        for at in range(0, len(text), PART):
+            start = max(0, at - LEAD)
+            group.append((no, start, text[start : at + PART]))
+            size += len(group[-1][2])
+            if size >= PART:
+                yield from judged()
+                group, size = [], 0
+    if group:
+        yield from judged()
+
+
+def stretches(p: dict, texts: list[str]) -> list[tuple[int, int, int]]:
     """The stretches that are tagged, as text, start and end: blocks that the gate lets through, with their context."""
     if "gate" not in p:
-        return [(k, 0, b - a) for k, (a, b) in enumerate(zip(codes.first.tolist(), codes.last.tolist(), strict=True)) if b > a]
-    open_ = gate_scores(p["gate"], codes) > 0
-    text, low, high = (x[open_] for x in blocks_of(codes))
-    first = codes.first[text]
+        return [(k, 0, len(t)) for k, t in enumerate(texts) if t]
     out: list[tuple[int, int, int]] = []
-    for k, a, b in zip(text.tolist(), (np.maximum(low - CONTEXT, first) - first).tolist(), (np.minimum(high + CONTEXT, codes.last[text]) - first).tolist(), strict=True):
+    for k, low, high in _open_blocks(p["gate"], texts):
+        a, b = max(0, low - CONTEXT), min(len(texts[k]), high + CONTEXT)
         if out and out[-1][0] == k and a <= out[-1][2]:
             out[-1] = (k, out[-1][1], b)
         else:
@@ -450,9 +476,8 @@ def reconcile(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
 def tag_texts(p: dict, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) of the spans of each text; what the gate lets through is tagged in overlapping windows."""
     one_thread()
-    codes = Codes(texts)
     places: list[tuple[int, int, int, bool, bool]] = []  # size, text, start, whether the window cuts the text there
-    for k, a, b in stretches(p, codes):
+    for k, a, b in stretches(p, texts):
         for s in window_starts(b - a):
             size = min(WINDOW, b - a)
             places.append((size, k, a + s, a + s > 0, a + s + size < len(texts[k])))
@@ -462,8 +487,11 @@ def tag_texts(p: dict, texts: list[str], batch: int = 512) -> list[list[tuple[in
         part = places[at : at + batch]
         width = part[-1][0]
         ids = np.zeros((len(part), width), np.uint8)
-        for row, (size, k, s, _, _) in enumerate(part):
-            ids[row, :size] = codes.text(k)[s : s + size]
+        codes = encode("".join(texts[k][s : s + size] for size, k, s, _, _ in part))
+        at_code = 0
+        for row, (size, *_) in enumerate(part):
+            ids[row, :size] = codes[at_code : at_code + size]
+            at_code += size
         best = viterbi(p, emissions(p, np.ascontiguousarray(ids.T))).T
         for row in np.flatnonzero(best.any(1)).tolist():
             size, k, s, open_left, open_right = part[row]

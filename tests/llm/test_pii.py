@@ -146,6 +146,14 @@ def by_hand():
         yield text, want
 
 
+def test_parts_of_a_long_text(monkeypatch):
+    filler = "The parser skips a chunk larger than 683 KB and writes a warning. " * 200
+    text = filler + TEXT + filler + TEXT
+    whole = pii.find([text])[0]
+    monkeypatch.setattr(tagger, "PART", 8192)
+    assert pii.find([text])[0] == whole and len(whole) == 14
+
+
 def test_cases_labelled_by_hand():
     p = pii._weights(pii.WEIGHTS)
     figures = {}
