@@ -55,6 +55,10 @@ _GENERATED_NAME = re.compile(r"(?i)(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h|js)|
 _MINIFIED_NAME = re.compile(r"(?i)[._-]min\.(?:js|css|mjs)$|\.bundle\.js$")
 _CODE = re.compile(r"(?i)\.(?:py|js|mjs|cjs|jsx|ts|tsx|java|sql|go|rb|php|c|cc|cpp|h|cs|rs|kt|swift|scala|css)$")
 _WORD = re.compile(r"[A-Za-z_]\w*")
+_LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|-?\b(?:0x[0-9a-fA-F]+|\d[\d._eE+-]*)\b|[\[\](),\s{}]+")
+_VALUE = re.compile(r"\b(?:0x[0-9a-fA-F]+|\d[\d.]*)\b|\"[^\"\n]{0,200}\"|'[^'\n]{0,200}'")
+_QUOTED = re.compile(r"\"\"\".*?\"\"\"|'\'\'.*?'\'\'|`[^`]*`|\"[^\"\n]*\"|'[^'\n]*'", re.S)
+_DIGITS = re.compile(r"\d+")
 _LINE = re.compile(r"\r\n|\n|\r")
 
 
@@ -98,16 +102,16 @@ def evidence(path: str, content: str, lines_of_code: int | None = None) -> list[
     if re.search(r"(?m)^//# sourceMappingURL=", content) and len(rows) <= 6:
         out[minified] += 3
     # data: most of the text is literals in rows of one form
-    literal = sum(len(x) for x in re.findall(r"\"[^\"\n]*\"|'[^'\n]*'|-?\b(?:0x[0-9a-fA-F]+|\d[\d._eE+-]*)\b|[\[\](),\s{}]", body)) / max(1, len(body))
-    numbers = len(re.findall(r"\b(?:0x[0-9a-fA-F]+|\d[\d.]*)\b|\"[^\"\n]{0,200}\"|'[^'\n]{0,200}'", body))
-    quoted = max(map(len, re.findall(r"\"\"\".*?\"\"\"|'\'\'.*?'\'\'|`[^`]*`|\"[^\"\n]*\"|'[^'\n]*'", body, re.S)), default=0)
+    literal = 1 - len(_LITERAL.sub("", body)) / max(1, len(body))
+    numbers = len(_VALUE.findall(body)) if literal > 0.75 else 0
+    quoted = max(map(len, _QUOTED.findall(body)), default=0)
     if literal > 0.85 and numbers >= 40 or quoted > max(1000, 0.7 * len(body)):
         out[blob] += 8
     elif literal > 0.75 and numbers >= 100:
         out[blob] += 6
     # generated: the same lines over and over, differing in a counter only
     if len(rows) >= 12:
-        skeletons = Counter(re.sub(r"\d+", "9", re.sub(r"[A-Za-z]+", lambda m: m[0], x.strip())) for x in rows)
+        skeletons = Counter(x.strip() for x in _DIGITS.sub("9", "\n".join(rows)).split("\n"))
         counted = sum(n for s, n in skeletons.items() if "9" in s and n >= 8 and len(s) > 12 and re.search(r"[A-Za-z]", s))
         if counted / len(rows) > 0.4 and out[blob] == 0 and _counts_up(rows):
             out[generated] += 7
