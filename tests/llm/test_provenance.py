@@ -4,11 +4,11 @@ from repoloom.llm import provenance as v
 
 CODE = "import os\n\n\ndef load(path):\n    with open(path) as f:\n        return f.read()\n"
 MIN = "!function(){" + "".join(f'function a{i}(b,c){{return c?c.x({i}):null}}var d{i}=[1,2,3];' for i in range(40)) + "}();"
-SCHEMA = "file_id bigint, project_id string, path string, lines_of_code int, content string"
+SCHEMA = "file_id bigint, project_id string, path string, lines_of_code int, language string, content string"
 
 
 def label(spark, *files):
-    rows = [(i, "p", path, None, content) for i, (path, content) in enumerate(files)]
+    rows = [(i, "p", path, None, None, content) for i, (path, content) in enumerate(files)]
     return {r.file_id: r.label for r in v.labels(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
@@ -24,7 +24,7 @@ def test_labels(spark):
 
 
 def test_null_paths_repeats_long_and_empty(spark):
-    df = spark.createDataFrame([(1, None, None, None, CODE), (1, None, None, None, CODE), (2, "p", "x/" * 30 + "a.py", 1, CODE * 2000)], SCHEMA).selectExpr("*", "'clash' as label")
+    df = spark.createDataFrame([(1, None, None, None, None, CODE), (1, None, None, None, None, CODE), (2, "p", "x/" * 30 + "a.py", 1, "x", CODE * 2000)], SCHEMA).selectExpr("*", "'clash' as label")
     assert sorted((r.file_id, r.label) for r in v.labels(df.where("project_id is not null")).collect()) == [(2, "handwritten")]
     assert {r.file_id for r in v.labels(df.fillna("", ["project_id", "path"])).collect()} == {1, 2}
     assert v.found(df.limit(0)).count() == 0
@@ -56,6 +56,18 @@ def test_propagation_is_exact_on_a_tree(spark):
     assert {p: v.LABELS.index(got[i]) for i, (p, _) in enumerate(files)} == want
 
 
+def test_levels_and_subtrees_and_hot_directories_give_the_same(spark):
+    bodies = [CODE, "# vendored from x\n" + CODE, MIN, "", "# Code generated by x. DO NOT EDIT.\n" + CODE]
+    places = ["", "a/", "a/b/", "a/b/c/d/", "node_modules/x/y/", "/abs/q/", "a//z/", "gen/k/l/m/"]
+    rows = [(None if k % 11 == 0 else k, "p" if k % 3 else None, f"{places[k % 8]}f{k}.js", k, "JSON", bodies[k % 5]) for k in range(120)]
+    df = spark.createDataFrame(rows, "file_id bigint, project_id string, path string, lines_of_code int, language string, content string")
+    sets = []
+    for tree_rows, hot in ((1000, 1000), (0, 1000), (12, 1000), (30, 3), (1000, 2)):
+        got = v.labels(df, tree_rows, hot).collect()
+        sets.append(sorted((str(r.file_id), r.label, round(r.confidence, 9)) for r in got))
+    assert len(sets[0]) == 96 and all(x == sets[0] for x in sets)
+
+
 def test_the_whole_header_and_the_whole_body_count():
     generated, minified = v.LABELS.index("generated"), v.LABELS.index("minified")
     header = "/*\n" + "Terms of use apply to this text.\n" * 120 + "Code generated by a tool.\n*/\n"
