@@ -1,13 +1,14 @@
 """Mix sources to target shares of the tokens (problem 8).
 
 Every document is counted in tokens of a public tokenizer. A mix is as large as its scarcest source allows, or as large
-as ``total_tokens`` says. It is cut into blocks of equal tokens; Sainte-Laguë apportionment (highest quotients
-``share / (2 k + 1)``) gives every source its number of blocks, never beyond ``max_repeats`` times what the source has,
-and gives the source's blocks to its hash shards in the same way. Inside a shard the documents stand in seeded order:
-whole passes first, then the documents whose middle lies inside what is left of the quota.
-
-Only sums per (mix, source, shard) are ever brought together; no window spans more than one shard, whose size is
-bounded by ``shard_docs``, so a source that holds a third of all rows is spread like any other.
+as ``total_tokens`` says. It is cut into blocks of equal, whole numbers of tokens; Sainte-Laguë apportionment (highest
+quotients ``share / (2 k + 1)``) gives every source its number of blocks, never beyond ``max_repeats`` times what the
+source has, and hands the source's blocks to its groups of hash shards and from them to the shards in the same way. The
+blocks of a shard are consecutive stretches of its documents in seeded order: whole passes first, then its first blocks;
+documents that the rest of the quota cannot hold are passed over for later ones that it can.
+
+A shard holds a bounded number of documents (``SHARD_DOCS``) and a group a bounded number of shards, so that a source
+that holds a third of all rows is spread like any other; the driver holds at most ``GROUPS`` rows per source.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from repoloom.session import materialise
 
 #: Blocks that a mix is cut into: one block is this fraction of the mix.
 BLOCKS = 100_000
-#: Documents that one shard of a source holds at most, about.
-SHARD_DOCS = 20_000
+#: Documents that one shard of a source holds at most, about, and groups of shards that a source has at most.
+SHARD_DOCS, GROUPS = 20_000, 1_024
 SEED = 42
 
 
@@ -62,8 +63,9 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
     return given
 
 
-def _quotas(stats: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None, blocks: int) -> pd.DataFrame:
-    """Tokens that each shard of each source gives to each mix. ``stats``: source, shard, n_docs, n_tokens."""
+def _group_quotas(stats: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None, blocks: int) -> pd.DataFrame:
+    """Blocks that each group of shards gives to each mix. ``stats``: source, group, n_tokens."""
+    stats = stats.sort_values(["source", "group"])
     have = stats.groupby("source").n_tokens.sum()
     out = []
     for mix_id, mix in targets.sort_values(["mix_id", "source"]).groupby("mix_id"):
@@ -72,44 +74,81 @@ def _quotas(stats: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None
         if live.empty:
             continue
         share = (live.target_share / live.target_share.sum()).to_numpy()
-        most = (live.available * live.max_repeats).to_numpy(float)
-        total = float((most / share).min()) if total_tokens is None else float(total_tokens)
-        block = total / blocks
-        given = sainte_lague(share, blocks, np.floor(most / block + 1e-9))
+        most = (live.available * live.max_repeats).to_numpy("int64")
+        total = int((most / share).min()) if total_tokens is None else int(total_tokens)
+        block = max(1, total // blocks)
+        given = sainte_lague(share, total // block, most // block)
         for source, repeats, seats in zip(live.source, live.max_repeats, given, strict=True):
-            shards = stats[(stats.source == source) & (stats.n_tokens > 0)].sort_values("shard")
-            tokens = shards.n_tokens.to_numpy(float)
-            per_shard = sainte_lague(tokens, int(seats), np.ceil(tokens * repeats / block))
-            quota = np.minimum(per_shard * block, tokens * repeats)
-            out.append(pd.DataFrame({"mix_id": mix_id, "source": source, "shard": shards.shard.to_numpy(), "quota": quota, "shard_tokens": shards.n_tokens.to_numpy(), "max_repeats": repeats}))
-    columns = ["mix_id", "source", "shard", "quota", "shard_tokens", "max_repeats"]
+            groups = stats[stats.source == source]
+            tokens = groups.n_tokens.to_numpy("int64")
+            per_group = sainte_lague(tokens, int(seats), -(-tokens * int(repeats) // block))
+            out.append(pd.DataFrame({"mix_id": mix_id, "source": source, "group": groups.group.to_numpy(), "seats": per_group, "block": block, "max_repeats": int(repeats)}))
+    columns = ["mix_id", "source", "group", "seats", "block", "max_repeats"]
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
 
 
+def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one group for one mix, handed to its shards: their quotas in tokens."""
+    shards = shards.sort_values("shard")
+    tokens, block, repeats = shards.n_tokens.to_numpy("int64"), int(shards.block.iloc[0]), int(shards.max_repeats.iloc[0])
+    seats = sainte_lague(tokens, int(shards.seats.iloc[0]), -(-tokens * repeats // block))
+    return shards.assign(quota=np.minimum(seats * block, tokens * repeats))[["mix_id", "source", "group", "shard", "quota", "max_repeats"]]
+
+
+def take(sizes: np.ndarray, quota: int) -> np.ndarray:
+    """Which of the sizes, in order, are taken so that their sum stays within ``quota``: each one that still fits."""
+    taken = np.cumsum(sizes) <= quota
+    left = quota - int(sizes[taken].sum())
+    smallest = int(sizes.min()) if len(sizes) else 0
+    for k in np.flatnonzero(~taken).tolist():
+        if left < smallest:
+            break
+        if sizes[k] <= left:
+            taken[k] = True
+            left -= int(sizes[k])
+    return taken
+
+
+def _chosen(documents: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
+    """What one shard gives to the mixes."""
+    documents = documents.sort_values(["h", "doc_id"])
+    sizes = documents.n_tokens.to_numpy("int64")
+    total = int(sizes.sum())
+    out = []
+    for mix_id, quota, most in zip(quotas.mix_id, quotas.quota, quotas.max_repeats, strict=True):
+        passes, rest = divmod(int(quota), total) if total else (0, 0)
+        repeats = np.minimum(passes + take(sizes, rest), most)
+        out.append(documents.assign(mix_id=mix_id, repeats=repeats)[repeats > 0])
+    columns = ["mix_id", "source", "doc_id", "n_tokens", "repeats"]
+    return pd.concat(out, ignore_index=True)[columns] if out else pd.DataFrame(columns=columns)
+
+
 def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, total_tokens: int | None = None, blocks: int = BLOCKS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """``mix_id, source, doc_id, n_tokens, repeats`` for every document in a mix, ``repeats`` from 1 to ``max_repeats``.
 
     Sources without documents, and documents of a null source or of a source in no mix, take no part; documents with a
     null or empty text have no tokens and are never chosen. Repeated rows of ``documents`` are separate documents with
-    equal places. The driver holds one row per (source, shard): about one per ``shard_docs`` documents.
+    equal places. No source exceeds its share by more than a block, and a shard falls short of its quota by less than the
+    smallest document that it leaves out.
     """
     spark = documents.sparkSession
     goals = targets.select("mix_id", "source", "target_share", "max_repeats").where("source is not null and target_share is not null and max_repeats is not null")
     definition = goals.toPandas()  # a few rows that the user wrote
     wanted = F.col("source").isin(*sorted(set(definition.source))) if len(definition) else F.lit(False)
-    counted = materialise(count_tokens(documents.where(wanted), ["doc_id", "source"], vocabulary).where("n_tokens > 0"), "p8-tokens")
-    sizes = counted.groupBy("source").agg(F.count("*").alias("n_docs"))
-    shards = sizes.select("source", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).alias("shards"))
-    place = counted.join(F.broadcast(shards), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod("h", "shards")).drop("shards")
-    stats = place.groupBy("source", "shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    quotas = _quotas(stats.toPandas(), definition, total_tokens, blocks)
-    chosen = spark.createDataFrame(quotas, "mix_id string, source string, shard bigint, quota double, shard_tokens bigint, max_repeats int")
-    order = Window.partitionBy("source", "shard").orderBy("h", "doc_id")
-    before = place.withColumn("before", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    passes = F.floor(F.col("quota") / F.col("shard_tokens") + 1e-9)
-    rest = F.col("quota") - passes * F.col("shard_tokens")
-    repeats = F.least(passes + (F.col("before") + F.col("n_tokens") / 2 <= rest).cast("int"), F.col("max_repeats"))
-    return before.join(chosen, ["source", "shard"]).select("mix_id", "source", "doc_id", "n_tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
+    placed = documents.where(wanted).select("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "text")
+    counted = materialise(count_tokens(placed, ["doc_id", "source", "h"], vocabulary).where("n_tokens > 0"), "p8-tokens")
+    shards = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs))
+    sizes = counted.groupBy("source").agg(F.count("*").alias("n_docs")).select("source", F.least(F.lit(GROUPS), F.ceil(F.sqrt(shards))).cast("int").alias("groups"), shards.alias("shards"))
+    spread_over = sizes.select("source", "groups", F.ceil(F.col("shards") / F.col("groups")).cast("int").alias("each"))  # one row per source of the mixes
+    bits = lambda low: F.shiftrightunsigned("h", low).bitwiseAND(F.lit((1 << 31) - 1))
+    place = counted.join(F.broadcast(spread_over), "source").withColumns({"group": F.pmod(bits(0), "groups").cast("int"), "shard": F.pmod(bits(31), "each").cast("int")}).drop("groups", "each")
+    stats = place.groupBy("source", "group", "shard").agg(F.sum("n_tokens").alias("n_tokens"))
+    stats = materialise(stats, "p8-shards")
+    by_group = _group_quotas(stats.groupBy("source", "group").agg(F.sum("n_tokens").alias("n_tokens")).toPandas(), definition, total_tokens, blocks)
+    seats = spark.createDataFrame(by_group, "mix_id string, source string, group int, seats bigint, block bigint, max_repeats int")
+    quotas = stats.join(seats, ["source", "group"]).groupBy("mix_id", "source", "group").applyInPandas(_shard_quotas, "mix_id string, source string, group int, shard int, quota bigint, max_repeats int").where("quota > 0")
+    key = ["source", "group", "shard"]
+    return place.groupBy(*key).cogroup(quotas.groupBy(*key)).applyInPandas(_chosen, "mix_id string, source string, doc_id bigint, n_tokens bigint, repeats int")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -121,3 +160,12 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     whole = Window.partitionBy("mix_id")
     both = targets.select("mix_id", "source", "target_share", "max_repeats").join(got, ["mix_id", "source"], "left").fillna(0, ["n_docs", "n_tokens", "most_repeats"])
     return both.withColumn("actual_share", F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(whole)))
+
+
+def checked(shares_: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Per mix and source whether it gave documents, its share is that of the target among them, and no repeat is too many."""
+    given = F.col("n_docs") > 0
+    live = F.when(given, F.col("target_share")).otherwise(0.0)
+    goal = F.try_divide(live, F.sum(live).over(Window.partitionBy("mix_id")))
+    near = F.coalesce(F.abs(F.col("actual_share") - goal) <= tolerance, ~given)
+    return shares_.select("mix_id", "source", given.alias("gave"), near.alias("near_target"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))

@@ -76,3 +76,21 @@ def test_mix(spark):
     assert mixed.where("doc_id in (9000, 9001, 9002, 9003)").count() == 0
     assert {tuple(r) for r in mixing.mix(df, goals, shard_docs=500).collect()} == {tuple(r) for r in mixed.collect()}
     assert mixing.mix(df.limit(0), goals).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=20), st.integers(0, 400))
+def test_take_stays_within_the_quota_and_leaves_nothing_that_fits(sizes, quota):
+    sizes = np.array(sizes, np.int64)
+    taken = mixing.take(sizes, quota)
+    left = quota - int(sizes[taken].sum())
+    assert left >= 0 and all(s > left for s in sizes[~taken])
+
+
+def test_one_large_document_does_not_break_the_share(spark):
+    docs = [(0, "a", "word " * 3000)] + [(i, "a", "one two three") for i in range(1, 300)] + [(1000 + i, "b", "one two three four") for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    goals = spark.createDataFrame([("m", "a", 0.1, 1), ("m", "b", 0.9, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    for shard_docs in (20_000, 400):
+        got = {r.source: r for r in mixing.shares(mixing.mix(df, goals, shard_docs=shard_docs), goals).collect()}
+        assert got["a"].actual_share == pytest.approx(0.1, abs=0.02) and got["b"].actual_share == pytest.approx(0.9, abs=0.02)
