@@ -19,14 +19,18 @@ SKIP_EXTENSIONS = (
     ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".woff", ".woff2", ".ttf", ".eot", ".otf",
     ".exe", ".dll", ".so", ".dylib", ".pdb", ".o", ".a", ".lib", ".class", ".pyc", ".pyo", ".pyd", ".wasm", ".bin", ".dat", ".db", ".sqlite", ".sqlite3",
 )
-#: Extensions by language. Fixed values.
-LANGUAGE_EXTENSIONS = {
-    "python": ".py .pyw .pyi", "javascript": ".js .jsx .mjs .cjs .ts .tsx", "sql": ".sql", "java": ".java", "kotlin": ".kt .kts", "csharp": ".cs", "fsharp": ".fs", "vb": ".vb", "go": ".go", "rust": ".rs",
-    "php": ".php .phtml", "ruby": ".rb .rake", "swift": ".swift", "scala": ".scala", "clojure": ".clj", "haskell": ".hs", "ocaml": ".ml", "lua": ".lua", "r": ".r", "perl": ".pl .pm",
-    "shell": ".sh .bash .zsh", "powershell": ".ps1", "batch": ".bat .cmd", "c": ".c .h", "cpp": ".cc .cpp .cxx .hpp .hxx .hh", "html": ".html .htm .xhtml", "css": ".css", "scss": ".scss", "sass": ".sass", "less": ".less",
-    "json": ".json .jsonc", "yaml": ".yml .yaml", "xml": ".xml", "toml": ".toml", "ini": ".ini .cfg", "markdown": ".md .mdx", "rst": ".rst", "text": ".txt", "vue": ".vue", "svelte": ".svelte", "dart": ".dart", "protobuf": ".proto", "graphql": ".graphql .gql",
+#: Language of an extension. Fixed values.
+EXTENSION_LANGUAGE = {
+    ".py": "python", ".pyw": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "javascript",
+    ".tsx": "javascript", ".sql": "sql", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".cs": "csharp", ".fs": "fsharp", ".vb": "vb",
+    ".go": "go", ".rs": "rust", ".php": "php", ".phtml": "php", ".rb": "ruby", ".rake": "ruby", ".swift": "swift", ".scala": "scala",
+    ".clj": "clojure", ".hs": "haskell", ".ml": "ocaml", ".lua": "lua", ".r": "r", ".pl": "perl", ".pm": "perl", ".sh": "shell",
+    ".bash": "shell", ".zsh": "shell", ".ps1": "powershell", ".bat": "batch", ".cmd": "batch", ".c": "c", ".h": "c", ".cc": "cpp",
+    ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".hh": "cpp", ".html": "html", ".htm": "html", ".xhtml": "html",
+    ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".json": "json", ".jsonc": "json", ".yml": "yaml", ".yaml": "yaml",
+    ".xml": "xml", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".md": "markdown", ".mdx": "markdown", ".rst": "rst", ".txt": "text",
+    ".vue": "vue", ".svelte": "svelte", ".dart": "dart", ".proto": "protobuf", ".graphql": "graphql", ".gql": "graphql",
 }
-EXTENSION_LANGUAGE = {e: language for language, es in LANGUAGE_EXTENSIONS.items() for e in es.split()}
 #: What the index takes, and what navigation and parsing take. Fixed values.
 INDEXABLE_EXTENSIONS = (".py", ".pyw", ".pyi", ".js", ".jsx", ".mjs", ".java", ".sql")
 SUPPORTED_EXTENSIONS = (".py", ".pyw", ".pyi", ".js", ".jsx", ".mjs", ".java", ".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".hxx", ".php", ".phtml", ".sql", ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".html", ".css")
