@@ -93,24 +93,34 @@ def what_calls(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
 def reach_backwards(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Distinct ``node_id`` from which a seed can be reached.
 
-    Each seed is left out of what it reaches itself, but stays in the result if another seed's callers include it.
-    A frontier of (seed, node) pairs grows against the arrow until it is empty; each round is one join and one
-    anti-join on keys and is checkpointed, so that neither the plan nor the loss of an executor undoes earlier rounds.
+    Each seed is left out of what it reaches itself, but stays in the result if another seed's callers include it. To
+    know that, two different seeds per node are enough: a node is passed again only while it has been reached from one
+    seed alone, so that there are no more than three rows per node whatever the number of seeds. Each round is one join
+    and one look at the earlier rounds, on keys; it is checkpointed, and no earlier round is written again.
     """
     arrows = cut(edges.select("src", "dst").distinct())
-    frontier = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("dst"))
-    visited = None
+    frontier = seeds.select(F.col("node_id").alias("dst"), F.col("node_id").alias("low"), F.col("node_id").alias("high"))
+    rounds: list[DataFrame] = []
+
+    def reached() -> DataFrame:
+        out = rounds[0]
+        for one in rounds[1:]:
+            out = out.unionByName(one)
+        return out.groupBy("dst").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
     while True:
-        found = frontier.join(arrows, "dst").select("seed", F.col("src").alias("dst")).distinct()
-        if visited is not None:
-            found = found.join(visited, ["seed", "dst"], "left_anti")
+        found = frontier.join(arrows, "dst").select(F.col("src").alias("dst"), "low", "high").groupBy("dst").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        if rounds:
+            before = reached().select("dst", F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+            news = F.col("b_low").isNull() | ((F.col("b_low") == F.col("b_high")) & ((F.col("low") != F.col("b_low")) | (F.col("high") != F.col("b_high"))))
+            found = found.join(before, "dst", "left").where(news).select("dst", "low", "high")
         frontier = cut(found)
         if frontier.isEmpty():
             break
-        visited = frontier if visited is None else cut(visited.unionByName(frontier))
-    if visited is None:
+        rounds.append(frontier)
+    if not rounds:
         return seeds.limit(0).select("node_id")
-    return visited.where("seed != dst").select(F.col("dst").alias("node_id")).distinct()
+    return reached().where("low != dst or high != dst").select(F.col("dst").alias("node_id"))
 
 
 def impact_of(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:

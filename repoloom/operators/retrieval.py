@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repoloom.functions.text import keywords, words
-from repoloom.session import cut, spread
+from repoloom.session import spread
 
 K1, B = 1.5, 0.75
 ALPHA = 0.5
@@ -48,44 +49,82 @@ def keyword_topk(docs: DataFrame, query: str, k: int = 5, key: str = "doc_id", t
     return docs.select(key, F.greatest(score, F.lit(0)).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, score`` (score > 0) of every document with a query word: BM25 with k1 1.5, b 0.75 and the +1 idf.
+@dataclass(frozen=True)
+class Postings:
+    """An inverted index: ``term, key, tf, len`` and one row ``n, avg`` of corpus figures."""
 
-    Plain lower-case word tokens. A repeated query word counts once. Lengths and averages are those of all rows.
-    Term counts are taken inside each row; nothing but one row of totals is brought together.
-    """
-    import re
+    rows: DataFrame
+    totals: DataFrame
+    key: str = "doc_id"
 
-    terms = list(dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z0-9_]+", query)))
-    if not terms:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    tokens = F.coalesce(words(F.col(text_col)), F.array().cast("array<string>"))
+    def save(self, path: str) -> Postings:
+        """The index written to shared storage, its rows together by term, to be asked many times."""
+        spark = self.rows.sparkSession
+        self.rows.repartition(F.col("term")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/rows")
+        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        return Postings.load(spark, path, self.key)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, key: str = "doc_id") -> Postings:
+        return Postings(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/totals"), key)
+
+
+def _terms(query: str) -> list[str]:
+    return list(dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z0-9_]+", query)))
 
-    def times(term: str) -> Column:
-        return F.size(F.filter("hits", lambda x: x == F.lit(term)))
 
-    split = spread(docs.select(key, text_col), key).select(key, tokens.alias("tokens"))
-    hits = split.select(key, F.size("tokens").alias("len"), F.filter("tokens", lambda x: x.isin(terms)).alias("hits"))
-    counted = cut(hits.select(key, "len", *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)]))  # the texts are read once for both steps below
-    totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    n, average = totals["n"], totals["avg"] or 1.0
-    norm = K1 * (1 - B + B * F.col("len") / F.lit(float(average)))
-    score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        df = totals[f"df{i}"]
-        idf = float(np.log(1 + (n - df + 0.5) / (df + 0.5)))
-        score = score + F.lit(idf) * F.col(f"tf{i}") / (F.col(f"tf{i}") + norm)
-    return counted.select(key, score.alias("score")).where("score > 0")
+def postings(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Postings:
+    """The index of a corpus, not yet computed; a null text has no tokens and length 0."""
+    source = spread(docs.select(key, text_col), key)
+    tokens = F.coalesce(words(F.col(text_col)), F.array().cast("array<string>"))
+    tokenised = source.select(key, tokens.alias("tokens"))
+    totals = tokenised.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"))
+    rows = tokenised.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return Postings(rows, totals, key)
+
 
+def bm25_scores(docs: DataFrame | Postings, query: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key, score`` (score > 0) of every document with a query word: BM25 with k1 1.5, b 0.75 and the +1 idf.
 
-def bm25_topk(docs: DataFrame, query: str, k: int = 20, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Plain lower-case word tokens. A repeated query word counts once. Lengths and averages are those of all rows. A
+    stored index is read for the terms of the query only. Without one the texts are read once for the corpus figures
+    and once for the words of the query, of which each document keeps nothing but its counts; nothing is written.
+    """
+    terms = _terms(query)
+    if isinstance(docs, Postings):
+        key, hits, totals = docs.key, docs.rows.where(F.col("term").isin(terms)), docs.totals
+    else:
+        tokens = F.coalesce(words(F.col(text_col)), F.array().cast("array<string>"))
+        tokenised = spread(docs.select(key, text_col), key).select(key, tokens.alias("tokens"))
+        totals = tokenised.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"))
+        found = F.filter("tokens", lambda x: x.isin(terms))
+
+        def times(term: str) -> Column:
+            return F.size(F.filter("hits", lambda x: x == F.lit(term))).cast("bigint")
+
+        per_term = [F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in terms]
+        counted = tokenised.select(key, F.size("tokens").alias("len"), found.alias("hits")).where(F.size("hits") > 0)
+        hits = counted.select(key, "len", F.inline(F.array(*per_term))).where("tf > 0") if terms else None
+    if not terms:
+        source = docs.rows if isinstance(docs, Postings) else docs
+        return source.select(key, F.lit(0.0).alias("score")).limit(0)
+    in_documents = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per term of the query
+    figures = in_documents.crossJoin(F.broadcast(totals))  # with the one row of totals
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = figures.select("term", idf.alias("idf"), F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avg"))
+    norm = K1 * (1 - B + B * F.col("len") / F.col("avg"))
+    gain = F.col("idf") * F.col("tf") / (F.col("tf") + norm)
+    return hits.join(F.broadcast(weights), "term").groupBy(key).agg(F.sum(gain).alias("score")).where("score > 0")
+
+
+def bm25_topk(docs: DataFrame | Postings, query: str, k: int = 20, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    key = docs.key if isinstance(docs, Postings) else key
     return bm25_scores(docs, query, key, text_col).select(key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def bm25_index(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings ``term, key, tf, len`` to be stored once for many queries; corpus figures follow from them."""
-    tokens = docs.select(key, words(F.col(text_col)).alias("tokens")).where("tokens is not null")
-    return tokens.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """Postings ``term, key, tf, len`` to be stored once for many queries; see :class:`Postings`."""
+    return postings(docs, key, text_col).rows
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -115,17 +154,23 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10, key: str =
     return vectors.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def nearest_many(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """``query_id, key, distance, rank``: the ``k`` nearest rows of each query row, exact, in blocks of queries.
+#: Bytes of query vectors that go to every task at once, and queries that are compared at once.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 1024
+
 
-    A block of at most ``block`` query vectors goes to every task as a matrix (its size is bounded by the block, not by
-    the data); each task keeps its ``k`` best per query, so that the shuffle carries ``k`` rows per query and task.
+def nearest_many(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """``query_id, key, distance, rank``: the ``k`` nearest rows of each query row, exact, ties by key.
+
+    Query vectors go to the tasks in sets of at most ``query_bytes`` (their size is bounded by that, not by the data),
+    one scan of the vectors for each set; a task compares block by block and keeps its ``k`` best of each query over
+    all its rows, so that the shuffle carries ``k`` rows per query and task. Null vectors take no part.
     """
-    ids = queries.select(F.col(key).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
-    width = max(1, -(-ids.count() // block))
-    numbered = ids.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(width)))
+    ids = queries.select(F.col(key).alias("q"), F.col(vector_col).alias("v")).where("v is not null and q is not null")
+    size = ids.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    sets = max(1, -(-size.n * 8 * (size.d or 1) // query_bytes))
+    numbered = ids.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(sets)))
     parts = []
-    for b in range(width):
+    for b in range(sets):
         rows = numbered.where(F.col("b") == b).select("q", "v").collect()
         if not rows:
             continue
@@ -133,15 +178,25 @@ def nearest_many(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str =
         matrix = np.array([r.v for r in rows], np.float64)
 
         def best(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            distance = np.full((len(names), 0), np.inf)
+            found = np.zeros((len(names), 0), np.int64)
             for batch in batches:
                 data = np.array(batch.column(1).to_pylist(), np.float64)
                 if not len(data):
                     continue
                 own = batch.column(0).to_numpy(zero_copy_only=False)
-                distance = np.maximum((matrix**2).sum(1)[:, None] - 2 * matrix @ data.T + (data**2).sum(1)[None], 0)
-                top = np.argsort(distance, 1, kind="stable")[:, :k]
-                q = np.repeat(names, top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[top.ravel()]), pa.array(np.take_along_axis(distance, top, 1).ravel())], names=["query_id", key, "distance"])
+                new_distance, new_found = [], []
+                for low in range(0, len(names), QUERY_BLOCK):
+                    part = matrix[low : low + QUERY_BLOCK]
+                    near = np.maximum((part**2).sum(1)[:, None] - 2 * part @ data.T + (data**2).sum(1)[None], 0)
+                    near = np.concatenate([distance[low : low + QUERY_BLOCK], near], 1)
+                    keys = np.concatenate([found[low : low + QUERY_BLOCK], np.broadcast_to(own, (len(part), len(own)))], 1)
+                    top = np.lexsort((keys, np.round(near, 6)))[:, :k]
+                    new_distance.append(np.take_along_axis(near, top, 1))
+                    new_found.append(np.take_along_axis(keys, top, 1))
+                distance, found = np.concatenate(new_distance), np.concatenate(new_found)
+            q = np.repeat(names, found.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(found.ravel()), pa.array(distance.ravel())], names=["query_id", key, "distance"])
 
         parts.append(vectors.select(key, vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(best, f"query_id bigint, {key} bigint, distance double"))
     if not parts:
@@ -154,26 +209,34 @@ def nearest_many(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str =
 
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Scores scaled to 0..1 over all rows; all equal means 1. One row of extremes is read, not a global window."""
-    df = cut(df)
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None or high == low:
-        return df.withColumn(out, F.when(F.col(column).isNotNull(), F.lit(1.0)))
-    return df.withColumn(out, (F.col(column) - F.lit(float(low))) / F.lit(float(high) - float(low)))
+    """Scores scaled to 0..1 over all rows; all equal means 1. The one row of extremes is joined, not a global window."""
+    ends = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    scaled = F.when(F.col("_high") == F.col("_low"), 1.0).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(F.col(column).isNotNull(), scaled)).drop("_low", "_high")
 
 
-def hybrid_topk(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 25, pool: int = 20, alpha: float = ALPHA, key: str = "doc_id", vector_key: str = "vec_id", text_col: str = "text") -> DataFrame:
+def hybrid_topk(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 25, pool: int = 20, alpha: float = ALPHA, key: str = "doc_id", vector_key: str = "vec_id", text_col: str = "text", index: Postings | None = None) -> DataFrame:
     """``key, vector_score, bm25_score, score``: alpha times the vector leg plus the rest times the BM25 leg.
 
     The vector leg is scaled over its ``pool`` hits, the BM25 leg over all documents, of which those without a query
-    word have 0; a missing leg counts 0. Ties go to the lower key.
+    word have 0; a missing leg counts 0. Ties go to the lower key. With a stored ``index`` no text is read. Only hits,
+    the pool and the first ``k`` keys, which fill up where there are too few, can be among the best; the others are
+    never brought together.
     """
     nearest = l2_topk(vectors, vector, pool, vector_key).select(F.col(vector_key).alias(key), F.col("score").alias("v_raw"))
     legs_v = min_max(nearest, "v_raw", "vector_score").select(key, "vector_score")
-    found = bm25_scores(docs, query, key, text_col).select(key, F.col("score").alias("b_raw"))
-    everything = docs.select(key).join(found, key, "left").fillna(0.0, ["b_raw"])
-    legs_b = min_max(everything, "b_raw", "bm25_score").select(key, "bm25_score")
-    both = legs_b.join(F.broadcast(legs_v), key, "left").fillna(0.0, ["vector_score", "bm25_score"])
+    found = bm25_scores(index or docs, query, key, text_col).select(key, F.col("score").alias("b_raw"))
+    first = docs.select(key).orderBy(key).limit(k + pool)
+    # the BM25 leg: where some document has no hit the least score is 0, and where none has one all are equal
+    n = docs.agg(F.count("*").alias("n"))
+    ends = found.agg(F.min("b_raw").alias("low"), F.max("b_raw").alias("high"), F.count("*").alias("hits")).crossJoin(F.broadcast(n)).select(F.when(F.col("hits") < F.col("n"), 0.0).otherwise(F.col("low")).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+    in_docs = docs.select(key).join(F.broadcast(legs_v), key)  # of the pool those that are documents
+    one = lambda df, v, b: df.select(key, v.alias("vector_score"), b.alias("b_raw"))
+    zero = F.lit(0.0)
+    candidates = one(found, zero, F.col("b_raw")).unionAll(one(in_docs, F.col("vector_score"), zero)).unionAll(one(first, zero, zero))
+    both = candidates.groupBy(key).agg(F.max("vector_score").alias("vector_score"), F.max("b_raw").alias("b_raw")).crossJoin(F.broadcast(ends))
+    scaled = F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("b_raw") - F.col("low")) / (F.col("high") - F.col("low")))
+    both = both.withColumn("bm25_score", scaled)
     score = F.round(F.lit(alpha) * F.col("vector_score") + F.lit(1 - alpha) * F.col("bm25_score"), 6)
     return both.select(key, F.round("vector_score", 6).alias("vector_score"), F.round("bm25_score", 6).alias("bm25_score"), score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
@@ -181,8 +244,6 @@ def hybrid_topk(docs: DataFrame, vectors: DataFrame, query: str, vector: list[fl
 def lexical_rerank(hits: DataFrame, query: str, k: int | None = None, key: str = "doc_id", text_col: str = "text", symbol_col: str | None = None, order_col: str = "score") -> DataFrame:
     """Hits again by how the query's identifiers occur: +3 as the symbol or a dotted part of it, +2 after ``def`` or
     ``class``, +0.5 anywhere; repeated identifiers count again; ties keep the order of ``order_col``, then of the key."""
-    import re
-
     terms = [t for t in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", query) if len(t) > 1]
     text = F.coalesce(F.col(text_col), F.lit(""))
     points: Column = F.lit(0.0)
