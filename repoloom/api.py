@@ -36,6 +36,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, provider: embedding.Provider = embedding.hashed) -> None:
         self.spark, self.provider = spark, provider
         self.vectors, self.graphs, self.files = stores.TableStore(spark, root, "chunks"), stores.GraphStore(spark, root), stores.TableStore(spark, root, "files")
+        self.parsed = stores.TableStore(spark, root, "facts")
+        self.root = root.rstrip("/")
 
     # --- indexing
 
@@ -52,7 +54,8 @@ class Engine:
         wanted = listed.where("reason = 'indexed'").select("path")
         files = materialise(source.scan(self.spark, folder).join(wanted, "path", "left_semi"), "api-files")
         self.files.upsert(files)
-        facts = materialise(parse_files(files), "api-facts")
+        self.parsed.upsert(parse_files(files))
+        facts = self.parsed.fetch(project)
         n = self.vectors.upsert(self.chunks(files, facts, config))
         phases.append({"phase": "chunks", "status": "done", "chunks": n})
         nodes, edges = graph.build(facts)
@@ -97,16 +100,20 @@ class Engine:
         """Numbered lines of a range; bounds are clamped, a start behind the end is an error."""
         if ".." in Path(path).parts or path.startswith("/"):
             raise ValueError("path leads out of the project")
-        rows = text.lines(self._files(project).where(F.col("path") == path), "content", "path").orderBy("line_no").collect()
-        if not rows:
+        file = self._files(project).where(F.col("path") == path)
+        size = file.select(F.size(text.split_lines("content")).alias("n")).first()
+        if size is None or not size.n or size.n < 0:
             raise FileNotFoundError(path)
-        first, last = max(1, start or 1), min(len(rows), end or len(rows))
+        first, last = max(1, start or 1), min(size.n, end or size.n)
         if first > last:
             raise ValueError("start is behind the end")
-        return "\n".join(f"{r.line_no:4d}| {r.line}" for r in rows[first - 1 : last])
+        rows = text.lines(file, "content", "path").where(F.col("line_no").between(first, last)).orderBy("line_no").collect()
+        return "\n".join(f"{r.line_no:4d}| {r.line}" for r in rows)
 
     def facts(self, project: str) -> DataFrame:
-        return parse_files(self._files(project))
+        """The facts of a project as they were parsed when it was indexed."""
+        rows = self.parsed.fetch(project)
+        return parse_files(self._files(project)) if rows is None else rows
 
     def find_symbol(self, project: str, name: str) -> DataFrame:
         rows = self.facts(project).where("fact in ('function', 'class', 'method', 'global_variable', 'class_variable', 'instance_variable', 'local_variable', 'sql_table')")
@@ -172,16 +179,23 @@ class Engine:
 
     # --- tools
 
-    def tool_json(self, tool: str, project: str, **arguments: object) -> str:
-        """One of the ten retrieval tools by name as JSON text; an error becomes ``{"error": ...}``."""
-        if tool not in TOOLS:
+    def tool_json(self, tool: str, project: str | None = None, max_rows: int | None = None, **arguments: object) -> str:
+        """One of the retrieval or generation tools by name as JSON text; an error becomes ``{"error": ...}``.
+
+        ``max_rows`` bounds the rows of an answer, which then says how many there are; without it all are given.
+        """
+        if tool not in TOOLS and tool not in GENERATION_TOOLS:
             return json.dumps({"error": f"unknown tool: {tool}"})
         try:
-            answer = getattr(self, tool)(project, **arguments)
+            answer = generate(tool, **arguments) if tool in GENERATION_TOOLS else getattr(self, tool)(project, **arguments)
         except (ValueError, LookupError, FileNotFoundError) as problem:
             return json.dumps({"error": str(problem)})
         if isinstance(answer, DataFrame):
-            answer = [r.asDict(recursive=True) for r in answer.drop("embedding").limit(1000).collect()]
+            shown = answer.drop("embedding")
+            if max_rows is not None and (n := shown.count()) > max_rows:
+                rows = [r.asDict(recursive=True) for r in shown.limit(max_rows).collect()]
+                return json.dumps({"rows": rows, "rows_in_all": n}, indent=2, default=str)
+            answer = [r.asDict(recursive=True) for r in shown.collect()]
         return json.dumps(answer, indent=2, default=str)
 
     @staticmethod
@@ -194,3 +208,56 @@ class Engine:
 
 
 TOOLS = ("list_files", "grep", "read_file", "find_symbol", "structure", "search", "who_calls", "what_calls", "impact_of", "dependencies_of")
+#: The tools that write a document or diagram of code, and what they render.
+GENERATION_TOOLS = {"generate_docstrings": "docstrings", "generate_readme": "readme", "generate_architecture_doc": "architecture_doc", "generate_diagram": None, "generate_svg_flowchart": "svg_flowchart"}
+
+
+def generate(tool: str, code: str, kind: str = "architecture", language: str = "python") -> str:
+    """What a generation tool makes of a snippet; a diagram is of the kind architecture, sequence or dependency."""
+    if tool == "generate_diagram" and kind not in ("architecture", "sequence", "dependency"):
+        raise ValueError(f"unknown diagram: {kind}")
+    if not code.strip():
+        raise ValueError("code is required")
+    return bundle.render(GENERATION_TOOLS[tool] or kind, [f for f in parse_text(language, code) if f["fact"] != "error"], language)
+
+
+class SessionIndex:
+    """Chunks of a few files for one session: built anew from each list, asked by vectors or, without them, by words."""
+
+    def __init__(self, spark: SparkSession, provider: embedding.Provider | None = None, chunk_lines: int = 40) -> None:
+        self.spark, self.provider, self.chunk_lines = spark, provider, chunk_lines
+        self.chunks: DataFrame | None = None
+
+    def build(self, files: list[dict] | DataFrame | None) -> int:
+        """Replace the index; items that are no dictionaries go, null paths and contents count as empty. Chunks made."""
+        if not isinstance(files, DataFrame):
+            rows = [("" if f.get("path") is None else str(f["path"]), "" if f.get("content") is None else str(f["content"])) for f in files or [] if isinstance(f, dict)]
+            files = self.spark.createDataFrame(rows, "path string, text string")
+        else:
+            files = files.select(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("text"))
+        keyed = chunking.fixed_chunks(files, self.chunk_lines, ("path",)).withColumn("one", F.lit(1))
+        placed = numbered(keyed, "one", "path", "start_line", out="chunk_no").drop("one")
+        self.chunks = materialise(embedding.embed(placed, "content", self.provider) if self.provider else placed, "session-chunks")
+        return self.chunks.count()
+
+    def retrieve(self, question: str | None, k: int = 5) -> DataFrame:
+        """``path, start_line, end_line, content`` of the best chunks in order.
+
+        No rows for ``k`` below 1, a blank question or an empty index. Vectors are asked if there are any of the
+        question's width; otherwise, or where the provider fails, the words that question and chunk share decide.
+        """
+        wanted = ("path", "start_line", "end_line", "content")
+        if self.chunks is None or k < 1 or not (question or "").strip():
+            return self.spark.createDataFrame([], "path string, start_line int, end_line int, content string")
+        best = self._nearest(question.strip(), k) or retrieval.keyword_topk(self.chunks, question, k, "chunk_no", "content")
+        return best.join(self.chunks.select("chunk_no", *wanted), "chunk_no").orderBy(F.desc("score"), "chunk_no").select(*wanted)
+
+    def _nearest(self, question: str, k: int) -> DataFrame | None:
+        if self.provider is None:
+            return None
+        try:
+            vector = self.provider([question])[0]
+        except Exception:  # noqa: BLE001 - any failure of a provider means words
+            return None
+        width = self.chunks.select(F.max(F.size("embedding")).alias("n")).first().n
+        return retrieval.cosine_topk(self.chunks, vector, k, "chunk_no") if vector and width == len(vector) else None

@@ -73,3 +73,12 @@ def extension(path: Column) -> Column:
 def lines(files: DataFrame, text_col: str = "text", *keys: str) -> DataFrame:
     """One row per line: ``keys``, ``line_no`` from 1 and ``line``. Null and empty texts have no lines."""
     return files.select(*keys, F.posexplode(split_lines(F.col(text_col))).alias("pos", "line")).select(*keys, (F.col("pos") + 1).alias("line_no"), "line")
+
+
+#: What a setting says to be on. Fixed values.
+TRUE_WORDS = ("1", "true", "yes", "on")
+
+
+def is_true(value: Column) -> Column:
+    """Whether a setting given as text is on; null and other words are not."""
+    return F.coalesce(F.lower(F.trim(value)).isin(*TRUE_WORDS), F.lit(False))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from repoloom.session import numbered
+
 
 def file_counts(facts: DataFrame) -> DataFrame:
     """The counters of each file from its facts: one row per ``path``."""
@@ -117,3 +119,16 @@ def until_first(rows: DataFrame, group: str, order: list[str], stops: Column) ->
     """Rows of each group up to and with the first that stops."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_s", F.coalesce(F.max(stops.cast("int")).over(w), F.lit(0))).where("_s = 0").drop("_s")
+
+
+def flow_flags(events: DataFrame, by: list[str], kind: Column, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Per group whether any event is of one of the kinds named, and whether all are: ``any_<name>``, ``all_<name>``."""
+    checks = [f(F.coalesce(kind.isin(*values), F.lit(False))).alias(f"{word}_{name}") for name, values in kinds.items() for word, f in (("any", F.bool_or), ("all", F.bool_and))]
+    return events.groupBy(*by).agg(*checks)
+
+
+def progress(items: DataFrame, group: str, *order: str) -> DataFrame:
+    """Rows with ``index`` (from 1, in the order given) and ``total`` of their group, without a window over a group."""
+    placed = numbered(items, group, *order)
+    totals = placed.groupBy(group).agg(F.count("*").alias("total"))
+    return placed.join(totals, group).withColumn("index", F.col("position") + 1).drop("position")

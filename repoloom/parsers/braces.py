@@ -35,6 +35,15 @@ def block_end(code: str, at: int) -> int:
     return len(code)
 
 
+def _arrow_end(text: str, at: int) -> int:
+    """The offset behind the body of an arrow function: its block, or all up to the next declaration at a line's start."""
+    start = re.compile(r"\s*").match(text, at).end()
+    if text[start : start + 1] == "{":
+        return block_end(text, start)
+    following = re.compile(r"(?m)^(?:export|const|let|var|function|class|import)\b").search(text, start)
+    return following.start() if following else len(text)
+
+
 def _names(inside: str) -> list[str]:
     """Parameter names of a list: defaults, types and rest marks go."""
     out = []
@@ -69,7 +78,7 @@ def javascript(code: str) -> list[dict]:
         rows.append({"fact": "function", "name": m[2], "qualified": m[2], "line": line(m.start()), "is_async": bool(m[1]), "is_nested": False, "parameters": _names(m[3]), "is_react_component": component})
     for m in re.finditer(r"\b(?:const|let|var)\s+(\w+)\s*=\s*(async\s+)?(?:\(([^)]*)\)|(\w+))\s*=>", text):
         component = m[1][:1].isupper()
-        if component and not re.search(r"<[A-Za-z>]", code[m.end() : m.end() + 4000]):
+        if component and not re.search(r"<[A-Za-z>]", code[m.end() : _arrow_end(text, m.end())]):
             continue
         rows.append({"fact": "function", "name": m[1], "qualified": m[1], "line": line(m.start()), "is_async": bool(m[2]), "is_nested": False, "parameters": _names(m[3] if m[3] is not None else m[4]), "is_react_component": component})
     for m in re.finditer(r"\bclass\s+(\w+)(?:\s+extends\s+([\w.]+))?\s*\{", text):

@@ -78,23 +78,37 @@ def by_code(content: str, language: str, max_chars: int) -> list[Piece]:
         out.append((first, last, "\n".join(lines[first - 1 : last])))
     final: list[Piece] = []
     for a, b, text in out:
-        final += [(a, b, text)] if len(text) <= max_chars else [(a + x - 1, a + y - 1, t) for x, y, t in by_lines(text, 1 << 30, 0, max_chars)]
+        final += [(a, b, text)] if len(text) <= max_chars else [(a + x - 1, a + y - 1, t) for x, y, t in packed_lines(text, max_chars)]
     return final
 
 
-def by_lines(content: str, size: int, overlap: int, max_chars: int) -> list[Piece]:
-    """Windows of lines; a window ends early where it would be longer than ``max_chars``, a longer line is alone."""
+def packed_lines(content: str, max_chars: int) -> list[Piece]:
+    """Lines packed up to ``max_chars``, each in one piece; a longer line is alone."""
     lines = content.splitlines()
     out, at = [], 0
     while at < len(lines):
         end, length = at, 0
-        while end < len(lines) and end - at < size and (end == at or length + len(lines[end]) + 1 <= max_chars):
+        while end < len(lines) and (end == at or length + len(lines[end]) + 1 <= max_chars):
             length += len(lines[end]) + 1
             end += 1
         out.append((at + 1, end, "\n".join(lines[at:end])))
-        if end >= len(lines):
-            break
-        at = max(end - overlap, at + 1)
+        at = end
+    return out
+
+
+def by_lines(content: str, size: int, overlap: int, max_chars: int) -> list[Piece]:
+    """Windows of ``size`` lines that begin every ``size - overlap`` lines (at least one) until one reaches the end.
+
+    A window longer than ``max_chars`` is cut there and its last line follows what is left; the next one begins where it
+    would anyhow, so that lines behind a cut may be in no window.
+    """
+    lines = content.splitlines()
+    step = max(1, size - overlap)
+    out = []
+    for at in range(0, max(1, len(lines) - size + step), step) if lines else ():
+        whole = "\n".join(lines[at : at + size])
+        text = whole[:max_chars]
+        out.append((at + 1, at + 1 + text.count("\n") if len(text) < len(whole) else min(len(lines), at + size), text))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from repoloom.functions import text as text_functions
 from repoloom.operators import rollup
 from repoloom.session import table
 
@@ -153,7 +154,22 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.groupBy(class_category(F.col("name")).alias("category")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (project_summary, files_by_language, languages_set, operational_summary, mean_ignoring_null, threshold_failures, mode_pivot, resume_pending, last6_runs, sources_first_seen, token_sums, tool_usage, json_payload, golden_containment, context_precision, repeated_patterns_ge3, argmax_flow, call_islands, stop_at_first_return, duplicate_definitions, shadowed_names, top_modules, dependency_groups, category_counts)}
+def flow_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.flow_flags(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type"), {"purchase": ("purchase",), "quiet": ("view", "click")})
+
+
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far an evaluation is: the place of each run among those of its mode."""
+    runs = _runs(spark, sf_dir).select(F.lower("mode").alias("mode"), "run_id")
+    return rollup.progress(runs, "mode", "run_id")
+
+
+def settings_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit(" "), F.col("l_linenumber").cast("string")).alias("setting"))
+    return rows.withColumn("on", text_functions.is_true(F.col("setting"))).groupBy("setting", "on").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (flow_flags, run_progress, settings_on, project_summary, files_by_language, languages_set, operational_summary, mean_ignoring_null, threshold_failures, mode_pivot, resume_pending, last6_runs, sources_first_seen, token_sums, tool_usage, json_payload, golden_containment, context_precision, repeated_patterns_ge3, argmax_flow, call_islands, stop_at_first_return, duplicate_definitions, shadowed_names, top_modules, dependency_groups, category_counts)}
 
 _F = "(SELECT DISTINCT ON (file_id) * FROM files)"
 _R = "(SELECT DISTINCT ON (run_id) * FROM question_runs)"
@@ -167,6 +183,12 @@ def _category_sql() -> str:
 
 
 ORACLES = {
+    "flow_flags": """
+        SELECT user_id, bool_or(coalesce(event_type = 'purchase', false)) AS any_purchase, bool_and(coalesce(event_type = 'purchase', false)) AS all_purchase,
+            bool_or(coalesce(event_type IN ('view', 'click'), false)) AS any_quiet, bool_and(coalesce(event_type IN ('view', 'click'), false)) AS all_quiet FROM events GROUP BY user_id""",
+    "run_progress": """
+        SELECT mode, run_id, row_number() OVER (PARTITION BY mode ORDER BY run_id) AS index, count(*) OVER (PARTITION BY mode) AS total FROM (SELECT DISTINCT run_id, lower(mode) AS mode FROM question_runs)""",
+    "settings_on": "SELECT ' ' || l_linenumber AS setting, l_linenumber = 1 AS \"on\", count(*) AS n FROM lineitem GROUP BY 1, 2",
     "project_summary": f"""
         SELECT count(*) AS total_files, coalesce(sum(lines_of_code), 0)::BIGINT AS total_lines, coalesce(sum(functions_count), 0)::BIGINT AS total_functions, coalesce(sum(classes_count), 0)::BIGINT AS total_classes,
             coalesce(sum(tables_count), 0)::BIGINT AS total_tables, coalesce(sum(imports_count), 0)::BIGINT AS total_imports, count(error) AS failed_files FROM {_F}""",

@@ -166,13 +166,20 @@ def valid_calls(facts: list[Fact]) -> list[Fact]:
     return sorted(out, key=lambda c: c.get("line") or 0)
 
 
+#: Words in the names of entry points. Fixed values.
+ENTRY_WORDS = ("main", "run", "start", "entry", "app", "init")
+
+
 def participants(calls: list[Fact]) -> list[str]:
-    """Heads of callers and callees, entry points first, the rest by name, at most ten."""
+    """Heads of callers and callees by name; of more than are shown the entry points come first, the last of them first."""
     heads: set[str] = set()
     for c in calls:
         heads |= {c["caller"].split(".")[0], (c.get("class_name") or c["name"]).split(".")[0]}
-    first = [h for h in sorted(heads) if _hit(h.lower(), words.FUNCTION_KEYWORDS["entry_points"])]
-    return [*reversed(first), *sorted(heads - set(first))][: SHOWN["participants"]]
+    order = sorted(heads)
+    if len(order) > SHOWN["participants"]:
+        first = [h for h in order if any(k in h.lower() for k in ENTRY_WORDS)]
+        order = [*reversed(first), *(h for h in order if h not in first)][: SHOWN["participants"]]
+    return order
 
 
 def sequence(facts: list[Fact]) -> str:

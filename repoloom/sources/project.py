@@ -141,6 +141,12 @@ def enumerate_files(spark: SparkSession, root: str | Path, extensions: tuple[str
     return listed.select("path", reason.alias("reason"))
 
 
+def tree(spark: SparkSession, root: str | Path, glob: str = "") -> DataFrame:
+    """``path, size`` of every file of a folder that fits a glob, in order: no ignore rules, no extensions, as it is now."""
+    listed = _listed(spark, resolve_folder(str(root)), False).where("reason is null")
+    return listed.where(paths.glob_matches(F.col("path"), glob)).select("path", "size").orderBy("path")
+
+
 def scan_stats(enumerated: DataFrame) -> DataFrame:
     """Files indexed, ignored, of other extensions, directories skipped, and the sorted skipped paths."""
     of = lambda r: F.count_if(F.col("reason") == r)

@@ -7,7 +7,7 @@ import json
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 GOLDEN_SCHEMA = "id string, category string, question string, expected_answer string, expected_source_file string, expected_context string"
@@ -32,11 +32,11 @@ class TableStore:
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
 
     def upsert(self, rows: DataFrame) -> int:
-        """Replace the projects that ``rows`` (with ``project_id``) hold; the number of rows written."""
-        n = rows.count()
-        if n:
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(self.path)
-        return n
+        """Replace the projects that ``rows`` (with ``project_id``) hold; the number of rows, counted as they are written."""
+        seen = Observation()
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(self.path)
+        return int(seen.get["n"])
 
     def fetch(self, project: str) -> DataFrame | None:
         """One project's rows, by partition pruning; None if nothing was ever written."""
@@ -85,6 +85,23 @@ class GraphStore:
         self.edges.delete(project)
 
 
+def metadata_map(columns: dict[str, Column]) -> Column:
+    """Metadata as a map of texts for stores that take nothing else: nulls go, lists become JSON, other values texts."""
+    values = F.map_from_arrays(F.array(*[F.lit(k) for k in columns]), F.array(*[c.cast("string") for c in columns.values()]))
+    return F.map_filter(values, lambda _, v: v.isNotNull())
+
+
+def plain_metadata(metadata: dict, text: str) -> dict:
+    """Metadata for a store that takes scalars and lists of texts only, with the text of the chunk."""
+    out: dict = {"text": text}
+    for key, value in metadata.items():
+        if isinstance(value, list):
+            out[key] = [str(x) for x in value]
+        elif value is not None:
+            out[key] = value if isinstance(value, str | int | float | bool) else str(value)
+    return out
+
+
 def is_ready(vectors: TableStore, graphs: GraphStore, project: str) -> bool:
     """A project can be asked once it has both vectors and a graph."""
     return vectors.has(project) and graphs.has(project)
@@ -109,15 +126,19 @@ def load_results(spark: SparkSession, path: str, mode: str | None = None) -> Dat
 
 
 def write_report(summary: DataFrame, folder: str, title: str = "Evaluation") -> tuple[str, str]:
-    """A small summary as JSON and as a Markdown table, stamped in UTC; both paths."""
+    """A summary as JSON and as a Markdown table, stamped in UTC, whole whatever its size; both paths."""
     stamp = dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%SZ")
-    rows = [r.asDict(recursive=True) for r in summary.limit(10_000).collect()]
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     as_json, as_text = out / f"report-{stamp}.json", out / f"report-{stamp}.md"
-    as_json.write_text(json.dumps({"created_at": stamp, "rows": rows}, indent=2, default=str))
     show = lambda v: "n/a" if v is None or v != v else f"{v:.3f}" if isinstance(v, float) else str(v)
     head = summary.columns
-    body = ["| " + " | ".join(show(r[c]) for c in head) + " |" for r in rows]
-    as_text.write_text("\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *body, ""]))
+    with as_json.open("w") as j, as_text.open("w") as t:
+        j.write(json.dumps({"created_at": stamp})[:-1] + ', "rows": [')
+        t.write("\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), ""]))
+        for n, row in enumerate(summary.toLocalIterator()):  # all rows, one partition at a time
+            r = row.asDict(recursive=True)
+            j.write((", " if n else "") + json.dumps(r, default=str))
+            t.write("| " + " | ".join(show(r[c]) for c in head) + " |\n")
+        j.write("]}")
     return str(as_json), str(as_text)

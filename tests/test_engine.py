@@ -53,6 +53,34 @@ def test_engine_end_to_end(spark, tree, tmp_path):
     assert not engine.vectors.has(project)
 
 
+def test_facts_are_stored_and_tools_answer(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    project = engine.index(tree)["project_id"]
+    assert engine.parsed.has(project)
+    assert {r.path for r in engine.find_symbol(project, "helper").collect()} == {"calls.py"}
+    rows = json.loads(engine.tool_json("list_files", project, max_rows=2))
+    assert len(rows["rows"]) == 2 and rows["rows_in_all"] > 2
+    assert "```mermaid" in json.loads(engine.tool_json("generate_diagram", code="def f(): pass", kind="sequence"))
+    assert "svg" in json.loads(engine.tool_json("generate_svg_flowchart", code="def f():\n    return 1\n"))
+    assert "error" in json.loads(engine.tool_json("generate_diagram", code="x = 1", kind="flow")) and "error" in json.loads(engine.tool_json("generate_readme", code=" "))
+    listed = [r.path for r in source.tree(spark, tree, "**/*.py").collect()]
+    assert "generated/g.py" in listed and not any(p.startswith("venv/") for p in listed) and listed == sorted(listed)
+
+
+def test_session_index(spark):
+    from repoloom.api import SessionIndex
+    from repoloom.operators import embedding
+
+    for provider in (None, embedding.hashed, lambda texts: [[1.0, 2.0]] if texts == ["where is the hen"] else [[0.0]] * len(texts)):
+        index = SessionIndex(spark, provider, chunk_lines=2)
+        assert index.retrieve("x").count() == 0
+        assert index.build([{"path": None, "content": "red fox\nblue\ngreen hen\n"}, "no dictionary", {"path": "b", "content": None}, {"path": "c", "content": "lazy dog"}]) == 3
+        question = "green hen" if provider is embedding.hashed else "where is the hen"
+        assert index.retrieve(question, 1).first().content == "green hen"
+        assert index.retrieve(" ").count() == 0 and index.retrieve("hen", 0).count() == 0
+        assert index.build(None) == 0 and index.retrieve("hen").count() == 0
+
+
 def test_incremental_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -61,3 +61,21 @@ def test_empty_and_broken_files(spark):
     nodes, edges = build(spark, {"x.py": "def (:\n"})
     assert nodes.count() == 0 and edges.count() == 0
     assert ids(graph.impact_of(nodes, edges, "x")) == set()
+
+
+def test_seeds_that_reach_each_other_and_hubs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        nodes = [str(n) for n in range(14)]
+        arrows = sorted({(a, b) for a, b in itertools.product(nodes, nodes) if a != b and rng.random() < 0.09})
+        seeds = rng.sample(nodes, 4)
+        reach = {n: {b for a, b in arrows if a == n} for n in nodes}
+        for _ in nodes:
+            reach = {n: r | set().union(*(reach[x] for x in r)) for n, r in reach.items()}
+        want = {n for n in nodes if any(s in reach[n] and s != n for s in seeds)}
+        edges = spark.createDataFrame(arrows or [("x", "y")], "src string, dst string")
+        got = [r.node_id for r in graph.reach_backwards(edges, spark.createDataFrame([(s,) for s in seeds], "node_id string")).collect()]
+        assert sorted(got) == sorted(want)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoloom.functions import language, paths, text
+from repoloom.functions import text
 from repoloom.operators import answers, chunking, embedding, graph, retrieval, rollup
 from repoloom.sources import stores
 
@@ -58,7 +59,7 @@ def test_vector_scores(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert [(r.vec_id, r.score) for r in retrieval.l2_topk(v, [1.0, 0.0], 2).collect()] == [(1, 1.0), (3, 1.0)]
     assert [r.score for r in retrieval.cosine_topk(v, [0.0, 0.0], 3).collect()] == [0.0] * 3
-    assert {(r.query_id, r.vec_id) for r in retrieval.nearest_many(v.where("vec_id < 3"), v, 1, block=1).collect()} == {(1, 1), (2, 2)}
+    assert {(r.query_id, r.vec_id) for r in retrieval.nearest_many(v.where("vec_id < 3"), v, 1, query_bytes=16).collect()} == {(1, 1), (2, 2)}
     assert [r.s for r in retrieval.min_max(v.withColumn("x", F.lit(2.0)), "x", "s").select("s").collect()] == [1.0] * 3
 
 
@@ -138,3 +139,37 @@ def test_numbering_without_a_window(spark):
     got = {(r.g, r.i): r.position for r in numbered(spark.createDataFrame(rows, "g string, i int"), "g", "i").collect()}
     assert got == {(g, i): i for g, i in rows}
     assert numbered(spark.createDataFrame([], "g string, i int"), "g", "i").count() == 0
+
+
+def test_stored_postings_answer_like_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, None), (4, ""), (5, "a red hen " * 50)], "doc_id bigint, text string")
+    index = retrieval.postings(docs).save(str(tmp_path / "postings"))
+    for query in ("red fox", "hen hen", "none", ""):
+        assert sorted(map(tuple, retrieval.bm25_topk(index, query).collect())) == sorted(map(tuple, retrieval.bm25_topk(docs, query).collect()))
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (4, [0.0, 1.0]), (9, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
+    with_index = retrieval.hybrid_topk(docs, v, "red fox", [1.0, 0.0], 4, 2, index=index).collect()
+    assert with_index == retrieval.hybrid_topk(docs, v, "red fox", [1.0, 0.0], 4, 2).collect() and len(with_index) == 4
+    assert retrieval.hybrid_topk(docs.limit(0), v, "red", [1.0, 0.0]).count() == 0
+
+
+def test_nearest_keeps_the_best_over_batches_and_sets(spark):
+    v = spark.range(3000).selectExpr("id as vec_id", "array(cast(id % 97 as float), cast(id % 89 as float)) as embedding").repartition(3)
+    q = v.where("vec_id % 500 = 0")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.query_id, r["rank"]): (r.distance, r.vec_id) for r in retrieval.nearest_many(q, v, 4, query_bytes=40).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(r.vec_id, list(r.embedding)) for r in v.collect()]
+    for i, e in rows:
+        if i % 500 == 0:
+            best = sorted((round(sum((a - b) ** 2 for a, b in zip(e, x, strict=True)), 6), k) for k, x in rows)[:4]
+            assert [got[i, n] for n in (1, 2, 3, 4)] == best
+
+
+def test_settings_and_metadata(spark):
+    df = spark.createDataFrame([(" Yes",), ("on",), ("0",), (None,), ("TRUE ",)], "v string")
+    assert [r[0] for r in df.select(text.is_true(F.col("v"))).collect()] == [True, True, False, False, True]
+    assert stores.plain_metadata({"a": None, "b": [1, None], "c": 2, "d": {"x": 1}}, "t") == {"text": "t", "b": ["1", "None"], "c": 2, "d": "{'x': 1}"}
+    row = df.limit(1).select(stores.metadata_map({"a": F.lit(None).cast("string"), "b": F.lit(3)}).alias("m")).first()
+    assert row.m == {"b": "3"}
