@@ -16,6 +16,8 @@ KINDS = (*mermaid.DIAGRAMS, "svg_flowchart", "docstrings", "readme", "architectu
 
 def render(kind: str, facts: list[dict], language: str = "python") -> str:
     """One rendering of one file's facts; ``ValueError`` for an unknown kind."""
+    if kind == "flowchart":
+        return mermaid.flowchart(facts, language)
     if kind in mermaid.DIAGRAMS:
         return mermaid.DIAGRAMS[kind](facts)
     if kind == "svg_flowchart":

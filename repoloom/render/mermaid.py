@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 from repoloom.render import categories as words
+from repoloom.render import flow
 
 Fact = dict
 _SECTIONS = (("components", "Components", "#e3f2fd", "#2196f3"), ("services", "Services", "#ede7f6", "#673ab7"), ("models", "Models", "#e8eaf6", "#3f51b5"), ("helpers", "Helpers", "#fff8e1", "#ffa000"), ("entry_points", "Entry Points", "#fce4ec", "#c2185b"))
@@ -258,72 +259,15 @@ def dependency(facts: list[Fact]) -> str:
     return fence(lines)
 
 
-def busiest_function(facts: list[Fact]) -> str | None:
-    """The function with most flow events; the first one wins a tie."""
-    counted = Counter(f["caller"] for f in of(facts, "control_flow"))
-    return max(counted, key=lambda c: counted[c]) if counted else None
+_SHAPES = {"box": ('["', '"]'), "diamond": ('{"', '"}'), "round": ('(["', '"])')}
 
 
-def flow_steps(facts: list[Fact], function: str) -> list[Fact]:
-    """Events of a function in order up to its first return or break outside of a condition; calls in a row are one."""
-    steps: list[Fact] = []
-    for f in of(facts, "control_flow"):
-        if f["caller"] != function:
-            continue
-        if f["kind"] == "call" and steps and steps[-1]["kind"] == "calls":
-            steps[-1]["labels"].append(f["action_label"])
-        elif f["kind"] == "call":
-            steps.append({"kind": "calls", "labels": [f["action_label"]], "line": f["line"]})
-        else:
-            steps.append(f)
-    return steps
-
-
-def step_label(step: Fact) -> tuple[str, str]:
-    """(shape, label) of a step: box, diamond or round."""
-    kind = step["kind"]
-    if kind == "calls":
-        labels = list(dict.fromkeys(step["labels"]))
-        return "box", "<br/>".join(labels[:4]) + (f"<br/>+{len(labels) - 4} more" if len(labels) > 4 else "")
-    if kind in ("if", "while"):
-        return "diamond", f"{kind} {step.get('condition') or 'condition'}?"
-    if kind == "for":
-        return "diamond", f"for {step.get('target')} in {step.get('iter')}"
-    if kind == "try":
-        return "box", "try: " + ", ".join(step.get("exceptions") or ["Exception"])
-    if kind == "with":
-        return "box", ", ".join(i["label"] for i in step.get("items") or []) or "with"
-    if kind == "return":
-        return "round", "Return value" if step.get("has_value") else "Return"
-    return "round", kind
-
-
-def flowchart(facts: list[Fact], function: str | None = None) -> str:
-    if of(facts, "sql_table"):
-        return sql_flow(facts)
-    function = function or busiest_function(facts)
-    if function is None:
-        return _structure_flow(facts)
-    lines = ["flowchart TD", f'    START(["Start: {quoted(function)}"])']
-    last, steps = "START", flow_steps(facts, function)
-    for n, step in enumerate(steps[: SHOWN["flow"]]):
-        shape, label = step_label(step)
-        left, right = {"box": ('["', '"]'), "diamond": ('{"', '"}'), "round": ('(["', '"])')}[shape]
-        lines.append(f"    N{n}{left}{quoted(label)}{right}")
-        lines.append(f"    {last} -->{'|yes|' if last != 'START' and steps[n - 1]['kind'] in ('if', 'while', 'for') else ''} N{n}")
-        last = f"N{n}"
-    return fence([*lines, '    END(["End"])', f"    {last} --> END"])
-
-
-def _structure_flow(facts: list[Fact]) -> str:
-    items = [*of(facts, "class"), *[f for f in of(facts, "function") if not f.get("is_nested")]]
-    if not items:
-        return fence(["flowchart TD", '    EMPTY["No functions found"]'])
-    lines, last = ["flowchart TD", '    START(["Module"])'], "START"
-    for n, item in enumerate(items[: SHOWN["flow"]]):
-        lines += [f'    N{n}["{"class" if item["fact"] == "class" else "function"} {quoted(item["name"])}"]', f"    {last} --> N{n}"]
-        last = f"N{n}"
-    return fence(lines)
+def flowchart(facts: list[Fact], language: str | None = None, function: str | None = None) -> str:
+    """The flow of a file, or of one function, with all its arms; see :mod:`repoloom.render.flow`."""
+    chart = flow.of_file(facts, language, function)
+    nodes = [f"    {n.id}{_SHAPES[n.shape][0]}{quoted(n.label)}{_SHAPES[n.shape][1]}" for n in chart.nodes]
+    arrows = [f"    {a.source} -->" + (f'|"{quoted(a.label)}"|' if a.label else "") + f" {a.target}" for a in chart.arrows]
+    return fence(["flowchart TD", *nodes, *arrows])
 
 
 def structure(facts: list[Fact]) -> str:
@@ -371,20 +315,6 @@ def sql_sequence(facts: list[Fact]) -> str:
     return fence(lines)
 
 
-def sql_flow(facts: list[Fact]) -> str:
-    """Tables in an order in which each comes behind those it refers to."""
-    needs = {t: {r["to_table"] for r in of(facts, "sql_relationship") if r["from_table"] == t} - {t} for t in _columns(facts)}
-    order: list[str] = []
-    while len(order) < len(needs):
-        ready = [t for t in needs if t not in order and not (needs[t] & set(needs)) - set(order)]
-        order.append((ready or [t for t in needs if t not in order])[0])
-    lines, last = ["flowchart TD", '    START(["Create schema"])'], "START"
-    for t in order:
-        lines += [f'    {identifier(t, "T_")}["{quoted(t)}"]', f"    {last} --> {identifier(t, 'T_')}"]
-        last = identifier(t, "T_")
-    return fence(lines)
-
-
 def sql_structure(facts: list[Fact]) -> str:
     """An entity diagram: columns with keys, relationships."""
     lines = ["erDiagram"]

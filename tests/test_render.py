@@ -1,5 +1,5 @@
 from repoloom.parsers.facts import parse_text
-from repoloom.render import docs, mermaid, svg
+from repoloom.render import docs, flow, mermaid, svg
 from repoloom.render.bundle import KINDS, render_files
 
 CODE = "import os\nimport json\nLIMIT = 3\nclass Vehicle:\n    def drive(self):\n        return 1\nclass Car(Vehicle):\n    pass\ndef helper(x):\n    if x > 0:\n        return x\n    return 0\ndef main():\n    for i in range(3):\n        helper(i)\n    helper(1)\n    helper(2)\n    Vehicle()\nif __name__ == '__main__':\n    y = 1\n"
@@ -15,7 +15,7 @@ def test_diagrams():
     assert "sequenceDiagram" in s and "loop" in s and "main" in s and "helper" in s and "new Vehicle()" in s
     d = mermaid.dependency(FACTS)
     assert "os" in d and "json" in d and "imports" in d and "CurrentModule" in d
-    assert mermaid.busiest_function(FACTS) == "main"
+    assert flow.chosen(FACTS)["name"] == "main"
     assert "flowchart TD" in mermaid.flowchart(FACTS) and "for i in range()" in mermaid.flowchart(FACTS)
     assert "method drive()" in mermaid.structure(FACTS)
     assert "inherits" in mermaid.code_architecture(FACTS)
@@ -39,7 +39,49 @@ def test_docs_and_svg():
 
 def test_sql():
     assert "erDiagram" in mermaid.structure(DDL) and "a_id" in mermaid.architecture(DDL) and "sequenceDiagram" in mermaid.sequence(DDL)
-    assert mermaid.flowchart(DDL).index("T_a[") < mermaid.flowchart(DDL).index("T_b[")
+    chart = mermaid.flowchart(DDL)
+    assert '["a (1 columns)"]' in chart and '["b (2 columns)"]' in chart and 'T1 -->|"a_id → id"| T0' in chart
+
+
+def shape(code, function=None, language="python"):
+    chart = flow.of_file(parse_text(language, code), language, function)
+    return [(n.id, n.label) for n in chart.nodes], [(a.source, a.target, a.label) for a in chart.arrows]
+
+
+def test_arms_of_branches_and_loops():
+    nodes, arrows = shape("def f(a):\n    if a:\n        g()\n    else:\n        h()\n    while a:\n        a = 0\n")
+    assert ("IF0", "True") in {(s, x) for s, _, x in arrows} and ("IF0", "FALSE0", "False") in arrows and ("TRUE0", "ENDIF0", "") in arrows and ("FALSE0", "ENDIF0", "") in arrows
+    assert ("BODY3", "LOOP3", "Loop back") in arrows and ("LOOP3", "ENDLOOP3", "False") in arrows and arrows[-1] == ("ENDLOOP3", "END", "")
+    assert ("IF0", "ENDIF0", "False") in shape("def f(a):\n    if a:\n        pass\n")[1]
+
+
+def test_try_with_and_the_first_return():
+    nodes, arrows = shape("def f():\n    with open('x') as y:\n        pass\n    try:\n        pass\n    except (A, B):\n        pass\n    finally:\n        pass\n    return 1\n    if x:\n        pass\n")
+    labels = [label for _, label in nodes]
+    assert "Except A" in labels and "Except B" in labels and "Finally" in labels and "Return with value" in labels and not any(n.startswith("IF") for n, _ in nodes)
+    assert nodes[-1] == ("END", "End") and arrows[-1][1] == "END"
+    many = shape("def f():\n    try:\n        pass\n    except (A, B, C, D, E):\n        pass\n")[0]
+    assert sum(n.startswith("EXCEPT") for n, _ in many) == 4 and ("EXCEPT0_MORE", "More exceptions") in many
+    calls = shape("def f():\n" + "".join(f"    g{i}()\n" for i in range(6)))[0]
+    assert calls[-2][1] == "... 2 more calls" and len(calls) == 7
+
+
+def test_scripts_and_files_without_functions():
+    jsx = "export const Panel = ({a, b, c, d}) => {\n  const [x, setX] = useState(0);\n  const onClick = () => setX(1);\n  return <div onClick={onClick}>{x}</div>;\n};\n"
+    nodes, _ = shape(jsx, language="javascript")
+    assert nodes[0][1].startswith("Start: Panel (React Component)") and "Render JSX: Component UI" in [x for _, x in nodes] and nodes[-1][1] == "End: Panel (Component Rendered)"
+    assert [x for _, x in shape("function f(a) { return a }", language="javascript")[0]] == ["Start: f (a)", "Function Body: Execute Logic", "End: f"]
+    structure = [x for _, x in shape("import os\nX = 1\nclass A:\n    def m(self):\n        y = 1\n")[0]]
+    assert structure == ["Code Structure", "Classes (1)", "A", "Methods: 1", "Variables (2)", "Global: 1", "Local: 1", "Imports (1)", "os"]
+    assert [x for _, x in shape("")[0]] == ["Code Structure", "Empty or Unsupported Code"]
+
+
+def test_svg_has_every_node_and_arm():
+    facts = parse_text("python", "def f(a):\n    if a:\n        pass\n    else:\n        pass\n    for i in a:\n        pass\n    return 1\n")
+    chart = flow.of_file(facts)
+    picture = svg.flowchart(facts)
+    assert picture.count("<path d=") == len(chart.arrows) + 1 and picture.count("<rect") + picture.count("<polygon") == len(chart.nodes) and picture.count('class="arm"') == sum(bool(a.label) for a in chart.arrows)
+    assert len({(n.row, n.column) for n in chart.nodes}) == len(chart.nodes)
 
 
 def test_table(spark):
