@@ -66,7 +66,7 @@ def javascript(code: str) -> list[dict]:
             if name:
                 rows.append({"fact": "import", "kind": "from_import", "module": m[3], "name": name, "alias": alias or None, "line": line(m.start())})
     for m in re.finditer(rf"\bimport\s+\*\s+as\s+(\w+)\s+from\s*{quoted}", code):
-        rows.append({"fact": "import", "kind": "import", "module": m[2], "alias": m[1], "line": line(m.start())})
+        rows.append({"fact": "import", "kind": "from_import", "module": m[2], "name": "*", "alias": m[1], "line": line(m.start())})
     for m in re.finditer(rf"\bimport\s+(\w+)\s+from\s*{quoted}", code):
         rows.append({"fact": "import", "kind": "from_import", "module": m[2], "name": m[1], "line": line(m.start())})
     for m in re.finditer(rf"\bimport\s+{quoted}", code):
@@ -103,6 +103,7 @@ def java(code: str) -> list[dict]:
         cls, begin, end = m[1], m.end(), block_end(text, m.end() - 1)
         bases = [b.strip() for g in (m[2], m[3]) if g for b in re.split(r",(?![^<]*>)", g)]
         inner = [(begin + n.start(), block_end(text, begin + n.end() - 1)) for n in re.finditer(r"\b(?:class|interface|enum)\s+\w+[^{;]*\{", text[begin:end])]
+        before = len(rows)
         for k in _METHOD.finditer(text, begin, end):
             at = k.start(1)
             if k[1] in NOT_CALLS or any(a <= at < b for a, b in inner) or re.match(r"\s*(?:new|return|else|throw)\b", k[0]):
@@ -114,6 +115,8 @@ def java(code: str) -> list[dict]:
             rows.append({"fact": "function", "name": name, "qualified": name, "is_nested": False, **shared})
             stop = block_end(text, k.end() - 1)
             rows += _java_calls(text, k.end(), stop, name, line)
+        if len(rows) == before:  # what a class without methods calls, it calls itself
+            rows += _java_calls(text, begin, end, cls, line)
         rows.append({"fact": "class", "name": cls, "qualified": cls, "line": line(m.start()), "bases": bases})
     return rows
 
@@ -126,6 +129,8 @@ def _java_calls(text: str, begin: int, end: int, caller: str, line: Lines) -> li
     for m in re.compile(r"(\w+)\.(\w+)\s*\(").finditer(text, begin, end):
         if m[1] not in ("this", "super"):
             out.append({"fact": "method_call", "caller": caller, "class_name": m[1], "name": m[2], "line": line(m.start())})
+            if m[2][0].isupper():  # reads like the constructor of an inner class
+                out.append({"fact": "class_instantiation", "caller": caller, "class_name": m[2], "name": m[2], "line": line(m.start())})
     for m in re.compile(r"\bnew\s+(\w+)\s*(?:<[^>]*>)?\s*\(").finditer(text, begin, end):
         out.append({"fact": "class_instantiation", "caller": caller, "class_name": m[1], "name": m[1], "line": line(m.start())})
     return out

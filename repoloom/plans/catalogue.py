@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from repoloom.plans import chunking, graph, nested, parsing, rendering, retrieval, rollup, text
+from repoloom.plans import chunking, graph, nested, parsing, planted, rendering, retrieval, rollup, text
 
 FLAGSHIP = "hybrid_topk"
-_MODULES = (retrieval, nested, text, chunking, graph, rollup, parsing, rendering)
+_MODULES = (retrieval, nested, text, chunking, graph, rollup, parsing, planted, rendering)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
