@@ -86,13 +86,18 @@ def enclosing(points: DataFrame, symbols: DataFrame, key: str = "file_id") -> Da
 
 
 def relocate(files: DataFrame, pieces: DataFrame, key: str = "doc_id", text_col: str = "text", piece_col: str = "content") -> DataFrame:
-    """Lines of pieces of text: where the piece occurs, else where its first line does, else the whole file."""
-    both = pieces.join(files.select(key, F.col(text_col).alias("_text")), key)
-    n_lines = F.size(split_lines("_text"))
-    at = F.expr(f"locate(`{piece_col}`, _text)")
-    first_line = F.element_at(split_lines(piece_col), 1)
-    hit = F.array_position(split_lines("_text"), first_line)
-    start = F.when(at > 0, count_newlines(F.substring(F.col("_text"), F.lit(1), at - 1)) + 1).when(hit > 0, hit).otherwise(F.lit(1))
-    size: Column = F.size(split_lines(piece_col))
-    end = F.when((at > 0) | (hit > 0), F.least(start + F.greatest(size, F.lit(1)) - 1, n_lines)).otherwise(n_lines)
-    return both.select(*pieces.columns, start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
+    """Lines of pieces of text: where the piece occurs, else where its first line does, else the whole file.
+
+    The pieces of a file, which together are about as long as it, come to its text; the text is not copied for each.
+    """
+    own = pieces.groupBy(key).agg(F.collect_list(F.struct(*pieces.columns)).alias("_pieces"))
+    both = files.select(key, F.col(text_col).alias("_text"), split_lines(text_col).alias("_lines")).join(own, key)
+
+    def placed(p: Column) -> Column:
+        at, hit = F.position(p[piece_col], F.col("_text")), F.array_position("_lines", F.element_at(split_lines(p[piece_col]), 1))
+        start = F.when(at > 0, count_newlines(F.substring(F.col("_text"), F.lit(1), at - 1)) + 1).when(hit > 0, hit).otherwise(F.lit(1))
+        size = F.greatest(F.size(split_lines(p[piece_col])), F.lit(1))
+        end = F.when((at > 0) | (hit > 0), F.least(start + size - 1, F.size("_lines"))).otherwise(F.size("_lines"))
+        return F.struct(*[p[c].alias(c) for c in pieces.columns], start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
+
+    return both.select(F.inline(F.transform("_pieces", placed)))

@@ -39,11 +39,11 @@ def enclosing_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_symbol_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of a file with the first other chunk's symbol that begins in their lines."""
+    """Chunks of a file with the symbol of any chunk that begins in their lines: one that their text declares, else the first."""
     c = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
-    lined = c.select("file_id", "chunk_id", "chunk_index", F.col("metadata")["start_line"].cast("int").alias("start_line"), F.col("metadata")["end_line"].cast("int").alias("end_line"), F.col("metadata")["symbol_name"].alias("name"))
+    lined = c.select("file_id", "chunk_id", "chunk_index", F.col("metadata")["start_line"].cast("int").alias("start_line"), F.col("metadata")["end_line"].cast("int").alias("end_line"), F.col("metadata")["symbol_name"].alias("name"), "text")
     symbols = lined.where("name is not null").select("file_id", "name", F.lit("function").alias("kind"), F.col("start_line").alias("line"))
-    chunks = lined.groupBy("file_id", "chunk_index").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).withColumn("content", F.lit(""))
+    chunks = lined.groupBy("file_id", "chunk_index").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.coalesce(F.min("text"), F.lit("")).alias("content"))
     return chunking.symbols_in_chunks(chunks, symbols, "file_id").select("file_id", "chunk_index", "start_line", "end_line", "symbol_name")
 
 
@@ -82,8 +82,15 @@ ORACLES = {
         SELECT e.user_id, e.event_id, s.symbol_name FROM (SELECT * FROM events WHERE event_type NOT IN ('purchase', 'signup')) e
         ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.event_id >= s.at""",
     "chunk_symbol_range": """
-        WITH l AS (SELECT DISTINCT file_id, chunk_id, chunk_index, metadata['start_line']::INT AS start_line, metadata['end_line']::INT AS end_line, metadata['symbol_name'] AS name FROM chunks),
-        c AS (SELECT file_id, chunk_index, min(start_line) AS start_line, max(end_line) AS end_line FROM l GROUP BY 1, 2)
-        SELECT c.file_id, c.chunk_index, c.start_line, c.end_line, arg_min(s.name, (s.start_line, s.name)) AS symbol_name
-        FROM c LEFT JOIN (SELECT * FROM l WHERE name IS NOT NULL) s ON c.file_id = s.file_id AND s.start_line BETWEEN c.start_line AND c.end_line GROUP BY ALL""",
+        WITH l AS (SELECT DISTINCT file_id, chunk_id, chunk_index, metadata['start_line']::INT AS start_line, metadata['end_line']::INT AS end_line, metadata['symbol_name'] AS name, text FROM chunks),
+        c AS (SELECT file_id, chunk_index, min(start_line) AS start_line, max(end_line) AS end_line, coalesce(min(text), '') AS content FROM l GROUP BY 1, 2),
+        j AS (SELECT c.*, s.name, s.start_line AS line, s.name IS NOT NULL AND regexp_matches(c.content, '\\b(?:def|class|function|const|let|var)\\s+' || regexp_escape(string_split(coalesce(s.name, ''), '.')[-1]) || '\\b') AS declared
+            FROM c LEFT JOIN (SELECT * FROM l WHERE name IS NOT NULL) s ON c.file_id = s.file_id AND s.start_line BETWEEN c.start_line AND c.end_line)
+        SELECT file_id, chunk_index, start_line, end_line, arg_min(name, (NOT declared, line, name)) AS symbol_name FROM j GROUP BY ALL""",
+    "chunk_relocation": f"""
+        WITH d AS (SELECT doc_id, text, l2, len(l2) AS n FROM {_sql_lines('text', 'documents')} WHERE len(l2) > 0),
+        p AS (SELECT doc_id, text, l2, n, k * 40 + 1 AS true_start, l2[k * 40 + 1:k * 40 + 40] AS ls, array_to_string(l2[k * 40 + 1:k * 40 + 40], chr(10)) AS content FROM (SELECT *, unnest(range(0, (n + 39) // 40)) AS k FROM d)),
+        f AS (SELECT doc_id, true_start, n, strpos(text, content) AS place, text, list_position(l2, ls[1]) AS hit, len(ls) - CASE WHEN ls[-1] = '' THEN 1 ELSE 0 END AS size FROM p WHERE regexp_matches(content, '[^ \\t\\n\\x0B\\f\\r]')),
+        s AS (SELECT *, CASE WHEN place > 0 THEN length(text[1:place - 1]) - length(replace(text[1:place - 1], chr(10), '')) + 1 WHEN hit > 0 THEN hit ELSE 1 END AS s FROM f)
+        SELECT doc_id, true_start::INT AS true_start, s::INT AS start_line, (CASE WHEN place > 0 OR hit > 0 THEN least(s + greatest(size, 1) - 1, n) ELSE n END)::INT AS end_line FROM s""",
 }

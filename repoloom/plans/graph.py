@@ -69,17 +69,7 @@ def dependencies_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependencies_of(files, edges.withColumn("relation", F.lit("imports")), PATH).select("node_id", "import_line", "name")
 
 
-def import_alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of left joins with precedence: customer -> nation -> region, stubs where a step is missing."""
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    n = n.where("n_nationkey % 3 != 0")
-    r = r.where("r_name != 'ASIA'")
-    both = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left").join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey, "left")
-    target = F.coalesce("r_name", "n_name", F.concat(F.lit("stub:"), F.col("c_nationkey").cast("string")))
-    return both.select("c_custkey", target.alias("target"))
-
-
-QUERIES = {f.__name__: f for f in (graph_edges_last_write, graph_nodes_first_write, graph_counts, resolve_symbol_tiers, resolve_file_shortest, who_calls, what_calls, impact_of, dependencies_of, import_alias_resolution)}
+QUERIES = {f.__name__: f for f in (graph_edges_last_write, graph_nodes_first_write, graph_counts, resolve_symbol_tiers, resolve_file_shortest, who_calls, what_calls, impact_of, dependencies_of)}
 
 _E = """e AS (SELECT src, dst, 'calls' AS relation, s.l AS line, s.f AS file_path FROM (SELECT l_partkey::VARCHAR AS src, l_suppkey::VARCHAR AS dst,
     arg_max({'l': l_linenumber, 'f': l_returnflag}, (l_orderkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice)) AS s FROM lineitem WHERE l_partkey != l_suppkey GROUP BY 1, 2))"""
@@ -97,7 +87,4 @@ ORACLES = {
         WITH RECURSIVE {_N}, r(id) AS (SELECT src FROM e WHERE dst = '{SEED}' UNION SELECT e.src FROM e JOIN r ON e.dst = r.id)
         SELECT n.node_id, n.kind FROM n JOIN r ON r.id = n.node_id WHERE r.id != '{SEED}'""",
     "dependencies_of": f"WITH {_N}, f AS (SELECT node_id FROM n WHERE file_path IS NOT NULL ORDER BY length(file_path), node_id LIMIT 1) SELECT e.dst AS node_id, e.line AS import_line, n.name FROM e JOIN f ON e.src = f.node_id LEFT JOIN n ON n.node_id = e.dst",
-    "import_alias_resolution": """
-        SELECT c_custkey, coalesce(r_name, n_name, 'stub:' || c_nationkey) AS target FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 != 0) n ON c_nationkey = n_nationkey
-        LEFT JOIN (SELECT * FROM region WHERE r_name != 'ASIA') r ON n_regionkey = r_regionkey""",
 }

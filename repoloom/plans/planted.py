@@ -13,6 +13,7 @@ from repoloom.operators import graph, rollup
 from repoloom.parsers import facts as parsing
 from repoloom.parsers import splitting
 from repoloom.render import flow
+from repoloom.session import cut
 
 SOURCES = {
     "app/calls.py": '''import os
@@ -166,6 +167,27 @@ def planted_graph(spark: SparkSession, _: str) -> DataFrame:
     return graph.build(_facts(spark).where("path like 'app/%'"))[1].select("src", "dst", "relation", "line")
 
 
+def planted_symbols(spark: SparkSession, _: str) -> DataFrame:
+    """What a symbol means by each of the four ways: its name, the end of an id, module and name, the last part."""
+    nodes = cut(graph.build(_facts(spark).where("path like 'app/%'"))[0])
+    out = None
+    for symbol in ("main", "app/calls.py:main", "calls.helper", "run", "nowhere"):
+        one = graph.resolve_symbol(nodes, symbol).select(F.lit(symbol).alias("symbol"), "node_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def planted_answers(spark: SparkSession, _: str) -> DataFrame:
+    """Callers, callees, impact and dependencies in the planted graph."""
+    nodes, edges = (cut(x) for x in graph.build(_facts(spark).where("path like 'app/%'")))
+    asked = {"who_calls load_it": graph.who_calls(nodes, edges, "load_it"), "what_calls Child.run": graph.what_calls(nodes, edges, "Child.run"), "impact_of Child.step": graph.impact_of(nodes, edges, "Child.step"), "dependencies_of calls.py": graph.dependencies_of(nodes, edges, "calls.py")}
+    out = None
+    for question, answer in asked.items():
+        one = answer.select(F.lit(question).alias("question"), "node_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def planted_rollup(spark: SparkSession, _: str) -> DataFrame:
     counted = rollup.file_counts(_facts(spark))
     return counted.select("path", "total_functions", "async_functions", "total_classes", "total_methods", "total_imports", "total_global_variables", "total_function_calls", "total_method_calls", "total_class_instantiations", "total_warnings", "total_tables")
@@ -188,7 +210,7 @@ def planted_chunks(spark: SparkSession, _: str) -> DataFrame:
     return c.groupBy("path", "chunker").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).cast("bigint").alias("n_lines"), F.max("end_line").alias("last_line"), (F.max(F.length("content")) <= 200).alias("within_limit"))
 
 
-QUERIES = {f.__name__: f for f in (planted_definitions, planted_imports, planted_warnings, planted_import_usage, planted_variables, planted_calls, planted_flow, planted_tables, planted_relationships, planted_graph, planted_rollup, planted_flowchart, planted_chunks)}
+QUERIES = {f.__name__: f for f in (planted_definitions, planted_imports, planted_warnings, planted_import_usage, planted_variables, planted_calls, planted_flow, planted_tables, planted_relationships, planted_graph, planted_symbols, planted_answers, planted_rollup, planted_flowchart, planted_chunks)}
 
 #: What the queries have to give, checked by hand against the sources line by line. Fixed values.
 EXPECTED: dict[str, tuple[str, list[tuple]]] = {
@@ -285,6 +307,18 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ("function:app/calls.py:main", "function:app/util.py:load_it", "calls", 28),
         ],
     ),
+    "planted_symbols": (
+        "symbol, node_id",
+        [("main", "function:app/calls.py:main"), ("app/calls.py:main", "function:app/calls.py:main"), ("calls.helper", "function:app/calls.py:helper"), ("run", "function:app/calls.py:Child.run")],
+    ),
+    "planted_answers": (
+        "question, node_id",
+        [
+            ("who_calls load_it", "function:app/calls.py:Child.run"), ("who_calls load_it", "function:app/calls.py:main"), ("what_calls Child.run", "function:app/calls.py:Child.step"), ("what_calls Child.run", "function:app/calls.py:os.path.join"),
+            ("what_calls Child.run", "function:app/util.py:load_it"), ("impact_of Child.step", "function:app/calls.py:Child.run"), ("dependencies_of calls.py", "module:os"), ("dependencies_of calls.py", "module:util"),
+            ("dependencies_of calls.py", "module:util.Box"), ("dependencies_of calls.py", "module:util.load_it"),
+        ],
+    ),
     "planted_rollup": (
         "path, total_functions, async_functions, total_classes, total_methods, total_imports, total_global_variables, total_function_calls, total_method_calls, total_class_instantiations, total_warnings, total_tables",
         [
