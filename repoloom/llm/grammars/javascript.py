@@ -14,6 +14,9 @@ _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n
 _MARK = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@]")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 
+#: The commonest tokens, with blanks before them: a name of plain letters, or a mark that begins no longer one.
+_COMMON = re.compile(r"[ \t]*(?:([A-Za-z_$][A-Za-z0-9_$]*+)(?![\w$\\\u200c\u200d])|([()\[\];,]|\.(?![\d.])|=(?![=>])|:))")
+
 #: Reserved words. Fixed values.
 _KEYWORDS = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
 _BEFORE_VALUE = frozenset("NAME NUM STR TPL RE ) ] } this super null true false".split())
@@ -59,7 +62,20 @@ def _lex(text: str) -> _Js:
         braces.append(True)
         return end + 2
 
+    common, add_k, add_v, add_p, add_nl = _COMMON.match, k.append, v.append, p.append, nl.append
     while at < n:
+        m = common(text, at)
+        if m:
+            value = m[1]
+            if value:
+                add_k(value if value in _KEYWORDS else "NAME"), add_v(value), add_p(m.start(1))
+            else:
+                value = m[2]
+                add_k(value), add_v(value), add_p(m.start(2))
+            add_nl(line)
+            line = False
+            at = m.end()
+            continue
         m = _SPACE.match(text, at)
         if m:
             if not line and re.search(r"[\n\r\u2028\u2029]", m[0]):

@@ -69,6 +69,10 @@ def _string_end(text: str, at: int, quote: str, formatted: bool, raw: bool) -> i
     return -1
 
 
+#: The commonest tokens, with blanks before them: a name that is no prefix of a string, or a mark that begins no longer one.
+_COMMON = re.compile(r"[ \t]*(?:([A-Za-z_]\w*+)(?![\"'])|(,|\.(?![\d.])|=(?!=)|:(?!=)))")
+
+
 def parse_python(text: str) -> list[Error]:
     """Errors of a module."""
     k: list[str] = []
@@ -82,6 +86,7 @@ def parse_python(text: str) -> list[Error]:
     def put(kind: str, value: str, where: int) -> None:
         k.append(kind), v.append(value), p.append(where)
 
+    common, add_k, add_v, add_p = _COMMON.match, k.append, v.append, p.append
     while at < n:
         if start_of_line:
             m = _BLANK.match(text, at)
@@ -110,6 +115,16 @@ def parse_python(text: str) -> list[Error]:
                     errors.append(Error(at, "unindent does not match any outer level"))
                     indents.append(width)
             start_of_line = False
+        m = common(text, at)
+        if m:
+            value = m[1]
+            if value:
+                add_k(value if value in _KEYWORDS else "NAME"), add_v(value), add_p(m.start(1))
+            else:
+                value = m[2]
+                add_k(value), add_v(value), add_p(m.start(2))
+            at = m.end()
+            continue
         m = _SKIP.match(text, at)
         if m:
             at = m.end()
