@@ -15,7 +15,7 @@ _MARK = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 
 #: The commonest tokens, with blanks before them: a name of plain letters, or a mark that begins no longer one.
-_COMMON = re.compile(r"[ \t]*(?:([A-Za-z_$][A-Za-z0-9_$]*+)(?![\w$\\\u200c\u200d])|([()\[\];,]|\.(?![\d.])|=(?![=>])|:))")
+_COMMON = re.compile(r"[ \t]*(?:([A-Za-z_$][A-Za-z0-9_$]*+)(?![\w$\\\u200c\u200d])|([()\[\];,{]|\.(?![\d.])|=(?![=>])|:))")
 
 #: Reserved words. Fixed values.
 _KEYWORDS = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
@@ -71,6 +71,8 @@ def _lex(text: str) -> _Js:
                 add_k(value if value in _KEYWORDS else "NAME"), add_v(value), add_p(m.start(1))
             else:
                 value = m[2]
+                if value == "{":
+                    braces.append(False)
                 add_k(value), add_v(value), add_p(m.start(2))
             add_nl(line)
             line = False
@@ -118,9 +120,7 @@ def _lex(text: str) -> _Js:
             kind = value
         elif kind == "MARK":
             kind = value
-            if value == "{":
-                braces.append(False)
-            elif value == "}" and braces and braces.pop():
+            if value == "}" and braces and braces.pop():
                 put("}TPL", "}", at)
                 line = False
                 at = template(at + 1)

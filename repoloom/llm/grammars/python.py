@@ -70,7 +70,8 @@ def _string_end(text: str, at: int, quote: str, formatted: bool, raw: bool) -> i
 
 
 #: The commonest tokens, with blanks before them: a name that is no prefix of a string, or a mark that begins no longer one.
-_COMMON = re.compile(r"[ \t]*(?:([A-Za-z_]\w*+)(?![\"'])|(,|\.(?![\d.])|=(?!=)|:(?!=)))")
+_COMMON = re.compile(r"[ \t]*(?:([A-Za-z_]\w*+)(?![\"'])|([()\[\]{},]|\.(?![\d.])|=(?!=)|:(?!=)))")
+_CLOSES = {"(": ")", "[": "]", "{": "}"}
 
 
 def parse_python(text: str) -> list[Error]:
@@ -122,14 +123,22 @@ def parse_python(text: str) -> list[Error]:
                 add_k(value if value in _KEYWORDS else "NAME"), add_v(value), add_p(m.start(1))
             else:
                 value = m[2]
+                if value in _CLOSES:
+                    depth += 1
+                    opened.append(value)
+                elif value in ")]}":
+                    if not opened or _CLOSES[opened[-1]] != value:
+                        errors.append(Error(m.start(2), f"unmatched {value}"))
+                    if opened:
+                        opened.pop()
+                        depth -= 1
                 add_k(value), add_v(value), add_p(m.start(2))
             at = m.end()
             continue
         m = _SKIP.match(text, at)
         if m:
             at = m.end()
-            if at >= n:
-                break
+            continue
         nl = _NEWLINE.match(text, at)
         if nl:
             if depth == 0:
@@ -167,15 +176,6 @@ def parse_python(text: str) -> list[Error]:
                 errors.append(Error(m.start(), "invalid number"))
             put("NUM", value, m.start())
         else:
-            if value in "([{":
-                depth += 1
-                opened.append(value)
-            elif value in ")]}":
-                if not opened or {"(": ")", "[": "]", "{": "}"}[opened[-1]] != value:
-                    errors.append(Error(m.start(), f"unmatched {value}"))
-                if opened:
-                    opened.pop()
-                    depth -= 1
             put(value, value, m.start())
     if depth:
         errors.append(Error(n, f"{opened[-1]} was never closed"))
