@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -13,15 +14,39 @@ from repoloom.operators.rollup import pending
 #: What each retrieval mode may use. Fixed values.
 MODE_TOOLS = {"vector": ("search",), "graph": ("who_calls", "what_calls", "impact_of", "dependencies_of"), "agentic": ("list_files", "grep", "read_file", "find_symbol", "structure", "search", "who_calls", "what_calls", "impact_of", "dependencies_of")}
 RECORD = "mode string, id string, category string, question string, expected_answer string, answer string, sources array<string>, latency_ms double, scores map<string,double>, error string, scored_at timestamp"
+#: Seconds that an answer and its scores may take.
+ANSWER_SECONDS, SCORE_SECONDS = 120.0, 120.0
 Runner = Callable[[str, str], tuple[str, list[str]]]
 Scorer = Callable[[str, str, str], dict[str, float]]
 
 
-def run(items: DataFrame, finished: DataFrame, mode: str, runner: Runner, scorer: Scorer | None = None) -> DataFrame:
+def within(seconds: float, what: str, call: Callable, *arguments: object) -> object:
+    """The result of a call in a thread of its own; ``TimeoutError`` if it takes longer, whatever the call does then."""
+    box: list = []
+
+    def target() -> None:
+        try:
+            box.append((True, call(*arguments)))
+        except BaseException as problem:  # noqa: BLE001 - handed over to the caller
+            box.append((False, problem))
+
+    thread = threading.Thread(target=target, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not box:
+        raise TimeoutError(f"{what} took more than {seconds:g} s")
+    good, value = box[0]
+    if not good:
+        raise value
+    return value
+
+
+def run(items: DataFrame, finished: DataFrame, mode: str, runner: Runner, scorer: Scorer | None = None, answer_seconds: float = ANSWER_SECONDS, score_seconds: float = SCORE_SECONDS) -> DataFrame:
     """Records of the items that have none yet in ``finished``: one question's failure is its record's ``error``.
 
     ``runner(question, mode)`` gives an answer and its sources; ``scorer(question, answer, expected)`` gives metrics. A
-    mode that is not known is a ``ValueError``.
+    mode that is not known is a ``ValueError``. An answer or score that takes too long is an error of its record; a failing
+    score leaves the answer in place.
     """
     if mode not in MODE_TOOLS:
         raise ValueError(f"unknown mode: {mode}")
@@ -34,8 +59,8 @@ def run(items: DataFrame, finished: DataFrame, mode: str, runner: Runner, scorer
                 text, sources, scores, error = None, [], {}, None
                 began = time.perf_counter()
                 try:
-                    text, sources = runner(item.question, mode)
-                    scores = scorer(item.question, text, item.expected_answer) if scorer else {}
+                    text, sources = within(answer_seconds, "the answer", runner, item.question, mode)
+                    scores = within(score_seconds, "scoring", scorer, item.question, text, item.expected_answer) if scorer else {}
                 except Exception as problem:  # noqa: BLE001 - a failing question must not end the others
                     error = str(problem)
                 rows.append((mode, item.id, item.category, item.question, item.expected_answer, text, sources, (time.perf_counter() - began) * 1000, scores, error, pd.Timestamp.now(tz="UTC").tz_localize(None)))

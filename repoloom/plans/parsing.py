@@ -30,19 +30,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).where("fact in ('function', 'class', 'method', 'sql_table')").select("path", "fact", "name", "qualified", "line", "is_async", "is_nested", "parameters", "docstring")
 
 
-def code_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).where("fact = 'warning'").select("path", "kind", "severity", "message", "line", "previous_line", "global_line")
-
-
 def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _facts(spark, sf_dir).where("fact in ('function', 'class', 'method', 'global_variable', 'sql_table')").where(F.col("name") == "__init__")
     return rows.select("path", "line", "qualified", "fact").orderBy("path", "line", "qualified")
 
 
-def import_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).where("fact = 'import_usage'").groupBy("module").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
-
-
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "files").dropDuplicates(["file_id"])
     return splitting.code_chunks(f.select("project_id", "path", paths.language_of(F.col("path")).alias("language"), "content"))
@@ -56,5 +48,5 @@ def code_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build(_facts(spark, sf_dir))[0]
 
 
-QUERIES = {f.__name__: f for f in (parse_facts, file_rollup, symbols, code_warnings, find_symbol, import_usage, code_chunks, code_graph_edges, code_graph_nodes)}
+QUERIES = {f.__name__: f for f in (parse_facts, file_rollup, symbols, find_symbol, code_chunks, code_graph_edges, code_graph_nodes)}
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -67,11 +66,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_MOVES = re.compile(r"\b(?:Aggregate|Join|Repartition\w*|Window|Sort|Distinct|Deduplicate)\b")
+#: Steps of a logical plan that move rows between partitions.
+_MOVES = frozenset("Aggregate Join Repartition RepartitionByExpression RebalancePartitions Window WindowGroupLimit Sort Distinct Deduplicate Intersect Except GlobalLimit CoGroup FlatMapGroupsInPandas FlatMapGroupsInArrow FlatMapCoGroupsInPandas FlatMapCoGroupsInArrow".split())
 #: Bytes that adaptive execution gives a partition by default.
 _PARTITION_BYTES = 64 << 20
 
 
+def _moves(plan) -> bool:  # noqa: ANN001 - a logical plan of the JVM
+    """Whether a plan has a step that moves rows, by the kinds of its nodes."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() in _MOVES:
+            return True
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return False
+
+
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """Give a CPU-bound step enough tasks, without running anything to find out.
 
@@ -81,7 +93,7 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
-    if _MOVES.search(plan.toString()):  # asking such a plan for its partitions would execute its shuffles
+    if _moves(plan):  # asking such a plan for its partitions would execute its shuffles
         enough = int(str(plan.stats().sizeInBytes())) >= want * _PARTITION_BYTES
     else:
         enough = df.rdd.getNumPartitions() >= want

@@ -45,3 +45,22 @@ def test_resume_isolation_and_means(spark):
     assert row.f == 1.0 and math.isnan(row.none)
     with pytest.raises(ValueError):
         evaluation.run(items, done, "other", runner)
+
+
+def test_answers_and_scores_that_take_too_long(spark):
+    import time
+
+    items = spark.createDataFrame([("g1", "c", "slow", "e"), ("g2", "c", "fast", "e")], "id string, category string, question string, expected_answer string")
+    done = spark.createDataFrame([], "mode string, id string")
+
+    def runner(question, mode):
+        time.sleep(5 if question == "slow" else 0)
+        return "answer", []
+
+    def scorer(question, answer, expected):
+        time.sleep(5)
+        return {}
+
+    rows = {r.id: r for r in evaluation.run(items, done, "graph", runner, scorer, 0.3, 0.3).collect()}
+    assert rows["g1"].answer is None and "the answer took more than" in rows["g1"].error
+    assert rows["g2"].answer == "answer" and "scoring took more than" in rows["g2"].error
