@@ -132,7 +132,7 @@ class Encoder:
         return tuple(ranks[t] for t in token if t is not None)
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; a lone surrogate counts as U+FFFD."""
+        """Ids of a text; a lone surrogate, which no table can hold, counts as a question mark."""
         cache, out = self.cache, []
         for piece in self.split(text):
             ids = cache.get(piece)
