@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repoloom.functions.text import keywords, words
-from repoloom.session import spread
+from repoloom.session import cut, materialise, spread
 
 K1, B = 1.5, 0.75
 ALPHA = 0.5
@@ -87,34 +87,39 @@ def bm25_scores(docs: DataFrame | Postings, query: str, key: str = "doc_id", tex
     """``key, score`` (score > 0) of every document with a query word: BM25 with k1 1.5, b 0.75 and the +1 idf.
 
     Plain lower-case word tokens. A repeated query word counts once. Lengths and averages are those of all rows. A
-    stored index is read for the terms of the query only. Without one the texts are read once for the corpus figures
-    and once for the words of the query, of which each document keeps nothing but its counts; nothing is written.
+    stored index is read for the terms of the query only. Without one the texts are read once: the corpus figures are
+    observed on the way, and only the counts of documents that have a word of the query are written.
     """
     terms = _terms(query)
-    if isinstance(docs, Postings):
-        key, hits, totals = docs.key, docs.rows.where(F.col("term").isin(terms)), docs.totals
-    else:
-        tokens = F.coalesce(words(F.col(text_col)), F.array().cast("array<string>"))
-        tokenised = spread(docs.select(key, text_col), key).select(key, tokens.alias("tokens"))
-        totals = tokenised.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg"))
-        found = F.filter("tokens", lambda x: x.isin(terms))
-
-        def times(term: str) -> Column:
-            return F.size(F.filter("hits", lambda x: x == F.lit(term))).cast("bigint")
-
-        per_term = [F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in terms]
-        counted = tokenised.select(key, F.size("tokens").alias("len"), found.alias("hits")).where(F.size("hits") > 0)
-        hits = counted.select(key, "len", F.inline(F.array(*per_term))).where("tf > 0") if terms else None
     if not terms:
         source = docs.rows if isinstance(docs, Postings) else docs
-        return source.select(key, F.lit(0.0).alias("score")).limit(0)
-    in_documents = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per term of the query
-    figures = in_documents.crossJoin(F.broadcast(totals))  # with the one row of totals
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = figures.select("term", idf.alias("idf"), F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avg"))
-    norm = K1 * (1 - B + B * F.col("len") / F.col("avg"))
-    gain = F.col("idf") * F.col("tf") / (F.col("tf") + norm)
-    return hits.join(F.broadcast(weights), "term").groupBy(key).agg(F.sum(gain).alias("score")).where("score > 0")
+        return source.select(docs.key if isinstance(docs, Postings) else key, F.lit(0.0).alias("score")).limit(0)
+    if isinstance(docs, Postings):
+        key = docs.key
+        hits = docs.rows.where(F.col("term").isin(terms))
+        figures = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.totals))  # a row for each term of the query
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = figures.select("term", idf.alias("idf"), F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avg"))
+        gain = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+        return hits.join(F.broadcast(weights), "term").groupBy(key).agg(F.sum(gain).alias("score")).where("score > 0")
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("hits", lambda x: x == F.lit(term)))
+
+    tokens = F.coalesce(words(F.col(text_col)), F.array().cast("array<string>"))
+    split = spread(docs.select(key, text_col), key).select(key, tokens.alias("tokens"))
+    counted = split.select(key, F.size("tokens").alias("len"), F.filter("tokens", lambda x: x.isin(terms)).alias("hits"))
+    seen = Observation()
+    observed = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.col("len").cast("double")).alias("all"))
+    found = materialise(observed.where(F.size("hits") > 0).select(key, "len", *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)]), "bm25-hits")
+    n, average = seen.get["n"], (seen.get["all"] or 0.0) / max(1, seen.get["n"]) or 1.0
+    having = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    norm = K1 * (1 - B + B * F.col("len") / F.lit(float(average)))
+    score: Column = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = float(np.log(1 + (n - having[f"df{i}"] + 0.5) / (having[f"df{i}"] + 0.5)))
+        score = score + F.lit(idf) * F.col(f"tf{i}") / (F.col(f"tf{i}") + norm)
+    return found.select(key, score.alias("score")).where("score > 0")
 
 
 def bm25_topk(docs: DataFrame | Postings, query: str, k: int = 20, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +214,12 @@ def nearest_many(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str =
 
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Scores scaled to 0..1 over all rows; all equal means 1. The one row of extremes is joined, not a global window."""
-    ends = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    scaled = F.when(F.col("_high") == F.col("_low"), 1.0).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))
-    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(F.col(column).isNotNull(), scaled)).drop("_low", "_high")
+    """Scores of hits scaled to 0..1 over all of them; all equal means 1. The hits are checkpointed, to be found once."""
+    df = cut(df)
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None or high == low:
+        return df.withColumn(out, F.when(F.col(column).isNotNull(), F.lit(1.0)))
+    return df.withColumn(out, (F.col(column) - F.lit(float(low))) / F.lit(float(high) - float(low)))
 
 
 def hybrid_topk(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 25, pool: int = 20, alpha: float = ALPHA, key: str = "doc_id", vector_key: str = "vec_id", text_col: str = "text", index: Postings | None = None) -> DataFrame:
