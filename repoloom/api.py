@@ -17,7 +17,7 @@ from repoloom.functions import paths, text
 from repoloom.operators import chunking, embedding, graph, retrieval
 from repoloom.parsers.facts import parse_files, parse_text
 from repoloom.parsers.splitting import code_chunks
-from repoloom.render import bundle
+from repoloom.render import bundle, docs
 from repoloom.session import materialise, numbered
 from repoloom.sources import project as source
 from repoloom.sources import stores
@@ -218,6 +218,8 @@ def generate(tool: str, code: str, kind: str = "architecture", language: str = "
         raise ValueError(f"unknown diagram: {kind}")
     if not code.strip():
         raise ValueError("code is required")
+    if tool == "generate_docstrings" and language == "python":
+        return docs.documented(code, parse_text(language, code))
     return bundle.render(GENERATION_TOOLS[tool] or kind, [f for f in parse_text(language, code) if f["fact"] != "error"], language)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import re
+import warnings
 
 from repoloom.render.mermaid import Fact, class_role, of, top_module
 
@@ -12,11 +14,34 @@ PARAMETERS = ((("path", "file", "filename"), "Path of the file to use."), (("url
 VERBS = {"get": "Return", "set": "Set", "load": "Load", "save": "Save", "read": "Read", "write": "Write", "create": "Create", "build": "Build", "make": "Make", "delete": "Delete", "remove": "Remove", "update": "Update", "add": "Add", "is": "Check whether", "has": "Check whether", "check": "Check", "validate": "Validate", "parse": "Parse", "process": "Process", "handle": "Handle", "run": "Run", "compute": "Compute", "calculate": "Calculate", "render": "Render", "find": "Find", "send": "Send", "init": "Initialise"}
 
 
+#: What a function returns, by a word in its name. Fixed values.
+RETURNS = ((("get", "fetch", "load", "read", "find"), "The retrieved value."), (("is", "has", "check", "validate", "can"), "bool: True if the condition is met, False otherwise."), (("calculate", "compute", "count", "sum", "add"), "The calculated result."), (("create", "make", "build"), "The created object or value."), (("process", "handle", "run"), "The processed result."))
+#: What an annotated type stands for. Fixed values.
+TYPES = {"str": "str: The result as a string.", "int": "int: The result as an integer.", "bool": "bool: The boolean result.", "list": "list: A list of results.", "dict": "dict: A dictionary of results."}
+
+
+def words_of(name: str) -> list[str]:
+    return [p.lower() for p in re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])", name)] or [name.lower()]
+
+
+def returned(function: Fact, returns: list[Fact]) -> str | None:
+    """What a function gives back, by its name, its annotation and its return statements; None if it gives nothing."""
+    values = [bool(f.get("has_value")) for f in returns]
+    kind = function.get("returns")
+    if not any(values) and (not kind or kind == "None"):
+        return None
+    parts = set(words_of(function["name"]))
+    named = next((text for keys, text in RETURNS if parts & set(keys)), None)
+    if kind and kind != "None":
+        return TYPES.get(kind) or named or f"{kind}: The result value."
+    return named or ("The result, or None where there is none." if not all(values) else "The result.")
+
+
 def sentence(name: str) -> str:
     """A sentence from a function's name."""
     if name == "__init__":
         return "Initialise the instance."
-    parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])", name)] or [name]
+    parts = words_of(name)
     verb = VERBS.get(parts[0])
     rest = " ".join(parts[1:])
     if verb:
@@ -41,15 +66,53 @@ def docstring(function: Fact, facts: list[Fact]) -> str:
     parameters = [p for p in function.get("parameters") or [] if p not in ("self", "cls")]
     if parameters:
         lines += ["", "Args:", *[f"    {p}: {parameter(p)}" for p in parameters]]
-    returns = [f for f in flow if f["kind"] == "return"]
-    if function.get("returns") or any(f.get("has_value") for f in returns):
-        lines += ["", "Returns:", f"    {function.get('returns') or 'The result'}."]
+    result = returned(function, [f for f in flow if f["kind"] == "return"])
+    if result:
+        lines += ["", "Returns:", f"    {result}"]
     caught = sorted({e for f in flow if f["kind"] == "try" for e in f.get("exceptions") or []})
     if caught:
         lines += ["", "Raises:", *[f"    {e}: Handled inside." for e in caught]]
     return "\n".join([*lines, '"""'])
 
 
+def class_docstring(cls: Fact, facts: list[Fact]) -> str:
+    """A docstring with the role of a class, its bases and its attributes."""
+    lines = [f'"""{class_role(cls, facts)}.']
+    if cls.get("bases"):
+        lines += ["", f"Inherits from {', '.join(cls['bases'])}."]
+    attributes = list({f["name"]: f for f in facts if f.get("class_name") == cls["name"] and f["fact"] in ("class_variable", "instance_variable")}.values())
+    if attributes:
+        lines += ["", "Attributes:", *[f"    {a['name']}: {a['type'] if a.get('type') not in (None, 'unknown') else 'Value'} of the {'class' if a['fact'] == 'class_variable' else 'instance'}." for a in attributes]]
+    return "\n".join([*lines, '"""'])
+
+
+def documented(code: str, facts: list[Fact]) -> str:
+    """Python source with docstrings put in where functions, methods and classes have none; other code as it is.
+
+    Definitions whose body stands on the line of their head are left alone, and so is code that does not parse.
+    """
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(code)
+    except (SyntaxError, ValueError):
+        return code
+    by_line = {f["line"]: f for f in of(facts, "function", "method", "class")}
+    lines, added = code.splitlines(keepends=True), []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) and ast.get_docstring(node) is None and node.lineno in by_line:
+            first = node.body[0]
+            at = min([first.lineno, *(d.lineno for d in getattr(first, "decorator_list", []))])
+            head = lines[at - 1][: first.col_offset]
+            if at > node.lineno and not head.strip():
+                fact = by_line[node.lineno]
+                text = class_docstring(fact, facts) if fact["fact"] == "class" else docstring(fact, facts)
+                added.append((at - 1, "".join(f"{head if x else ''}{x}\n" for x in text.split("\n"))))
+    for at, text in sorted(added, reverse=True):
+        lines.insert(at, text)
+    return "".join(lines)
+
+
 def docstrings(facts: list[Fact]) -> str:
     """Docstrings for what has none; '' if everything has one or there is nothing."""
     out = []
@@ -58,7 +121,7 @@ def docstrings(facts: list[Fact]) -> str:
             out.append(f"def {f.get('qualified') or f['name']}({', '.join(f.get('parameters') or [])}):\n    " + docstring(f, facts).replace("\n", "\n    "))
     for c in of(facts, "class"):
         if not c.get("docstring"):
-            out.append(f'class {c["name"]}:\n    """{class_role(c, facts)}."""')
+            out.append(f"class {c['name']}:\n    " + class_docstring(c, facts).replace("\n", "\n    "))
     return "\n\n".join(out)
 
 
@@ -101,7 +164,15 @@ def architecture(facts: list[Fact]) -> str:
         lines.append("No classes were detected.")
     lines += ["", "### Functions", "", f"Total top-level functions: {len(functions)}", ""]
     lines += [f"- `{f['name']}`: {f.get('docstring') or sentence(f['name'])}" for f in functions] or ["No top-level functions were detected."]
-    lines += ["", "### Control flow", "", f"Branches: {any(f['kind'] == 'if' for f in flow)}, loops: {any(f['kind'] in ('for', 'while') for f in flow)}, error handling: {any(f['kind'] == 'try' for f in flow)}"]
+    lines += ["", "## Functional Overview", ""]
+    for f in functions:
+        own = [e for e in flow if e["caller"] == f["name"]]
+        kinds = {e["kind"] for e in own}
+        does = [text for kind, text in (("if", "decides between cases"), ("for", "goes through items"), ("while", "repeats"), ("try", "handles errors"), ("with", "holds a resource")) if kind in kinds]
+        calls = list(dict.fromkeys(e["call_name"] for e in own if e["kind"] == "call"))
+        result = returned(f, [e for e in own if e["kind"] == "return"])
+        lines += [f"### {f['name']}", "", f"- **Purpose**: {f.get('docstring') or sentence(f['name'])}", f"- **Inputs**: {', '.join(f.get('parameters') or []) or 'none'}", f"- **Output**: {result or 'none'}", f"- **Behaviour**: {', '.join(does) or 'runs straight through'}", *([f"- **Calls**: {', '.join(calls)}"] if calls else []), ""]
+    lines += ["### Control flow", "", f"Branches: {any(f['kind'] == 'if' for f in flow)}, loops: {any(f['kind'] in ('for', 'while') for f in flow)}, error handling: {any(f['kind'] == 'try' for f in flow)}"]
     edges = sorted({(f["caller"], f["name"]) for f in of(facts, "function_call") if f["name"] in {x["name"] for x in functions}})
     if edges:
         lines += ["", "### Calls", "", *[f"- `{a}` calls `{b}`" for a, b in edges]]

@@ -63,9 +63,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
 
 
+#: Tables that :func:`materialise` has written in this process.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has materialised; results that still read them can no longer be computed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        folder = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        folder.getFileSystem(conf).delete(folder, True)
+    return n
+
+
 #: Steps of a logical plan that move rows between partitions.
 _MOVES = frozenset("Aggregate Join Repartition RepartitionByExpression RebalancePartitions Window WindowGroupLimit Sort Distinct Deduplicate Intersect Except GlobalLimit CoGroup FlatMapGroupsInPandas FlatMapGroupsInArrow FlatMapCoGroupsInPandas FlatMapCoGroupsInArrow".split())
 #: Bytes that adaptive execution gives a partition by default.

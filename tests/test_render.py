@@ -37,6 +37,17 @@ def test_docs_and_svg():
     assert svg.flowchart(parse_text("python", "def f(a):\n    if a < 1:\n        return '<x>'\n")).count("&lt;") == 1
 
 
+def test_source_with_docstrings_put_in():
+    code = "import os\n\n\nclass A(B):\n    size = 1\n\n    @staticmethod\n    def is_ready(x,\n                 y):\n        # note\n        return x\n\n    def one(self): return 1\n\n\ndef load(path):\n    'Has one.'\n    return path\n"
+    out = docs.documented(code, parse_text("python", code))
+    compile(out, "x", "exec")
+    assert out.count('"""') == 4 and "Inherits from B." in out and "size: int of the class." in out and "bool: True if the condition is met" in out
+    assert [x for x in out.splitlines() if x.strip() and x in code.splitlines()] == [x for x in code.splitlines() if x.strip()]
+    again = docs.documented(out, parse_text("python", out))
+    assert again == out and docs.documented("def (", []) == "def ("
+    assert "## Functional Overview" in docs.architecture(FACTS) and "- **Calls**: range, helper, Vehicle" in docs.architecture(FACTS)
+
+
 def test_sql():
     assert "erDiagram" in mermaid.structure(DDL) and "a_id" in mermaid.architecture(DDL) and "sequenceDiagram" in mermaid.sequence(DDL)
     chart = mermaid.flowchart(DDL)

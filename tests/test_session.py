@@ -1,7 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from repoloom.session import checkpoint_dir, cut, materialise, once, spread
+from repoloom.session import checkpoint_dir, cut, materialise, once, release, spread
 
 
 def test_spread_moves_only_what_has_too_few_splits(spark):
@@ -53,3 +55,10 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_written_tables_are_released(spark):
+    before = release(spark)
+    step = materialise(spark.range(3), "t")
+    path = step.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert before >= 0 and os.path.isdir(path) and release(spark) == 1 and not os.path.exists(path)
