@@ -257,7 +257,7 @@ def _direct(text: str, prose: bool, may: frozenset[re.Pattern] = _ALL) -> Iterat
         if usable(m[1], True):
             yield Hit(m.start(1), m.end(1), "secret")
     for m in _URL.finditer(text) if _URL in may else ():
-        if usable(m[1], False) and not m[1].isdigit():
+        if usable(m[1], True) and not m[1].isdigit():
             yield Hit(m.start(1), m.end(1), "password")
     for m in _CURL.finditer(text) if _CURL in may else ():
         if usable(m[1], True):

@@ -125,3 +125,9 @@ def test_any_number_of_layers():
 def test_many_hits_and_literals_in_one_text():
     line = 'password = "Tr0ub4dor&3xyz"; data = "aGVsbG8gd29ybGQgYWdhaW4h"\n'
     assert len(s.scan(line * 3000)) == 3000
+
+
+def test_a_password_of_letters_in_an_address():
+    assert [h.start for h in s.scan('url = "mysql://app:OOeFLIOGj@db.test:3306/x"')] == [19]
+    for text in ('url = "mysql://app:password@db.test"', 'url = "mysql://app:Password@db.test"', 'url = "mysql://app:${DB_PASS}@db.test"', "git clone ssh://git@host/x.git", "http://host:8080@x"):
+        assert s.scan(text) == []
